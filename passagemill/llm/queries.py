@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, sstable, urls
+from . import chat, decontaminate, lines, packing, quality, sstable, urls
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_url_filters": urls.op6_url_filters,
     "op7_token_shards": sstable.op7_token_shards,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": lines.op9_line_dedup,
 }
 ORACLE_SQL = {
     "op2_chat_formatting": chat.OP2_SQL,
+    "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
 }
