@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, packing, quality, sstable, urls
+from . import chat, decontaminate, lines, packing, quality, secrets, sstable, urls
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_shards": sstable.op7_token_shards,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLE_SQL = {
     "op2_chat_formatting": chat.OP2_SQL,
