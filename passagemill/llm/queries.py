@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, packing, quality, secrets, sstable, urls
+from . import chat, decontaminate, lines, lm, near, packing, quality, secrets, sstable, urls
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_jaccard_join": near.op4_jaccard_join,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_url_filters": urls.op6_url_filters,
     "op7_token_shards": sstable.op7_token_shards,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLE_SQL = {
+    "op1_lm_scoring": lm.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
