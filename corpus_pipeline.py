@@ -1,10 +1,17 @@
-"""The corpus pipeline: documents through five of the training-data operators."""
+"""The corpus pipeline: documents through five of the training-data operators.
+
+Quality rules drop documents; line dedup drops lines that ten documents share
+and keeps every document; of each group of near copies the document with the
+least id stays; documents contaminated by the benchmark go; the rest is packed.
+Each stage's result is written to the shared folder and read by the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagemill.llm import packing, quality
+from passagemill.llm import decontaminate, lines, near, packing, quality
 from passagemill.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,12 +22,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten of them or more share."""
+    cleaned = lines.dedup_lines(docs.select(*COLUMNS))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    judged = decontaminate.judge(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return judged.filter("NOT contaminated").select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, in sequences."""
     return packing.pack_pieces(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("packing", packed)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 

@@ -216,7 +216,9 @@ def _verify(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """One row per document: key, copy_of, class_id, n_links.
+    """One row per document: key, copy_of, class_id, n_links, class_row.
+
+    class_row: hash of key and text of the document that class_id names.
 
     copy_of: the least key among documents with the same shingles.  class_id:
     the least key among all documents connected by links, a link being a
@@ -268,11 +270,19 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     found = checkpointed(dealt.mapInArrow(verify, "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    full = classes.join(groups, "id", "left").join(links, "id", "left").select("digest", "key", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
+    full = classes.join(groups, "id", "left").join(links, "id", "left").select("digest", "key", "row", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     # The least key of a group, nulls last; hot groups are summed up in each task first.
-    named = full.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("m")).select("root", F.col("m.key").alias("class_id"))
-    full = full.join(named, "root").select("digest", F.col("key").alias("copy_of"), "class_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
-    return all_rows.select(F.col("key").alias(key), "digest").join(full, "digest").select(key, "copy_of", "class_id", "n_links")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("m")
+    named = full.groupBy("root").agg(first).select("root", F.col("m.key").alias("class_id"), F.col("m.row").alias("class_row"))
+    full = full.join(named, "root").select("digest", F.col("key").alias("copy_of"), "class_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "class_row")
+    return all_rows.select(F.col("key").alias(key), "digest").join(full, "digest").select(key, "copy_of", "class_id", "n_links", "class_row")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of one document of each group of near copies: the one with the least key, once."""
+    kept = near_copies(docs, key, text).select(F.col("class_row").alias("_row")).distinct()
+    rows = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -280,4 +290,4 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).drop("class_row")
