@@ -22,11 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker process keeps, per vocabulary.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: And pieces of words, for the vocabulary that cuts words at signs.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 
 #: Characters other than precomposed Latin letters, ASCII and common
 #: punctuation, which Unicode normalisation leaves as they are.
@@ -44,6 +44,7 @@ def blocks(texts: pa.Array) -> Iterator[pa.Array]:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
         yield texts[at:to]
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(block: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -167,8 +168,9 @@ _loaded: dict[tuple[type, str], object] = {}
 
 
 def loaded(kind: type, path: str):
-    """One instance for each worker process, so that its cache lasts over tasks."""
+    """The worker process' instance, whose cache lasts over tasks; only the last vocabulary asked for is kept."""
     if (kind, path) not in _loaded:
+        _loaded.clear()
         _loaded[kind, path] = kind(path)
     return _loaded[kind, path]
 
