@@ -30,6 +30,8 @@ TREES, DEPTH, TARGET_RECALL = 32, 8, 0.9999
 BLOCK = 512
 #: Shingle columns of the incidence matrix at a time; links that a task holds before it hands them on.
 COLUMNS, HELD = 16_384, 2_000_000
+#: Parts of the links of one id.
+SALTS = 16
 _MULTIPLIERS = np.random.default_rng(20240101).integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -162,10 +164,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
-        by_u = Window.partitionBy("u")
+        # Large star: an id's larger neighbours move to its least one.  The root of a
+        # large component has none below itself, and is the only id with very many
+        # above; its links are salted, so they meet the few moves in many tasks.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(by_u))
+        moves = both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        salted = now.withColumn("s", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = salted.join(moves, ["v", "s"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # Small star: an id and its smaller neighbours, one from a task at most, move to the least of them.
+        least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = checkpointed(small.filter("u <> v").distinct())
     else:
