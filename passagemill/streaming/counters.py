@@ -16,8 +16,11 @@ def hourly_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", late:
     return timed.groupBy(F.col(key), F.window("_ts", "1 hour").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_limited(events: DataFrame, most: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """For each key and hour in arrival order: how many requests were allowed and how many refused so far."""
+def rate_limited(events: DataFrame, most: int, key: str = "user_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """For each key and hour in arrival order: how many requests were allowed and how many refused, a row for each batch.
+
+    An hour's state goes when the watermark is an hour past its end.
+    """
 
     def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -27,10 +30,11 @@ def rate_limited(events: DataFrame, most: int, key: str = "user_id", ts: str = "
         new = sum(len(b) for b in batches)
         allowed = max(0, min(new, most - used))
         state.update((used + new,))
-        state.setTimeoutDuration(7_200_000)
+        ends = int(k[1].timestamp() * 1000) + 7_200_000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]], "hour": [k[1]], "allowed": [allowed], "refused": [new - allowed]})
 
-    timed = events.select(F.col(key).cast("long").alias("key"), F.date_format(F.date_trunc("hour", F.col(ts).cast("timestamp")), "yyyy-MM-dd HH").alias("hour"))
-    return timed.groupBy("key", "hour").applyInPandasWithState(
-        count, "key long, hour string, allowed long, refused long", "used long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    timed = events.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    return timed.withColumn("hour", F.date_trunc("hour", "at")).groupBy("key", "hour").applyInPandasWithState(
+        count, "key long, hour timestamp, allowed long, refused long", "used long", "update", GroupStateTimeout.EventTimeTimeout
     )
