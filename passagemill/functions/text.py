@@ -144,3 +144,24 @@ def numbers(c: Column) -> Column:
         return F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, "0+$", ""), "[.]$", "")).otherwise(x)
 
     return F.array_distinct(F.transform(found, canonical))
+
+
+# Margin notes of consolidated texts.
+NOTES = (
+    r"\b(?:Decreto|DTO|DS|Ley)\s+[0-9]+[\s,]*(?:SALUD|Salud|INTERIOR|HACIENDA)\b,?(?:\s*[0-9]{4}\.?-?)?",
+    r"\bD\.O\.\s*[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    r"\bVER NOTA\s*[0-9]*",
+)
+
+
+def without_notes(c: Column) -> Column:
+    """A sentence without the margin notes of a consolidated text; texts without their marks stay as they are."""
+    out = c
+    for pattern in NOTES:
+        out = F.regexp_replace(out, pattern, " ")
+    return F.when(F.contains(c, F.lit("D.O.")) | F.contains(c, F.lit("SALUD")), F.trim(F.regexp_replace(out, r"\s{2,}", " "))).otherwise(c)
+
+
+def safe_url(c: Column) -> Column:
+    """Percent signs that start no escape, and blanks, encoded; done twice it changes nothing more."""
+    return F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit(" "), F.lit("%20"))

@@ -94,3 +94,31 @@ def ocr_alerts(text: Column) -> Column:
     broken = F.transform(F.regexp_extract_all(text, F.lit(r"\bN[*'\"]\s*[0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("number sign "), x))
     mail = F.transform(F.regexp_extract_all(text, F.lit(r"\b[a-z]+(?:gmail|hotmail|yahoo)\.[a-z]+"), F.lit(0)), lambda x: F.concat(F.lit("mail "), x))
     return F.slice(F.array_distinct(F.concat(articles, broken, mail)), 1, 4)
+
+
+def by_article(docs: DataFrame, heading: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, article, label, said: a text with two headings or more is cut before each; what stands before the first is article 0, if it is longer than 200.
+
+    Other texts are one row without a label.  Long articles go on to passages().
+    """
+    marked = F.regexp_replace(text, f"(?m)^(\\s*{heading})", "\u0001$1")
+    parts = F.split(marked, "\u0001")
+    many = F.size(parts) > 2
+    rows = docs.select(F.col(key).alias("doc"), F.posexplode(F.when(many, parts).otherwise(F.array(text))).alias("article", "said"))
+    label = F.trim(F.regexp_extract("said", f"^\\s*({heading})", 1))
+    rows = rows.select("doc", "article", label.alias("label"), F.trim("said").alias("said"))
+    return rows.filter((F.length("said") >= LEAST) & ((F.col("label") != "") | (F.length("said") > 200) | (F.col("article") == 0)))
+
+
+def by_paragraph(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: int = 2400) -> DataFrame:
+    """doc, part, said: a text of up to `whole` characters as it is, a longer one as packed paragraphs without overlap."""
+    paragraphs = F.filter(F.split(text, r"\n+"), lambda p: F.trim(p) != "")
+    own = docs.select(F.col(key).alias("doc"), F.when(F.length(text) <= whole, F.array(text)).otherwise(paragraphs).alias("p"))
+    cuts = F.pandas_udf(_packed_apart, "array<struct<first: int, last: int>>")
+    parts = own.withColumn("cuts", cuts(F.transform("p", lambda x: F.length(x)))).select("doc", "p", F.posexplode("cuts").alias("part", "c"))
+    joined = F.array_join(F.slice("p", F.col("c.first") + 1, F.col("c.last") - F.col("c.first")), "\n")
+    return parts.select("doc", "part", joined.alias("said"))
+
+
+def _packed_apart(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda x: [{"first": a, "last": b} for a, b in pack(list(x), overlap=0)])

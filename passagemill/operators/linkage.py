@@ -84,3 +84,21 @@ def canonical_type(c: Column, synonyms: dict[str, str]) -> Column:
     """The name that a type's spelling stands for, or its own normal form."""
     names = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))
     return F.coalesce(names[T.norm_key(c)], F.trim(c))
+
+
+# Ordinals that name provisions, and their numbers.
+ORDINALS = dict(primero=1, segundo=2, tercero=3, cuarto=4, quinto=5, sexto=6, septimo=7, octavo=8, noveno=9, decimo=10)
+
+
+def provision(said: Column) -> tuple[Column, Column]:
+    """The class (article, number, letter, annex) and value of the first provision that a normal form names; ordinals are digits."""
+    pattern = r"(articulo|numeral|letra|anexo)s? +(?:n[o°.]* *)?([0-9]+|[a-z]\)|" + "|".join(ORDINALS) + ")"
+    kind, value = F.regexp_extract(said, pattern, 1), F.regexp_extract(said, pattern, 2)
+    digits = F.create_map(*(F.lit(x) for k, n in ORDINALS.items() for x in (k, str(n))))
+    return F.nullif(kind, F.lit("")), F.nullif(F.coalesce(digits[value], F.translate(value, ")", "")), F.lit(""))
+
+
+def noted_edges(docs: DataFrame, note: str, target: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Edges that a consolidated text's notes say come in: (source, verb, key), the source being what the note names."""
+    found = F.regexp_extract_all(text, F.lit(f"(?i:{note})\\s+({target})"), F.lit(1))
+    return docs.select(F.posexplode(found).alias("n", "source"), F.lit("noted").alias("verb"), key)

@@ -186,3 +186,39 @@ def _(t):
 
 both("gr8_audit_counters", "SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE n_chars < 200) AS short FROM {documents} GROUP BY lang, source ORDER BY n DESC, lang, source")
 
+
+
+@query("ch3_articles", r"""WITH m AS (SELECT doc_id AS doc, text, string_split(regexp_replace(text, '(^|\n)([A-Z]{3,}!!)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
+r AS (SELECT doc, unnest(x) AS said, generate_subscripts(x, 1) - 1 AS article FROM (SELECT doc, CASE WHEN len(p) > 2 THEN p ELSE [text] END AS x FROM m)),
+l AS (SELECT doc, article, regexp_extract(said, '^([A-Z]{3,}!!)', 1) AS label, trim(said) AS said FROM r)
+SELECT doc, article::BIGINT AS article, label, length(said)::BIGINT AS n FROM l WHERE length(said) >= 60 AND (label <> '' OR length(said) > 200 OR article = 0)""")
+def _(t):
+    """Lines that begin with a shouted word stand for article headings."""
+    found = H.by_article(t("documents"), "[A-Z]{3,}!!")
+    return found.select("doc", F.col("article").cast("long").alias("article"), "label", F.length("said").cast("long").alias("n"))
+
+
+@query("ch6_paragraph_parts")
+def _(t):
+    """No SQL twin: as ch2; tested against a loop."""
+    return H.by_paragraph(t("documents")).select("doc", "part", F.length("said").alias("n"))
+
+
+@query("gr2_noted_edges", "SELECT doc_id, unnest(x) AS source, generate_subscripts(x, 1) - 1 AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?i:copyright)\\s+([0-9(c) ]*[A-Z][a-z]+)', 1) AS x FROM documents)")
+def _(t):
+    out = L.noted_edges(t("documents"), "copyright", "[0-9(c) ]*[A-Z][a-z]+")
+    return out.select("doc_id", "source", F.col("n").cast("long").alias("n"))
+
+
+@query("gr3_provisions", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'articulo' WHEN 1 THEN 'letra' ELSE 'anexo' END AS kind, CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 90)::VARCHAR WHEN 1 THEN 'b' ELSE '3' END AS value FROM part")
+def _(t):
+    k = F.col("p_partkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("modifica el artículo "), (F.col("p_partkey") % 90).cast("string"))).when(k == 1, "sustituye la letra b) del").otherwise("agrega el Anexo TERCERO al")
+    kind, value = L.provision(T.normalise(said))
+    return t("part").select("p_partkey", kind.alias("kind"), value.alias("value"))
+
+
+@query("tx16_without_notes", "SELECT o_orderkey, 'El titular ' || CASE WHEN o_orderkey % 2 = 0 THEN 'deberá informar' ELSE 'podrá (DO)  informar' END AS said FROM orders")
+def _(t):
+    said = F.when(F.col("o_orderkey") % 2 == 0, "El titular Decreto 38, SALUD D.O. 02.05.2013 deberá informar VER NOTA 2").otherwise("El titular podrá (DO)  informar")
+    return t("orders").select("o_orderkey", T.without_notes(said).alias("said"))
