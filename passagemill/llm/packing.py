@@ -13,7 +13,7 @@ from . import tokens
 from .common import table
 
 #: Tokens that a task holds before it packs them.
-BUFFER_TOKENS = 8_000_000
+BUFFER_TOKENS = 4_000_000
 #: A gap of fewer tokens is padded rather than filled by cutting a text.
 MIN_CUT = 16
 

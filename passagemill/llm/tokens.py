@@ -15,18 +15,19 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker process keeps, per vocabulary.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker process keeps, per vocabulary: as many new ones and as many older ones.
+CACHE_WORDS = 200_000
 #: And pieces of words, for the vocabulary that cuts words at signs.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 4_000_000
 
 #: Characters other than precomposed Latin letters, ASCII and common
 #: punctuation, which Unicode normalisation leaves as they are.
@@ -64,26 +65,53 @@ def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)
 
 
+class _Cache:
+    """Ids of words in two generations: when the new one is full it becomes the old one, from which words in use come back."""
+
+    def __init__(self, most: int):
+        self._most, self._new, self._old = most, {}, {}
+
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        """The words that neither generation has; the others are in the new one afterwards."""
+        new, old, out = self._new, self._old, []
+        for w in words:
+            if w not in new:
+                ids = old.get(w)
+                if ids is None:
+                    out.append(w)
+                else:
+                    new[w] = ids
+        return out
+
+    def add(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
+        self._new.update(zip(words, ids, strict=True))
+
+    def get(self, words: Iterable[str]) -> list[bytes]:
+        return list(map(self._new.__getitem__, words))
+
+    def settle(self) -> None:
+        if len(self._new) > self._most:
+            self._old, self._new = self._new, {}
+
+
 class _Words:
     """Ids of words, from the cache or the library; dtype is that of the ids."""
 
     dtype = "<u4"
 
     def __init__(self):
-        self._known: dict[str, bytes] = {}
+        self._words = _Cache(CACHE_WORDS)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         raise NotImplementedError
 
     def known(self, words: list[str]) -> list[bytes]:
         """The ids of different words."""
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > CACHE_WORDS:
-            self._known.clear()
-            new = words
-        if new:
-            self._learn(new)
-        return list(map(self._known.__getitem__, words))
+        if new := self._words.unknown(words):
+            self._words.add(new, self._learn(new))
+        out = self._words.get(words)
+        self._words.settle()
+        return out
 
     def gather(self, words: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words' ids in a row, where each text's begin and end, and how many each word has."""
@@ -110,33 +138,32 @@ class WordBpe(_Words):
         vocabulary = self._tok.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = _Cache(CACHE_PIECES)
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn_pieces(self, pieces: list[str]) -> Iterator[bytes]:
         """One call for many pieces; each one's ids end at a word-end id."""
-        if len(self._pieces) + len(pieces) > CACHE_PIECES:
-            self._pieces.clear()
         for k in range(0, len(pieces), 5000):
             some = pieces[k : k + 5000]
             ids = self.library(" ".join(some))
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(some):
                 raw, cuts = ids.tobytes(), (ends * 4).tolist()
-                self._pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+                yield from (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
             else:  # not one pre-token each: ask one by one
-                self._pieces.update((p, self.library(p).tobytes()) for p in some)
+                yield from (self.library(p).tobytes() for p in some)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         cut = [[w] if w.isalpha() else _CUT.findall(w) for w in map(str.lower, words)]
-        if new := {p for pieces in cut for p in pieces if p not in self._pieces}:
-            if len(self._pieces) + len(new) > CACHE_PIECES:
-                new = {p for pieces in cut for p in pieces}
-            self._learn_pieces(list(new))
-        get = self._pieces.__getitem__
-        self._known.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in cut], strict=True))
+        flat = [p for pieces in cut for p in pieces]
+        new = list(dict.fromkeys(self._pieces.unknown(flat)))
+        self._pieces.add(new, self._learn_pieces(new))
+        ids = iter(self._pieces.get(flat))
+        out = [next(ids) if len(p) == 1 else b"".join(islice(ids, len(p))) for p in cut]
+        self._pieces.settle()
+        return out
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text in turn; null counts as empty."""
@@ -160,8 +187,8 @@ class PieceBpe(_Words):
 
         self._sp = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def _learn(self, words: list[str]) -> None:
-        self._known.update((w, array("H", ids).tobytes()) for w, ids in zip(words, self._sp.encode(words, num_threads=1), strict=True))
+    def _learn(self, words: list[str]) -> list[bytes]:
+        return [array("H", ids).tobytes() for ids in self._sp.encode(words, num_threads=1)]
 
 
 _loaded: dict[tuple[type, str], object] = {}
