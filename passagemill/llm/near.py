@@ -122,32 +122,62 @@ class _Union:
         return pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
 
 
+def _heads(paths: np.ndarray) -> np.ndarray:
+    """A hash of each row of 16-bit values; two rows that share one by chance are one candidate more to verify."""
+    h = np.full(len(paths), paths.shape[1], np.uint64)
+    for column in paths.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def forest_links(classes: DataFrame, depth: int, width: int) -> DataFrame:
-    """Links (a, b) that connect all classes (id, signature) sharing a prefix of that depth in some tree; each task links what it sees to the least id."""
+    """Links (a, b) that connect all classes (id, signature) sharing a prefix of that depth in some tree; each task links what it sees to the least id.
+
+    Classes of one batch that share a prefix are linked where they are read,
+    and one of them stands for all in the sorted trees.  So a prefix that very
+    many classes share is a row a batch there; links that are made already go
+    along without a path, dealt by their ids.
+    """
 
     def plant(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            if not len(ids):
+                continue
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), TREES, DEPTH * 2)
             tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (len(ids), TREES, 1))
             path = np.ascontiguousarray(np.concatenate([tree, raw], axis=2)).view(f"V{DEPTH * 2 + 1}").ravel()
-            yield pa.record_batch({"id": pa.array(np.repeat(ids, TREES)), "path": pa.array(path.tolist(), pa.binary())})
+            values = np.concatenate([tree, raw[:, :, : 2 * depth]], axis=2).reshape(len(path), 2 * depth + 1)
+            _, first, place = np.unique(_heads(values), return_index=True, return_inverse=True)
+            own = np.repeat(ids, TREES)
+            pairs = np.stack([own, own[first][place.ravel()]], axis=1)
+            sets = _Union()
+            for i, to in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist():
+                sets.join(i, to)
+            made = sets.links()
+            ids_, paths_ = pa.concat_arrays([pa.array(own[first]), made.column(0)]), pa.array(path[first].tolist() + [None] * len(made), pa.binary())
+            yield pa.record_batch({"id": ids_, "path": paths_, "root": pa.concat_arrays([pa.nulls(len(first), pa.int64()), made.column(1)])})
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, last, last_id = _Union(), b"", 0
         for batch in batches:
-            for i, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head = path[: 1 + 2 * depth]
-                if head == last:
-                    sets.join(last_id, i)
-                last, last_id = head, i
-            if len(sets.up) > HELD:
-                yield sets.links()
-                sets = _Union()
+            for i, path, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path is None:
+                    sets.join(i, to)
+                else:
+                    head = path[: 1 + 2 * depth]
+                    if head == last:
+                        sets.join(last_id, i)
+                    last, last_id = head, i
+                if len(sets.up) > HELD:
+                    yield sets.links()
+                    sets = _Union()
         yield sets.links()
 
-    paths = classes.select("id", "signature").mapInArrow(plant, "id long, path binary")
-    dealt = paths.repartition(width, F.substring("path", 1, 1 + 2 * depth)).sortWithinPartitions("path", "id")
+    paths = classes.select("id", "signature").mapInArrow(plant, "id long, path binary, root long")
+    where = F.coalesce(F.substring("path", 1, 1 + 2 * depth), F.col("id").cast("string").cast("binary"))
+    dealt = paths.repartition(width, where).sortWithinPartitions("path", "id")
     return dealt.mapInArrow(walk, "a long, b long").filter("a <> b").distinct()
 
 

@@ -122,3 +122,28 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).dtypes == docs.dtypes
+
+
+@pytest.mark.parametrize("batch", [10_000, 50])
+def test_forest_links_connect_all_that_share_a_prefix(spark, batch):
+    """A third of the classes share prefixes; what batches link by themselves and what the sorted trees link give the same sets."""
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 65536, (900, near.TREES * near.DEPTH)).astype(">u2")
+    for i in range(300):
+        signatures[i] = np.where(rng.random(signatures.shape[1]) < 0.97, signatures[0], signatures[i])
+    ids, depth = rng.permutation(10**6)[:900].tolist(), 6
+    want, seen = near._Union(), {}
+    for own, i in zip(signatures, ids, strict=True):
+        for tree, path in enumerate(own.reshape(near.TREES, near.DEPTH)):
+            want.join(i, seen.setdefault((tree, path[:depth].tobytes()), i))
+    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in zip(ids, signatures, strict=True)], "id long, signature binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        links = near.forest_links(classes.repartition(3), depth, 8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = near._Union()
+    for a, b in links:
+        got.join(a, b)
+    assert {i: got.root(i) for i in ids} == {i: want.root(i) for i in ids}
