@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import table
 
-# Per language or, for texts without a known one, per script, the
-# least and most characters per token, the most byte-fallback tokens as a share
-# of all, and the least token entropy as a share of the most that so many
-# tokens can have.
+# Where a corpus has too few texts of a group to fit its band: per language or,
+# for texts without a known one, per script, the least and most characters per
+# token, the most byte-fallback tokens as a share of all, and the least token
+# entropy as a share of the most that so many tokens can have.
 BANDS = {
     "en": (1.4, 9.0, 0.10, 0.40),
     "de": (1.4, 9.0, 0.10, 0.40),
@@ -33,6 +33,8 @@ BANDS = {
 }
 #: Texts of fewer tokens have no verdict of their own, as their figures say little.
 LEAST_TOKENS = 30
+#: Texts that a group needs for a band of its own; how often the quartile's distance to the median a band reaches below and above it.
+LEAST_TEXTS, BELOW, ABOVE = 100, 3.0, 5.0
 _SCRIPTS = {
     "latin": re.compile("[A-Za-zÀ-ɏ]"),
     "greek": re.compile("[Ͱ-Ͽ]"),
@@ -88,10 +90,11 @@ def _script(text: str) -> str:
     return max(n, key=n.__getitem__) if n else "other"
 
 
-def measure(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, vocabulary: str, text: str = "text", counts: bool = True) -> DataFrame:
     """The rows with the columns of FEATURES, measured on whole texts in one pass without a shuffle.
 
-    A null or empty text has no words: zeros, null shares.
+    A null or empty text has no words: zeros, null shares.  Without counts,
+    symbols and repeated lines and words are left null.
     """
     keep = [c for c in docs.columns]
     at = keep.index(text)
@@ -100,7 +103,7 @@ def measure(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = tokens.loaded(tokens.PieceBpe, vocabulary)
         for batch in batches:
-            rows = [x for block in tokens.blocks(batch.column(at)) for x in _measured(block, pieces)]
+            rows = [x for block in tokens.blocks(batch.column(at)) for x in _measured(block, pieces, counts)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
             kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
             made = [pa.array(x, kinds[f.split()[1]]) for x, f in zip(columns, fields, strict=True)]
@@ -111,7 +114,7 @@ def measure(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *(f.split()[0] for f in fields))
 
 
-def _measured(block: pa.Array, pieces: tokens.PieceBpe) -> Iterator[tuple]:
+def _measured(block: pa.Array, pieces: tokens.PieceBpe, counts: bool) -> Iterator[tuple]:
     words, offsets = tokens.words_of(block)
     coded = words.dictionary_encode()
     codes, names = coded.indices.to_numpy(), coded.dictionary
@@ -129,15 +132,15 @@ def _measured(block: pa.Array, pieces: tokens.PieceBpe) -> Iterator[tuple]:
         per_token = share = entropy = None
         if n:
             per_token, share = chars / n, float(fallback[i + 1] - fallback[i]) / n
-            counts = np.bincount(ids[bounds[i] : bounds[i + 1]])
-            p = counts[counts > 0] / n
+            of_id = np.bincount(ids[bounds[i] : bounds[i + 1]])
+            p = of_id[of_id > 0] / n
             entropy = float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
         yield (
             int(n_words[i + 1] - n_words[i]),
             chars,
-            sum(map(text.count, _SYMBOLS)),
-            _dup_lines(text),
-            _repeat_words(own, names),
+            sum(map(text.count, _SYMBOLS)) if counts else None,
+            _dup_lines(text) if counts else None,
+            _repeat_words(own, names) if counts else None,
             n,
             per_token,
             share,
@@ -150,9 +153,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _group(lang: Column) -> Column:
+    """The two-letter language of a text, or else its script."""
+    return F.when(F.lower(lang).rlike("^[a-z][a-z]$"), F.lower(lang)).otherwise(F.col("script"))
+
+
 def fertility_fits(lang: Column, bands: dict[str, tuple[float, float, float, float]]) -> Column:
-    """Whether a measured text lies in the bands of its language, or else of its script."""
-    group = F.when(F.lower(lang).isin([b for b in bands if len(b) == 2]), F.lower(lang)).when(F.col("script").isin(list(bands)), F.col("script")).otherwise("other")
+    """Whether a measured text lies in the band of its language, or else of its script.
+
+    A language without a band has that of "any" and its script, if there is one.
+    """
+    group, rare = _group(lang), F.concat(F.lit("any "), F.col("script"))
+    group = F.when(group.isin(list(bands)), group).when(rare.isin(list(bands)), rare).when(F.col("script").isin(list(bands)), F.col("script")).otherwise("other")
     table_of = F.create_map(*(x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, map(float, v))))))
     band = F.element_at(table_of, group)
     # A long text repeats common tokens, so entropy is held against that of a text of 4,096 tokens at most.
@@ -164,40 +176,54 @@ def fertility_fits(lang: Column, bands: dict[str, tuple[float, float, float, flo
     return F.coalesce((F.col("n_tokens") < LEAST_TOKENS) | fits, F.lit(True))
 
 
-def fit_bands(measured: DataFrame, lang: str = "lang", spread: float = 8.0) -> DataFrame:
-    """Bands of a corpus, one row per language (two letters, else the script): median and quartiles widened spread times.
+def fit_bands(measured: DataFrame, lang: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """Bands of a corpus, one row per language (two letters, else the script): median and quartiles, widened.
 
-    Every row counts; the groups are at most the two-letter codes and the scripts.
+    Every row of LEAST_TOKENS or more counts; the groups are at most the
+    two-letter codes and the scripts.  Figures are rounded to three digits, so
+    the quartiles are exact from few different values and the same in each run.
     """
-    group = F.when(F.lower(lang).rlike("^[a-z][a-z]$"), F.lower(lang)).otherwise(F.col("script")).alias("band")
-    q = [F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(c) for c in ("chars_per_token", "byte_share", "entropy_share")]
-    found = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).groupBy(group).agg(*q)
+    q = [F.percentile(F.round(c, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in ("chars_per_token", "byte_share", "entropy_share")]
+    found = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).groupBy(_group(F.col(lang)).alias("band")).agg(F.count(F.lit(1)).alias("n_texts"), *q)
 
     def low(c: str) -> Column:
-        return F.col(c)[1] - spread * (F.col(c)[1] - F.col(c)[0] + 0.01)
+        return F.col(c)[1] - below * (F.col(c)[1] - F.col(c)[0] + 0.01)
 
     def high(c: str) -> Column:
-        return F.col(c)[1] + spread * (F.col(c)[2] - F.col(c)[1] + 0.01)
+        return F.col(c)[1] + above * (F.col(c)[2] - F.col(c)[1] + 0.01)
 
     return found.select(
-        "band", low("chars_per_token").alias("least_chars"), high("chars_per_token").alias("most_chars"), high("byte_share").alias("most_bytes"), low("entropy_share").alias("least_entropy")
+        "band", low("chars_per_token").alias("least_chars"), high("chars_per_token").alias("most_chars"), high("byte_share").alias("most_bytes"), low("entropy_share").alias("least_entropy"), "n_texts"
     )
 
 
+def fitted(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float, float, float]]:
+    """BANDS, with the fitted ones in place of those of every group that has LEAST_TEXTS texts.
+
+    Languages with fewer keep the band that BANDS has for them or for their script.
+    """
+    rows = fit_bands(measure(docs.select(text, lang), vocabulary, text, counts=False), lang).filter(F.col("n_texts") >= LEAST_TEXTS).collect()
+    wide = {f"any {k}": v for k, v in BANDS.items() if len(k) > 2}
+    return BANDS | wide | {r["band"]: (r["least_chars"], r["most_chars"], r["most_bytes"], r["least_entropy"]) for r in rows}
+
+
 def judge(docs: DataFrame, vocabulary: str | None = None, bands: dict | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows with FEATURES, base_failed and kept.
 
     A text is kept if it has ten words or more, a fifth of its words at most
     lies in repeated five-word windows, and its fertility fits the bands of its
-    language (of its script if that is null or unknown).  Null and empty texts
-    fail the base rules.  Every row is judged by itself, so repeated rows get
-    the same verdict, an empty table gives an empty one, and other columns are
-    carried along; those named like a feature are dropped.
+    language (of its script if that is null or unknown).  Without given bands
+    they are fitted to all rows first, which reads the texts once more.  Null
+    and empty texts fail the base rules.  Repeated rows get the same verdict,
+    an empty table gives an empty one, and other columns are carried along;
+    those named like a feature are dropped.
     """
     clash = {f.split()[0] for f in FEATURES.split(", ")} | {"base_failed", "kept"}
-    found = measure(docs.select(*(c for c in docs.columns if c not in clash)), vocabulary or tokens.piece_bpe_path(), text)
+    path = vocabulary or tokens.piece_bpe_path()
+    bands = bands or fitted(docs, path, text, lang)
+    found = measure(docs.select(*(c for c in docs.columns if c not in clash)), path, text)
     failed = base_failed()
-    return found.withColumns({"base_failed": failed, "kept": ~failed & fertility_fits(F.col(lang), bands or BANDS)})
+    return found.withColumns({"base_failed": failed, "kept": ~failed & fertility_fits(F.col(lang), bands)})
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,23 @@ def test_quality_verdicts(spark, docs, empty):
     assert bands["en"]["least_chars"] < bands["en"]["most_chars"]
 
 
+def test_fertility_rejects_low_quality(spark):
+    """On labelled rows that pass the base rules: most of low quality go by their fertility, few others."""
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).filter("NOT base_failed").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = collections.Counter((r["quality"], r["kept"]) for r in judged.select("quality", "kept").collect())
+    assert n[0, False] > 0.6 * (n[0, False] + n[0, True])
+    assert n[1, True] > 0.95 * (n[1, False] + n[1, True])
+
+
+def test_bands_of_groups_without_texts_stay_wide(spark):
+    words = [hashlib.md5(str(i).encode()).hexdigest() for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 12]), None) for i in range(quality.LEAST_TEXTS)]
+    found = quality.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokens.piece_bpe_path())
+    assert found["latin"] != quality.BANDS["latin"] == found["any latin"]
+    assert found["en"] == quality.BANDS["en"]
+
+
 # Lines
 
 
