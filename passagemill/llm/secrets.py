@@ -1,4 +1,4 @@
-"""Secret scans: three patterns, and a linear-chain conditional random field over the tokens of suspicious words."""
+"""Secret scans: three patterns, and a linear-chain conditional random field over the tokens of words."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,21 @@ KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
-_DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile("[A-Za-z0-9]+|[^A-Za-z0-9]")
 _HINT = re.compile("pass|pwd|secret|token|key|auth|bearer|credential|private|signature", re.IGNORECASE)
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Characters before a word in which its neighbouring words are looked for.
 CONTEXT = 40
 #: Made-up words with labels that the field is trained on; the seed; training steps.
-TRAINING_WORDS, SEED, STEPS = 600, 11, 120
+TRAINING_WORDS, SEED, STEPS = 1500, 11, 160
+#: Characters that a word needs to be decoded where no hint stands before or in it.
+LEAST_WORD = 8
+_WORD = re.compile("[^ \\t-\\r]+")
+_LONG = re.compile(f"[^ \\t-\\r]{{{LEAST_WORD},}}")
+#: Words whose tags a task keeps, and characters of the longest such.
+_KEPT_WORDS, _KEPT_CHARS = 200_000, 64
+_MARK = re.compile(_HINT.pattern + "|://|@", re.IGNORECASE)
+_VOWELS = frozenset("aeiouyAEIOUY")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -60,6 +68,11 @@ def _token_features(tokens: list[str], k: int, before: str, whole: tuple[float,
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in t]
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
     entropy = -sum(x / n * math.log2(x / n) for x in Counter(t).values())
+    # Runs of letters without a vowel, and changes to upper case after lower case, are rare in words.
+    bare = max(map(len, "".join("v" if c in _VOWELS or not c.isalpha() else "c" for c in t).split("v")))
+    humps = sum(a == "l" and b == "u" for a, b in pairwise(classes))
+    rises = sum(a == "u" and b == "l" for a, b in pairwise(classes[1:]))
+    vowels = sum(c in _VOWELS for c in t)
     context = before + "".join(tokens[:k])
     hint = bool(_HINT.search(context[-CONTEXT:]))
     return [
@@ -84,6 +97,13 @@ def _token_features(tokens: list[str], k: int, before: str, whole: tuple[float,
         float(not k),
         float(hint),
         float(hint and run and n >= 8 and digits > 0),
+        *(float(run and bare >= b) for b in (4, 5, 6, 8)),
+        float(run and digits == 0 and n >= 8 and 4 * vowels < n),
+        *(float(run and n >= 8 and humps >= b) for b in (1, 2, 3)),
+        float(run and n >= 8 and 4 * (humps + rises) > n),
+        float(hint and run and digits == n and n >= 12),
+        float(hint and run and digits == 0 and n >= 12 and bare >= 4),
+        float(run and 0 < digits < n and "/" in (previous, following)),
         float("://" in context),
         float("@" in context),
         *(float(t == c) for c in ".-_=/+:"),
@@ -164,10 +184,12 @@ def train(examples: list[tuple[np.ndarray, list[int]]], steps: int = STEPS, rate
 
 
 def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]:
-    """Words with digits as they occur in texts: what stands before, the word, and where its secret is (or None)."""
+    """Words as they occur in texts, with digits or without: what stands before, the word, and where its secret is (or None)."""
     rng = np.random.default_rng(seed)
     letters, lower, digits, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 
+    hints = ("password", "secret", "token", "api_key", "auth", "bearer", "private key", "client_secret", "access_key", "credential")
+
     def some(alphabet: str, a: int, b: int) -> str:
         return "".join(rng.choice(list(alphabet), rng.integers(a, b + 1)))
 
@@ -177,8 +199,23 @@ def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]
     def word() -> str:
         return some(lower, 2, 9)
 
+    def said() -> str:
+        """A word that can be pronounced, as most words can."""
+        made = "".join(
+            pick("", "b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "tr", "pr", "ch", "sh", "th", "pl")
+            + pick("a", "e", "i", "o", "u", "ea", "ou", "io")
+            + pick("", "", "n", "r", "s", "t", "l", "m", "nd", "st", "ng", "ck", "rt", "ght", "nstr", "rsch", "tz")
+            for _ in range(rng.integers(2, 6))
+        )
+        return pick(made, made, made, made.capitalize(), made.upper())
+
     def value() -> str:
         return pick(
+            lambda: some(letters, 18, 40),
+            lambda: some(lower, 20, 40),
+            lambda: some(letters + digits, 9, 16) + "/" + some(letters + digits, 5, 9) + "/" + some(letters, 12, 20),
+            lambda: "".join(pick(some(letters, 3, 9), some(letters + digits, 4, 12)) + pick("/", "+") for _ in range(3)) + some(letters + digits, 8, 18),
+            lambda: "-".join(some(letters.upper() + digits, 5, 5) for _ in range(rng.integers(4, 6))),
             lambda: some(letters + digits, 16, 40),
             lambda: some(lower + digits, 16, 40),
             lambda: some(letters.upper() + digits, 16, 32),
@@ -188,8 +225,21 @@ def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]
             lambda: pick("sk", "pk", "ghp", "xoxb", "key") + pick("_", "-") + some(letters + digits, 16, 36),
         )()
 
-    def plain() -> str:
+    def ordinary() -> str:
         return pick(
+            lambda: said() + pick("", "", "", ",", ".", ":", ";", "###", "$$$", "%%%", "!"),
+            lambda: said() + pick("-", "/", "_", "'", ".") + said() + pick("", "", "-" + said(), "/" + said(), "_" + said()),
+            lambda: said().lower() + "".join(said().capitalize() for _ in range(rng.integers(1, 4))) + pick("", "()", ";", "("),
+            lambda: "".join(said().capitalize() for _ in range(rng.integers(1, 4))),
+            lambda: pick('"', "(", "'", "<", "**") + said() + pick('"', ")", "'", ">", "**", ","),
+            lambda: pick(*hints).replace(" ", "_") + pick("", ":", "=", "s", ".", ","),
+            lambda: "/" + "/".join(said().lower() for _ in range(rng.integers(2, 5))),
+            lambda: pick("-", "=", "_", "*", "#", ".") * int(rng.integers(8, 40)),
+            lambda: said().lower() + pick("=", ":") + said().lower() + pick("", "_" + said().lower()),
+        )()
+
+    def plain() -> str:
+        return ordinary() if rng.random() < 0.5 else pick(
             lambda: f"{pick('http', 'https')}://{word()}.{pick('com', 'org', 'net')}/{word()}/{some(digits, 2, 6)}",
             lambda: f"https://{word()}.com/{word()}?page={some(digits, 1, 3)}&ref={word()}",
             lambda: f"{word()}{some(digits, 1, 4)}@{word()}.{pick('com', 'org')}",
@@ -209,7 +259,6 @@ def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]
         )()
 
     out: list[tuple[str, str, tuple[int, int] | None]] = []
-    hints = ("password", "secret", "token", "api_key", "auth", "bearer", "private key", "client_secret", "access_key", "credential")
     for _ in range(n):
         before = " ".join(word() for _ in range(3)) + " "
         if rng.random() < 0.55:
@@ -217,10 +266,10 @@ def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]
             out.append((before if rng.random() < 0.9 else before + pick(*hints) + pick(" ", ": ", " = "), word_, None))
             continue
         v = value()
-        if not (_DIGIT.search(v)):
-            v += some(digits, 2, 2)
         q = pick("", "", '"', "'")
         form = rng.integers(4)
+        if form < 2 and rng.random() < 0.1:
+            v = some(digits, 14, 30)
         if form == 0:
             head = pick(*hints).replace(" ", "_") + pick("=", ":") + q
             out.append((before, head + v + q + pick("", ",", ";"), (len(head), len(head) + len(v))))
@@ -252,43 +301,63 @@ def trained() -> Field:
     return train([labelled(*x, tuple(rng.integers(0, 2, 4).astype(float))) for x in invented(TRAINING_WORDS, SEED)])
 
 
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
+def _tagged(word: str, before: str, whole: tuple[float, ...], field: Field) -> tuple[tuple[int, int], ...]:
+    """Secrets in a word, counted from its start."""
+    parts = [(m.start(), m[0]) for m in _TOKEN.finditer(word)]
+    names = [t for _, t in parts]
+    tags = field.tags(np.array([_token_features(_near(names, k), min(k, _NEAR), before, whole) for k in range(len(names))]))
+    out, start, end = [], None, 0
+    for (at, name), tag in zip(parts, tags, strict=True):
+        if tag == BEGIN or (tag == INSIDE and start is None):
+            if start is not None:
+                out.append((start, end))
+            start = at
+        elif tag == OUTSIDE and start is not None:
+            out.append((start, end))
+            start = None
+        end = at + len(name)
+    if start is not None:
+        out.append((start, end))
+    return tuple(out)
+
+
+@lru_cache(maxsize=1)
+def _known(weights: bytes) -> dict:
+    """Tags of words that this process has met, for a field with these weights."""
+    return {}
+
+
+def field_spans(text: str, field: Field, known: dict | None = None) -> list[tuple[int, int]]:
     """Secrets that the field tags, in code points.
 
-    The field runs over each word (no white space) with a run of eight letters
-    and digits or more in which both occur; all other tokens are outside by
-    constraint, so the words' chains are independent of each other.
+    The field runs over each word (no white space) of LEAST_WORD characters or
+    more, and over shorter ones that have a hint in them or in the CONTEXT
+    before.  White space is outside, so the words' chains are independent.  A
+    word whose context says nothing has the same tags wherever the rest of the
+    text looks alike; known keeps those of words met before.
     """
-    if not _DIGIT.search(text):
-        return []
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    gaps = np.flatnonzero((points == 32) | ((points >= 9) & (points <= 13)))
-    digit = np.flatnonzero((points >= 48) & (points <= 57))
-    spot = np.unique(np.searchsorted(gaps, digit))
-    edges = np.concatenate([[-1], gaps, [len(points)]])
-    whole, out = None, []
-    for a, b in zip((edges[spot] + 1).tolist(), edges[spot + 1].tolist(), strict=True):
-        if b - a < 8:
-            continue
-        parts = [(m.start(), m[0]) for m in _TOKEN.finditer(text, a, b)]
-        names = [t for _, t in parts]
-        if not any(len(t) >= 8 and _DIGIT.search(t) and not t.isdigit() for t in names):
+    known = {} if known is None else known
+    marks = [m.span() for m in _MARK.finditer(text)]
+    whole, out, first = file_features(text), [], 0
+    for m in (_WORD if marks else _LONG).finditer(text):
+        a, b = m.span()
+        while first < len(marks) and marks[first][0] < a - CONTEXT:
+            first += 1
+        near = first < len(marks) and marks[first][0] < b
+        if near and marks[first][0] < a:
+            spans = _tagged(m[0], text[max(0, a - CONTEXT) : a], whole, field)
+        elif b - a < LEAST_WORD and not near:
             continue
-        whole = whole or file_features(text)
-        before = text[max(0, a - CONTEXT) : a]
-        tags = field.tags(np.array([_token_features(_near(names, k), min(k, _NEAR), before, whole) for k in range(len(names))]))
-        start = None
-        for (at, name), tag in zip(parts, tags, strict=True):
-            if tag == BEGIN or (tag == INSIDE and start is None):
-                if start is not None:
-                    out.append((start, end))
-                start = at
-            elif tag == OUTSIDE and start is not None:
-                out.append((start, end))
-                start = None
-            end = at + len(name)
-        if start is not None:
-            out.append((start, end))
+        else:
+            key = m[0], whole
+            spans = known.get(key)
+            if spans is None:
+                spans = _tagged(m[0], "", whole, field)
+                if b - a <= _KEPT_CHARS:
+                    if len(known) >= _KEPT_WORDS:
+                        known.clear()
+                    known[key] = spans
+        out += [(a + s, a + e) for s, e in spans]
     return out
 
 
@@ -328,11 +397,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*shared.value)
+        known = _known(field.weights.tobytes() + field.moves.tobytes())
         for batch in batches:
             found = []
             for t in batch.column(at).to_pylist():
                 base = base_spans(t or "")
-                more = [("crf", s, e) for s, e in _apart(field_spans(t or "", field), [(s, e) for _, s, e in base])]
+                more = [("crf", s, e) for s, e in _apart(field_spans(t or "", field, known), [(s, e) for _, s, e in base])]
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted([*base, *more], key=_order)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*(f"c{i}" for i in range(len(names))), "spans"])
 

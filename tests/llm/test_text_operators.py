@@ -340,6 +340,22 @@ def test_secret_field_on_held_out_words(spark):
     assert secrets._apart([(0, 3), (5, 8), (9, 12)], [(2, 4), (8, 9)]) == [(5, 8), (9, 12)]
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ("the secret key is qWzXkTbvNmPlRsDfGhJk in use", "qWzXkTbvNmPlRsDfGhJk"),
+        ("client key: AB3DE-9K2LM-QW4RT-77XYZ end", "AB3DE-9K2LM-QW4RT-77XYZ"),
+        ("signing secret 839201746523019846 stays", "839201746523019846"),
+        ("internationalization of responsibilities: password required, token management by getElementById and/or others", None),
+    ],
+)
+def test_secret_field_decodes_every_word(text, secret):
+    known = {}
+    for _ in range(2):
+        assert [text[a:b] for a, b in secrets.field_spans(text, secrets.trained(), known)] == ([secret] if secret else [])
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
