@@ -59,9 +59,20 @@ def _(t):
     AND value BETWEEN o_totalprice / 10000 - 1 AND o_totalprice / 10000 + 1 WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey""",
 )
 def _(t):
+    """A tenth of the orders and two days of events, as the SQL twin; rl8_range_join_whole has all."""
+    return range_join(t("orders").filter("o_orderkey % 10 = 0"), t("events").filter("ts >= timestamp_ntz '2024-01-10' AND ts < timestamp_ntz '2024-01-12'"))
+
+
+@query("rl8_range_join_whole")
+def _(t):
+    """No SQL twin: all orders and all events; tested against a loop."""
+    return range_join(t("orders"), t("events"))
+
+
+def range_join(orders, events):
     """A value range without an equal key: both sides go to buckets of the range's width, a row to the three that it may meet."""
-    orders = t("orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.dayofmonth("o_orderdate").alias("day"), (F.col("o_totalprice") / 10000).alias("x"))
-    events = t("events").filter("ts >= timestamp_ntz '2024-01-10' AND ts < timestamp_ntz '2024-01-12'").select(F.dayofmonth("ts").alias("day"), "value")
+    orders = orders.select("o_orderkey", F.dayofmonth("o_orderdate").alias("day"), (F.col("o_totalprice") / 10000).alias("x"))
+    events = events.select(F.dayofmonth("ts").alias("day"), "value")
     near = orders.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("x") - 1), F.floor(F.col("x") + 1))))
     met = near.join(events.withColumn("bucket", F.floor("value")), ["day", "bucket"]).filter("value BETWEEN x - 1 AND x + 1")
     return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
