@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secret_field, secret_lines, tokens
 from .common import table
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
-_TOKEN = re.compile("[A-Za-z0-9]+|[^A-Za-z0-9]")
-_HINT = re.compile("pass|pwd|secret|token|key|auth|bearer|credential|private|signature", re.IGNORECASE)
-OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-#: Characters before a word in which its neighbouring words are looked for.
-CONTEXT = 40
-#: Made-up words with labels that the field is trained on; the seed; training steps.
-TRAINING_WORDS, SEED, STEPS = 1500, 11, 160
-#: Characters that a word needs to be decoded where no hint stands before or in it.
-LEAST_WORD = 8
-_WORD = re.compile("[^ \\t-\\r]+")
-_LONG = re.compile(f"[^ \\t-\\r]{{{LEAST_WORD},}}")
-#: Words whose tags a task keeps, and characters of the longest such.
-_KEPT_WORDS, _KEPT_CHARS = 200_000, 64
-_MARK = re.compile(_HINT.pattern + "|://|@", re.IGNORECASE)
-_VOWELS = frozenset("aeiouyAEIOUY")
+#: Made-up lines that the field is trained on, their seed, and training steps.
+TRAINING_LINES, SEED, STEPS = 5000, 11, 110
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -52,342 +36,42 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def file_features(text: str) -> tuple[float, ...]:
-    """What kind of file a text looks like: assignments, code signs, many signs for its length."""
-    n = len(text) or 1
-    return (float("=" in text), float("{" in text or ";" in text), float(text.count("=") + text.count(":") > n / 100), float(text.count("\n") > n / 60))
-
-
-def _token_features(tokens: list[str], k: int, before: str, whole: tuple[float, ...]) -> list[float]:
-    t = tokens[k]
-    previous, following = tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""
-    n = len(t)
-    run = t[0].isalnum() and t.isascii()
-    digits = sum(c.isdigit() for c in t)
-    upper = sum(c.isupper() for c in t)
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in t]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    entropy = -sum(x / n * math.log2(x / n) for x in Counter(t).values())
-    # Runs of letters without a vowel, and changes to upper case after lower case, are rare in words.
-    bare = max(map(len, "".join("v" if c in _VOWELS or not c.isalpha() else "c" for c in t).split("v")))
-    humps = sum(a == "l" and b == "u" for a, b in pairwise(classes))
-    rises = sum(a == "u" and b == "l" for a, b in pairwise(classes[1:]))
-    vowels = sum(c in _VOWELS for c in t)
-    context = before + "".join(tokens[:k])
-    hint = bool(_HINT.search(context[-CONTEXT:]))
-    return [
-        1.0,
-        float(run),
-        *(float(run and a <= n < b) for a, b in ((1, 4), (4, 8), (8, 12), (12, 20), (20, 32), (32, 1 << 60))),
-        float(run and 0 < digits < n),
-        float(run and digits == n),
-        float(run and 0 < upper < n - digits),
-        float(run and upper == n - digits and upper > 0),
-        float(run and changes >= 3),
-        float(run and changes >= 6),
-        float(run and n >= 8 and entropy >= 3.0),
-        float(run and n >= 12 and entropy >= 3.5),
-        float(run and n >= 16 and not t.strip("0123456789abcdef")),
-        float(previous in ("=", ":")),
-        float(previous in ("'", '"')),
-        float(previous in ("/", "?", "&", "#")),
-        float(previous in (".", "-", "_")),
-        float(following in (".", "-", "_")),
-        float(following in ("@", ":")),
-        float(not k),
-        float(hint),
-        float(hint and run and n >= 8 and digits > 0),
-        *(float(run and bare >= b) for b in (4, 5, 6, 8)),
-        float(run and digits == 0 and n >= 8 and 4 * vowels < n),
-        *(float(run and n >= 8 and humps >= b) for b in (1, 2, 3)),
-        float(run and n >= 8 and 4 * (humps + rises) > n),
-        float(hint and run and digits == n and n >= 12),
-        float(hint and run and digits == 0 and n >= 12 and bare >= 4),
-        float(run and 0 < digits < n and "/" in (previous, following)),
-        float("://" in context),
-        float("@" in context),
-        *(float(t == c) for c in ".-_=/+:"),
-        float(not run and t not in ".-_=/+:"),
-        *(f * run for f in whole),
-    ]
-
-
-class Field:
-    """A trained field: score of a tagging = sum of feature weights and of transition weights."""
-
-    def __init__(self, weights: np.ndarray, moves: np.ndarray):
-        self.weights, self.moves = weights, moves
-
-    def tags(self, features: np.ndarray) -> list[int]:
-        """The best tagging, by Viterbi; before the first and after the last token stands an outside token."""
-        scores = features @ self.weights
-        best, back = scores[0] + self.moves[OUTSIDE], []
-        for s in scores[1:]:
-            step = best[:, None] + self.moves
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + s
-        tag = int((best + self.moves[:, OUTSIDE]).argmax())
-        out = [tag]
-        for b in reversed(back):
-            out.append(tag := int(b[tag]))
-        return out[::-1]
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
-def train(examples: list[tuple[np.ndarray, list[int]]], steps: int = STEPS, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood with a quadratic penalty: forward-backward gradients, Adam steps, all examples each time."""
-    n, longest, width = len(examples), max(len(t) for _, t in examples), examples[0][0].shape[1]
-    x, y, live = np.zeros((n, longest, width)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (f, t) in enumerate(examples):
-        x[i, : len(t)], y[i, : len(t)], live[i, : len(t)] = f, t, True
-    # Padding is outside for certain, as is what stands before the first token.
-    gold = np.zeros((width * 3 + 9,))
-    onehot = np.eye(3)[y] * live[..., None]
-    np.add(gold[: width * 3], np.einsum("ntf,nts->fs", x, onehot).ravel(), out=gold[: width * 3])
-    path = np.concatenate([np.zeros((n, 1), int), y, np.zeros((n, 1), int)], 1)
-    moved = np.concatenate([live, np.zeros((n, 1), bool)], 1) | np.concatenate([np.ones((n, 1), bool), live], 1)
-    for a, b in ((a, b) for a in range(3) for b in range(3)):
-        gold[width * 3 + a * 3 + b] = ((path[:, :-1] == a) & (path[:, 1:] == b) & moved).sum()
-    w, m, v = np.zeros_like(gold), np.zeros_like(gold), np.zeros_like(gold)
-    shut = np.array([0.0, -1e4, -1e4])
-    for step in range(1, steps + 1):
-        weights, moves = w[: width * 3].reshape(width, 3), w[width * 3 :].reshape(3, 3)
-        e = np.where(live[..., None], x @ weights, shut)
-        # After its last token an example makes one more move, to outside; further ones count for nothing.
-        move = [np.where(moved[:, t, None, None], moves, 0.0) for t in range(longest + 1)]
-        alpha = [e[:, 0] + move[0][:, OUTSIDE]]
-        for t in range(1, longest):
-            alpha.append(_logsum(alpha[-1][:, :, None] + move[t], 1) + e[:, t])
-        beta = [move[longest][:, :, OUTSIDE]]
-        for t in range(longest - 1, 0, -1):
-            beta.append(_logsum(move[t] + (e[:, t] + beta[-1])[:, None, :], 2))
-        beta = beta[::-1]
-        total = _logsum(alpha[-1] + beta[-1], 1)
-        expected = np.zeros_like(gold)
-        chance = np.stack([np.exp(a + b - total[:, None]) for a, b in zip(alpha, beta, strict=True)], 1)
-        expected[: width * 3] = np.einsum("ntf,nts->fs", x, chance * live[..., None]).ravel()
-        pair = np.zeros((3, 3))
-        pair[OUTSIDE] += chance[:, 0].sum(0)
-        for t in range(1, longest):
-            both = np.exp(alpha[t - 1][:, :, None] + move[t] + (e[:, t] + beta[t])[:, None, :] - total[:, None, None])
-            pair += both[moved[:, t]].sum(0)
-        pair[:, OUTSIDE] += chance[moved[:, longest], -1].sum(0)
-        expected[width * 3 :] = pair.ravel()
-        g = (gold - expected) / n - decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(w[: width * 3].reshape(width, 3), w[width * 3 :].reshape(3, 3))
-
-
-def invented(n: int, seed: int) -> list[tuple[str, str, tuple[int, int] | None]]:
-    """Words as they occur in texts, with digits or without: what stands before, the word, and where its secret is (or None)."""
-    rng = np.random.default_rng(seed)
-    letters, lower, digits, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
-
-    hints = ("password", "secret", "token", "api_key", "auth", "bearer", "private key", "client_secret", "access_key", "credential")
-
-    def some(alphabet: str, a: int, b: int) -> str:
-        return "".join(rng.choice(list(alphabet), rng.integers(a, b + 1)))
-
-    def pick(*of):
-        return of[rng.integers(len(of))]
-
-    def word() -> str:
-        return some(lower, 2, 9)
-
-    def said() -> str:
-        """A word that can be pronounced, as most words can."""
-        made = "".join(
-            pick("", "b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "tr", "pr", "ch", "sh", "th", "pl")
-            + pick("a", "e", "i", "o", "u", "ea", "ou", "io")
-            + pick("", "", "n", "r", "s", "t", "l", "m", "nd", "st", "ng", "ck", "rt", "ght", "nstr", "rsch", "tz")
-            for _ in range(rng.integers(2, 6))
-        )
-        return pick(made, made, made, made.capitalize(), made.upper())
-
-    def value() -> str:
-        return pick(
-            lambda: some(letters, 18, 40),
-            lambda: some(lower, 20, 40),
-            lambda: some(letters + digits, 9, 16) + "/" + some(letters + digits, 5, 9) + "/" + some(letters, 12, 20),
-            lambda: "".join(pick(some(letters, 3, 9), some(letters + digits, 4, 12)) + pick("/", "+") for _ in range(3)) + some(letters + digits, 8, 18),
-            lambda: "-".join(some(letters.upper() + digits, 5, 5) for _ in range(rng.integers(4, 6))),
-            lambda: some(letters + digits, 16, 40),
-            lambda: some(lower + digits, 16, 40),
-            lambda: some(letters.upper() + digits, 16, 32),
-            lambda: some(hexes, 16, 64),
-            lambda: some(letters + digits, 10, 24) + pick("-", "_", "+", "/") + some(letters + digits, 10, 24),
-            lambda: ".".join(some(letters + digits, 12, 30) for _ in range(3)),
-            lambda: pick("sk", "pk", "ghp", "xoxb", "key") + pick("_", "-") + some(letters + digits, 16, 36),
-        )()
-
-    def ordinary() -> str:
-        return pick(
-            lambda: said() + pick("", "", "", ",", ".", ":", ";", "###", "$$$", "%%%", "!"),
-            lambda: said() + pick("-", "/", "_", "'", ".") + said() + pick("", "", "-" + said(), "/" + said(), "_" + said()),
-            lambda: said().lower() + "".join(said().capitalize() for _ in range(rng.integers(1, 4))) + pick("", "()", ";", "("),
-            lambda: "".join(said().capitalize() for _ in range(rng.integers(1, 4))),
-            lambda: pick('"', "(", "'", "<", "**") + said() + pick('"', ")", "'", ">", "**", ","),
-            lambda: pick(*hints).replace(" ", "_") + pick("", ":", "=", "s", ".", ","),
-            lambda: "/" + "/".join(said().lower() for _ in range(rng.integers(2, 5))),
-            lambda: pick("-", "=", "_", "*", "#", ".") * int(rng.integers(8, 40)),
-            lambda: said().lower() + pick("=", ":") + said().lower() + pick("", "_" + said().lower()),
-        )()
-
-    def plain() -> str:
-        return ordinary() if rng.random() < 0.5 else pick(
-            lambda: f"{pick('http', 'https')}://{word()}.{pick('com', 'org', 'net')}/{word()}/{some(digits, 2, 6)}",
-            lambda: f"https://{word()}.com/{word()}?page={some(digits, 1, 3)}&ref={word()}",
-            lambda: f"{word()}{some(digits, 1, 4)}@{word()}.{pick('com', 'org')}",
-            lambda: f"20{some(digits, 2, 2)}-0{some('123456789', 1, 1)}-1{some(digits, 1, 1)}{pick('', 'T10:00:00Z')}",
-            lambda: f"v{some(digits, 1, 1)}.{some(digits, 1, 2)}.{some(digits, 1, 2)}{pick('', '-rc1', '-beta2')}",
-            lambda: some(digits, 1, 16),
-            lambda: f"+{some(digits, 2, 3)}-{some(digits, 3, 3)}-{some(digits, 4, 8)}",
-            lambda: word().capitalize() + some(digits, 1, 4),
-            lambda: f"{pick('IMG', 'DSC', 'file', 'scan')}_{some(digits, 8, 8)}.{pick('jpg', 'png', 'pdf')}",
-            lambda: f"{some(letters.upper(), 2, 3)}-{some(digits, 3, 6)}",
-            lambda: some(digits, 1, 4) + pick("GB", "km", "px", "th", "MHz", "kg"),
-            lambda: f"#{some(hexes, 6, 6)}",
-            lambda: f"{word()}-{word()}-{some(digits, 1, 4)}",
-            lambda: f"{word()}={some(digits, 1, 5)}",
-            lambda: f"{some(digits, 1, 3)}.{some(digits, 1, 3)}.{some(digits, 1, 3)}.{some(digits, 1, 3)}",
-            lambda: some(digits, 1, 3) + "".join(pick(",", ".", "%", ";")),
-        )()
-
-    out: list[tuple[str, str, tuple[int, int] | None]] = []
-    for _ in range(n):
-        before = " ".join(word() for _ in range(3)) + " "
-        if rng.random() < 0.55:
-            word_ = plain()
-            out.append((before if rng.random() < 0.9 else before + pick(*hints) + pick(" ", ": ", " = "), word_, None))
-            continue
-        v = value()
-        q = pick("", "", '"', "'")
-        form = rng.integers(4)
-        if form < 2 and rng.random() < 0.1:
-            v = some(digits, 14, 30)
-        if form == 0:
-            head = pick(*hints).replace(" ", "_") + pick("=", ":") + q
-            out.append((before, head + v + q + pick("", ",", ";"), (len(head), len(head) + len(v))))
-        elif form == 1:
-            out.append((before + pick(*hints) + pick(": ", " = ", " "), q + v + q + pick("", ",", "."), (len(q), len(q) + len(v))))
-        elif form == 2:
-            head = f"https://{word()}.com/{word()}?{pick('token', 'key', 'auth', 'sig')}="
-            out.append((before, head + v, (len(head), len(head) + len(v))))
-        else:
-            out.append((before, v + pick("", ".", ","), (0, len(v))))
-    return out
-
-
-def labelled(before: str, word: str, secret: tuple[int, int] | None, whole: tuple[float, ...]) -> tuple[np.ndarray, list[int]]:
-    parts = [(m.start(), m[0]) for m in _TOKEN.finditer(word)]
-    tags, on = [], False
-    for at, _ in parts:
-        within = secret is not None and secret[0] <= at < secret[1]
-        tags.append(OUTSIDE if not within else INSIDE if on else BEGIN)
-        on = within
-    names = [t for _, t in parts]
-    return np.array([_token_features(names, k, before[-CONTEXT:], whole) for k in range(len(names))]), tags
-
-
-@lru_cache(maxsize=1)
-def trained() -> Field:
-    """The field, trained on TRAINING_WORDS made-up words: the bound is fixed, and corpus rows play no part."""
-    rng = np.random.default_rng(SEED + 1)
-    return train([labelled(*x, tuple(rng.integers(0, 2, 4).astype(float))) for x in invented(TRAINING_WORDS, SEED)])
-
-
-def _tagged(word: str, before: str, whole: tuple[float, ...], field: Field) -> tuple[tuple[int, int], ...]:
-    """Secrets in a word, counted from its start."""
-    parts = [(m.start(), m[0]) for m in _TOKEN.finditer(word)]
-    names = [t for _, t in parts]
-    tags = field.tags(np.array([_token_features(_near(names, k), min(k, _NEAR), before, whole) for k in range(len(names))]))
-    out, start, end = [], None, 0
-    for (at, name), tag in zip(parts, tags, strict=True):
-        if tag == BEGIN or (tag == INSIDE and start is None):
-            if start is not None:
-                out.append((start, end))
-            start = at
-        elif tag == OUTSIDE and start is not None:
-            out.append((start, end))
-            start = None
-        end = at + len(name)
-    if start is not None:
-        out.append((start, end))
-    return tuple(out)
-
-
 @lru_cache(maxsize=1)
-def _known(weights: bytes) -> dict:
-    """Tags of words that this process has met, for a field with these weights."""
-    return {}
+def trained() -> secret_field.Field:
+    """The field, trained on TRAINING_LINES made-up lines: the bound is fixed, and corpus rows play no part."""
+    return secret_field.train(secret_field.examples(secret_lines.Lines(SEED).some_lines(TRAINING_LINES)), STEPS)
 
 
-def field_spans(text: str, field: Field, known: dict | None = None) -> list[tuple[int, int]]:
-    """Secrets that the field tags, in code points.
+def field_spans(texts: pa.Array, field: secret_field.Field) -> Iterator[list[tuple[int, int]]]:
+    """For each text the secrets that the field tags, in code points; null counts as empty.
 
-    The field runs over each word (no white space) of LEAST_WORD characters or
-    more, and over shorter ones that have a hint in them or in the CONTEXT
-    before.  White space is outside, so the words' chains are independent.  A
-    word whose context says nothing has the same tags wherever the rest of the
-    text looks alike; known keeps those of words met before.
+    Every word of every text is decoded, with no condition on its look or length.
     """
-    known = {} if known is None else known
-    marks = [m.span() for m in _MARK.finditer(text)]
-    whole, out, first = file_features(text), [], 0
-    for m in (_WORD if marks else _LONG).finditer(text):
-        a, b = m.span()
-        while first < len(marks) and marks[first][0] < a - CONTEXT:
-            first += 1
-        near = first < len(marks) and marks[first][0] < b
-        if near and marks[first][0] < a:
-            spans = _tagged(m[0], text[max(0, a - CONTEXT) : a], whole, field)
-        elif b - a < LEAST_WORD and not near:
-            continue
-        else:
-            key = m[0], whole
-            spans = known.get(key)
-            if spans is None:
-                spans = _tagged(m[0], "", whole, field)
-                if b - a <= _KEPT_CHARS:
-                    if len(known) >= _KEPT_WORDS:
-                        known.clear()
-                    known[key] = spans
-        out += [(a + s, a + e) for s, e in spans]
-    return out
+    for block in tokens.blocks(texts):
+        yield from field.spans(secret_field.words_of(block))
 
 
-def _apart(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans, in order and apart from each other, that meet none of the others."""
-    out, ahead, j, reach = [], sorted(others), 0, 0
+def _beyond(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, in order, that do not lie within one of the others."""
+    out, ahead, j, reach = [], sorted(others), 0, -1
     for s, e in spans:
-        while j < len(ahead) and ahead[j][0] < e:
+        while j < len(ahead) and ahead[j][0] <= s:
             reach = max(reach, ahead[j][1])
             j += 1
-        if reach <= s:
+        if e > reach:
             out.append((s, e))
     return out
 
 
-#: Tokens before a token that its features look at, so that a very long word costs no more for each.
-_NEAR = 24
-
-
-def _near(names: list[str], k: int) -> list[str]:
-    return names[max(0, k - _NEAR) : k + 2]
-
-
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with spans: array of (kind, start, end) in code points, by start, then kind, then end.
 
-    Kinds are those of KINDS; a span of the field is added where it meets no
-    span of the patterns.  Null and empty texts have none.  Every row is scanned
-    whole and by itself, so repeated rows get the same spans and an empty table
-    gives an empty one.  Other columns are carried along, except one named spans.
+    Kinds are those of KINDS; a span of the field is added unless it lies within
+    a span of the patterns.  Null and empty texts have none.  Every row is
+    scanned whole and by itself, so repeated rows get the same spans and an
+    empty table gives an empty one.  Very long texts take memory in proportion
+    to their length, very long words are decoded in pieces.  Other columns are
+    carried along, except one named spans.
     """
     names = [c for c in docs.columns if c != "spans"]
     at = names.index(text)
@@ -396,13 +80,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field(*shared.value)
-        known = _known(field.weights.tobytes() + field.moves.tobytes())
+        field = secret_field.Field(*shared.value)
         for batch in batches:
             found = []
-            for t in batch.column(at).to_pylist():
+            for t, spans in zip(batch.column(at).to_pylist(), field_spans(batch.column(at), field), strict=True):
                 base = base_spans(t or "")
-                more = [("crf", s, e) for s, e in _apart(field_spans(t or "", field, known), [(s, e) for _, s, e in base])]
+                more = [("crf", s, e) for s, e in _beyond(spans, [(s, e) for _, s, e in base])]
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted([*base, *more], key=_order)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*(f"c{i}" for i in range(len(names))), "spans"])
 

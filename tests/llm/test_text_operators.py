@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from passagemill.llm import chat, decontaminate, lines, lm, packing, quality, queries, secrets, sstable, tokens, urls
+from passagemill.llm import chat, decontaminate, lines, lm, packing, quality, queries, secret_field, secrets, sstable, tokens, urls
 from passagemill.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, rule string"
@@ -329,48 +330,128 @@ def test_secret_base_spans(which, request):
     assert found == collections.Counter((r["doc_id"], tuple(base(r["text"]))) for r in df.collect())
 
 
-def test_secret_field_on_held_out_words(spark):
-    field, whole = secrets.trained(), (1.0, 0.0, 0.0, 0.0)
-    right = sum(field.tags(x) == y for x, y in (secrets.labelled(*w, whole) for w in secrets.invented(500, 77)))
-    assert right >= 485
-    text = "Ürsprung: the bearer Zx81kQp02LmN7vTr4Yw, and page https://a.org/12 of file2023"
-    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    spans = secrets.find_secrets(table).first()["spans"]
-    assert [text[s["start"] : s["end"]] for s in spans] == ["Zx81kQp02LmN7vTr4Yw"]
-    assert secrets._apart([(0, 3), (5, 8), (9, 12)], [(2, 4), (8, 9)]) == [(5, 8), (9, 12)]
+def held_out():
+    """Lines of another make than those trained on: settings, logs, chats and prose, with their secrets."""
+    rng = np.random.default_rng(2024)
+
+    def some(alphabet, n):
+        return "".join(rng.choice(list(alphabet), n))
+
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = [
+        *(("export STRIPE_API_KEY={}", f"sk_live_{some(both, 24)}") for _ in range(8)),
+        *(("  password: {}", w) for w in ("Winter2019!", "tr0ub4dor&3".replace("&", "x"), "letmein12345", "Sunshine77#", "blueMonkey42", "qazwsxedc99")),
+        *(("my password is {} please keep it", w) for w in ("correcthorsebatterystaple", "purpletigerdancesalone", "marblewindowfrostgarden")),
+        *(("curl -H 'Authorization: Bearer {}' https://api.site.org/v1/items", some(both, 40)) for _ in range(8)),
+        *(("jdbc postgres://admin:{}@db1.corp.net:5432/main", w) for w in ("S3cretPw", "hunter22", some(both, 12), some(both, 16))),
+        *(("aws_secret_access_key {}", f"{some(both, 12)}/{some(both, 8)}/{some(both, 18)}") for _ in range(8)),
+        *(("found {} in the old repository", f"ghp_{some(both, 36)}") for _ in range(8)),
+        *(('  "client_secret": "{}",', some(both, 32)) for _ in range(8)),
+        *(("license key: {}", "-".join(some("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 5) for _ in range(5))) for _ in range(6)),
+    ]
+    plain = [
+        "The committee met on 2021-04-17 and adopted resolution 44/2021 by 12 votes to 3.",
+        "Call +1-202-555-0143 or write to jane.doe42@example.org before 10:30.",
+        "See https://www.youtube.com/watch?v=dQw4w9WgXcQ and https://en.wikipedia.org/wiki/Special:Search?search=blue",
+        "Please reset your password on the account page; the token is required.",
+        "def compute_total(items): return sum(item.price * item.quantity for item in items)",
+        "ThreadPoolExecutor, ConcurrentHashMap and AbstractBeanFactory2 are classes.",
+        "see chapter3section12, figure7b and table10 of volume2",
+        "Die Donaudampfschifffahrtsgesellschaft und das Rechtsschutzversicherungswesen",
+        "L'électroencéphalographiste a rédigé un rapport extraordinairement détaillé.",
+        "Order 5803870406416778 was shipped in box 12-B4 at 192.168.10.254.",
+        "key findings: the secret garden has private paths, a token of thanks",
+        "import numpy as np; from collections.abc import MutableMapping",
+        "version 3.11.4-rc2, build 20230615, sha256 base64 utf-8 x86_64",
+        "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch is a village.",
+        "=================== ------------------- *********** |||||||",
+        "The login page asks for a username and a passphrase of at least twelve characters.",
+    ]
+    lines = [(f.replace("{}", v), [(f.index("{}"), f.index("{}") + len(v))]) for f, v in secret]
+    return lines + [(p, []) for p in plain]
+
+
+def test_secret_field_on_held_out_lines():
+    lines = held_out()
+    found = list(secrets.field_spans(pa.array([t for t, _ in lines]), secrets.trained()))
+    right = sum(len(set(a) & set(b)) for (_, a), b in zip(lines, found, strict=True))
+    met = sum(any(s < y and x < e for x, y in b) for (_, a), b in zip(lines, found, strict=True) for s, e in a)
+    n, said = sum(len(a) for _, a in lines), sum(map(len, found))
+    print(f"recall {met / n:.3f}, to the character {right / n:.3f}; precision to the character {right / said:.3f}", [(t, b) for (_, a), b, (t, _) in zip(lines, found, lines, strict=True) if a != b])
+    assert met >= 0.9 * n and right >= 0.8 * n and right >= 0.8 * said
+    assert not any(b for (_, a), b in zip(lines, found, strict=True) if not a)
+
+
+def test_secret_field_leaves_the_corpus_alone(spark):
+    """Only what a pattern also knows is tagged in invented prose, though each of its words is decoded."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.filter("text rlike '(token|password|secret) = '").collect()
+    texts = [r["text"] for r in rows]
+    for text, spans in zip(texts, secrets.field_spans(pa.array(texts, pa.string()), secrets.trained()), strict=True):
+        known = [(s, e) for k, s, e in base(text) if k == "assign"]
+        assert all(any(s < b and a < e for a, b in known) for s, e in spans) and len(spans) >= len(known) > 0
 
 
 @pytest.mark.parametrize(
     ("text", "secret"),
     [
         ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ("aws_secret_access_key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ("password is correcthorsebatterystaple", "correcthorsebatterystaple"),
+        ("pwd: hunter2!x", "hunter2!x"),
+        ("postgres://user:S3cretPw@db.example.com/x", "S3cretPw"),
         ("the secret key is qWzXkTbvNmPlRsDfGhJk in use", "qWzXkTbvNmPlRsDfGhJk"),
         ("client key: AB3DE-9K2LM-QW4RT-77XYZ end", "AB3DE-9K2LM-QW4RT-77XYZ"),
         ("signing secret 839201746523019846 stays", "839201746523019846"),
+        ("Ürsprung: the bearer Zx81kQp02LmN7vTr4Yw, and page https://a.org/12 of file2023", "Zx81kQp02LmN7vTr4Yw"),
         ("internationalization of responsibilities: password required, token management by getElementById and/or others", None),
+        ("see chapter3section12 of it and https://www.youtube.com/watch?v=dQw4w9WgXcQ", None),
+        ("", None),
+        (None, None),
     ],
 )
 def test_secret_field_decodes_every_word(text, secret):
-    known = {}
-    for _ in range(2):
-        assert [text[a:b] for a, b in secrets.field_spans(text, secrets.trained(), known)] == ([secret] if secret else [])
+    found = list(secrets.field_spans(pa.array([text, "other words", text], pa.string()), secrets.trained()))
+    assert [[text[a:b] for a, b in x] if text else x for x in found[::2]] == [[secret] if secret else []] * 2
+
+
+def test_secrets_that_patterns_miss_are_added(spark):
+    text = 'Ü password="correct-horse!battery7" and pwd: hunter2!x'
+    spans = secrets.find_secrets(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, spans string")).first()["spans"]
+    assert [s["kind"] for s in spans] == ["assign", "crf", "crf"] and text[spans[2]["start"] : spans[2]["end"]] == "hunter2!x"
+    assert secrets._beyond([(0, 3), (5, 8), (9, 12)], [(2, 4), (4, 8)]) == [(0, 3), (9, 12)]
+
+
+def test_very_long_words_are_decoded_in_pieces():
+    strong = "Zx81kQp02LmN7vTr4YwQ9bXc3VnM"
+    for n in (3, 4090, 5000, 9000):
+        text = "é" * n + "/" + strong + "/" + "-" * 20_000 + " end"
+        words = secret_field.words_of(pa.array([text], pa.large_string()))
+        assert max(words.end - words.start) <= secret_field.LONGEST_WORD
+        assert bytes(words.raw[words.start[0] : words.end[-2]]).decode() == text[:-4]
+        assert len(secrets.trained().spans(words)[0]) <= 3
+    text = "key=" + "Zx81kQp02LmN7vTr4Yw" * 600
+    assert list(secrets.field_spans(pa.array([text]), secrets.trained()))[0][0][1] == len(text)
 
 
 def test_viterbi_by_brute_force():
     import itertools
 
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        f = secrets.Field(rng.normal(size=(4, 3)), rng.normal(size=(3, 3)))
-        x = rng.normal(size=(5, 4))
-
-        def score(tags, f=f, x=x):
-            s, last = 0.0, 0
-            for row, t in zip(x @ f.weights, tags, strict=True):
-                s, last = s + f.moves[last, t] + row[t], t
-            return s + f.moves[last, 0]
-
-        assert tuple(f.tags(x)) == max(itertools.product(range(3), repeat=5), key=score)
+    length = rng.integers(1, 6, 60)
+    moves, scores = rng.normal(size=(3, 3)), rng.normal(size=(int(length.sum()), 3))
+    first = np.cumsum(length) - length
+    tags = secret_field.decode(scores, first, length, moves)
+
+    def score(tags, rows):
+        s, last = 0.0, 0
+        for row, t in zip(rows, tags, strict=True):
+            s, last = s + moves[last, t] + row[t], t
+        return s + moves[last, 0]
+
+    for a, n in zip(first, length, strict=True):
+        rows = scores[a : a + n]
+        assert tuple(tags[a : a + n]) == max(itertools.product(range(3), repeat=int(n)), key=lambda t, rows=rows: score(t, rows))
 
 
 # Urls
