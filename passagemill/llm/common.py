@@ -17,10 +17,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's address below the folder that the cluster shares (spark.checkpoint.dir).
 
     Where the setting is missing, as in tests on one machine, a temporary
-    folder takes its place for the session.
+    folder takes its place for the session; on a cluster that is an error, as
+    executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows, written once to a table in the shared folder and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     """Rows, and characters of text: what partition counts are chosen by."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()

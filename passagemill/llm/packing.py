@@ -130,7 +130,7 @@ def pack_documents(
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = tokens.loaded(tokens.WordBpe, tokenizer)
+        (words,) = tokens.loaded((tokens.WordBpe, tokenizer))
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0

@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = tokens.loaded(tokens.WordBpe, tokenizer)
+        (words,) = tokens.loaded((tokens.WordBpe, tokenizer))
         id_bytes = 2 if max(len(words._ends), end_id + 1) <= 2**16 else 4
         part, made, out, last, row = TaskContext.get().partitionId(), [], None, (), 0
         try:

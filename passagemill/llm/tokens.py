@@ -32,6 +32,7 @@ BLOCK_BYTES = 4_000_000
 #: Characters other than precomposed Latin letters, ASCII and common
 #: punctuation, which Unicode normalisation leaves as they are.
 _ODD = "[^\\t\\n\\r -~¡-¬®-±´-¸º»¿-įĴ-ňŊ-ž‐-‧€]|<\\|"
+_ODD_WORD = re.compile(_ODD)
 #: The lower-casing vocabulary's cut, for lower-cased words without odd characters.
 _CUT = re.compile("'(?:s|t|re|ve|m|ll|d)|[^\\W\\d_]+|[0-9]|[!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧€]+")
 
@@ -69,7 +70,7 @@ class _Cache:
     """Ids of words in two generations: when the new one is full it becomes the old one, from which words in use come back."""
 
     def __init__(self, most: int):
-        self._most, self._new, self._old = most, {}, {}
+        self.most, self._new, self._old = most, {}, {}
 
     def unknown(self, words: Iterable[str]) -> list[str]:
         """The words that neither generation has; the others are in the new one afterwards."""
@@ -90,7 +91,7 @@ class _Cache:
         return list(map(self._new.__getitem__, words))
 
     def settle(self) -> None:
-        if len(self._new) > self._most:
+        if len(self._new) > self.most:
             self._old, self._new = self._new, {}
 
 
@@ -102,6 +103,10 @@ class _Words:
     def __init__(self):
         self._words = _Cache(CACHE_WORDS)
 
+    def share(self, n: int) -> None:
+        """Lets n vocabularies have the memory of one."""
+        self._words.most = CACHE_WORDS // n
+
     def _learn(self, words: list[str]) -> list[bytes]:
         raise NotImplementedError
 
@@ -140,6 +145,10 @@ class WordBpe(_Words):
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._pieces = _Cache(CACHE_PIECES)
 
+    def share(self, n: int) -> None:
+        super().share(n)
+        self._pieces.most = CACHE_PIECES // n
+
     def library(self, text: str) -> np.ndarray:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -156,6 +165,15 @@ class WordBpe(_Words):
                 yield from (self.library(p).tobytes() for p in some)
 
     def _learn(self, words: list[str]) -> list[bytes]:
+        odd = [i for i, w in enumerate(words) if _ODD_WORD.search(w)]
+        if odd:  # words of texts that encode() gives to the library whole; fertility takes them one by one
+            out = [b""] * len(words)
+            for i in odd:
+                out[i] = self.library(words[i]).tobytes()
+            rest = sorted(set(range(len(words))) - set(odd))
+            for i, ids in zip(rest, self._learn([words[i] for i in rest]) if rest else (), strict=True):
+                out[i] = ids
+            return out
         cut = [[w] if w.isalpha() else _CUT.findall(w) for w in map(str.lower, words)]
         flat = [p for pieces in cut for p in pieces]
         new = list(dict.fromkeys(self._pieces.unknown(flat)))
@@ -194,12 +212,15 @@ class PieceBpe(_Words):
 _loaded: dict[tuple[type, str], object] = {}
 
 
-def loaded(kind: type, path: str):
-    """The worker process' instance, whose cache lasts over tasks; only the last vocabulary asked for is kept."""
-    if (kind, path) not in _loaded:
-        _loaded.clear()
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+def loaded(*asked: tuple[type, str]) -> list:
+    """The worker process' instances of (kind, path), whose caches last over tasks; only those asked for last are kept."""
+    for x in set(_loaded) - set(asked):
+        del _loaded[x]
+    for kind, path in asked:
+        if (kind, path) not in _loaded:
+            _loaded[kind, path] = kind(path)
+        _loaded[kind, path].share(len(asked))
+    return [_loaded[x] for x in asked]
 
 
 def word_bpe_path() -> str:

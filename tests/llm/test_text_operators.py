@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -126,15 +127,59 @@ def test_quality_counts(which, request):
     assert found == collections.Counter((r["doc_id"], *base_rules(r["text"])) for r in df.collect())
 
 
+def fertility(text, pieces, whole):
+    """Tokens, characters per token, byte share, entropy share and the other vocabulary's characters per token, from the libraries themselves."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in words for i in pieces.encode(w)]
+    others = sum(len(library(whole, w, 0)) - 1 for w in words)
+    if not ids:
+        return 0, None, None, None, None
+    p = [k / len(ids) for k in collections.Counter(ids).values()]
+    entropy = -sum(x * math.log2(x) for x in p) / math.log2(min(len(ids), 4096)) if len(ids) > 1 else 1.0
+    chars = sum(map(len, words))
+    return len(ids), round(chars / len(ids), 9), round(sum(3 <= i <= 258 for i in ids) / len(ids), 9), round(entropy, 9), round(chars / others, 9) if others else None
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_fertility_figures(which, request, tokenizer):
+    import sentencepiece
+
+    df = request.getfixturevalue(which).limit(60)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokens.piece_bpe_path())
+    rounded = [F.round(c, 9).alias(c) for c in ("chars_per_token", "byte_share", "entropy_share", "other_chars_per_token")]
+    found = collections.Counter(tuple(r) for r in quality.judge(df).select("doc_id", "n_tokens", *rounded).collect())
+    assert found == collections.Counter((r["doc_id"], *fertility(r["text"], pieces, tokenizer)) for r in df.collect())
+
+
+@pytest.mark.parametrize(("text", "script"), [("abc def", "latin"), ("αβγ a", "greek"), ("привет мир x", "cyrillic"), ("漢字かな", "han"), ("مرحبا", "arabic"), ("123 !!", "other"), ("", "other")])
+def test_scripts(text, script):
+    assert quality._script(text) == script
+
+
 def test_quality_verdicts(spark, docs, empty):
     judged = quality.judge(docs).collect()
     assert all(not r["kept"] for r in judged if r["base_failed"])
-    assert sum(r["kept"] for r in judged) > 0.95 * sum(not r["base_failed"] for r in judged)
-    junk = spark.createDataFrame([(1, " ".join(hashlib.md5(str(i).encode()).digest().decode("latin-1") for i in range(40)), "en")], "doc_id long, text string, lang string")
-    assert not quality.judge(junk).first()["kept"]
+    assert sum(r["kept"] for r in judged) > 0.9 * sum(not r["base_failed"] for r in judged)
     assert quality.judge(empty).count() == 0
-    bands = {r["band"]: r for r in quality.fit_bands(quality.measure(docs, tokens.piece_bpe_path())).collect()}
-    assert bands["en"]["least_chars"] < bands["en"]["most_chars"]
+
+
+def test_planted_junk_is_rejected(spark):
+    """Bytes, one token again and again, gibberish and signs among words go; the texts that they were made from stay."""
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1"), "doc_id").filter("lang = 'en' AND n_chars BETWEEN 400 AND 4000").orderBy("doc_id").limit(40).collect()
+    rng = np.random.default_rng(8)
+    made = [
+        lambda t: " ".join("".join(chr(c) for c in rng.integers(0x2800, 0x28FF, 6)) for _ in t.split()),
+        lambda t: " ".join("".join(rng.choice(list("qxzjkvbw"), len(w))) for w in t.split()),
+        lambda t: " ".join(w + "###" for w in t.split()),
+        lambda t: " ".join(rng.choice(["the", "of", "and", "to"]) for _ in t.split()),
+    ]
+    junk = [(10_000_000 + 100 * k + i, f(r["text"]), "en", "x", 1) for k, f in enumerate(made) for i, r in enumerate(clean)]
+    judged = {r["doc_id"]: r for r in quality.judge(docs.union(spark.createDataFrame(junk, docs.schema))).collect()}
+    assert sum(judged[r["doc_id"]]["kept"] for r in clean) >= 39
+    for k in range(len(made)):
+        assert sum(judged[i]["kept"] for i in judged if i >= 10_000_000 and (i - 10_000_000) // 100 == k) <= (4 if k == 2 else 0), k
 
 
 def test_fertility_rejects_low_quality(spark):
@@ -142,16 +187,17 @@ def test_fertility_rejects_low_quality(spark):
     folder = SMALL.replace("sf0.001", "sf0.01")
     judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).filter("NOT base_failed").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     n = collections.Counter((r["quality"], r["kept"]) for r in judged.select("quality", "kept").collect())
-    assert n[0, False] > 0.6 * (n[0, False] + n[0, True])
-    assert n[1, True] > 0.95 * (n[1, False] + n[1, True])
+    assert n[0, False] > 0.7 * (n[0, False] + n[0, True])
+    assert n[1, True] > 0.97 * (n[1, False] + n[1, True])
 
 
 def test_bands_of_groups_without_texts_stay_wide(spark):
     words = [hashlib.md5(str(i).encode()).hexdigest() for i in range(400)]
-    rows = [(i, " ".join(words[i : i + 12]), None) for i in range(quality.LEAST_TEXTS)]
-    found = quality.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokens.piece_bpe_path())
-    assert found["latin"] != quality.BANDS["latin"] == found["any latin"]
-    assert found["en"] == quality.BANDS["en"]
+    rows = [(i, " ".join(words[i : i + 12]), None) for i in range(quality.LEAST_TEXTS)] + [(1000, "a few words of English stand for themselves in a band of their script", "en"), (1001, " ".join(words[:2]), "en"), (1002, "zz " * 40, None)]
+    judged = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    bands = {(r["g"], r["length_class"]): r for r in quality.fit_bands(quality.measure(spark.createDataFrame(rows[:-3], "doc_id long, text string, lang string"), tokens.piece_bpe_path(), tokens.word_bpe_path())).collect()}
+    assert bands["latin", None]["n_texts"] == quality.LEAST_TEXTS and bands["latin", None]["band"]["low"] < bands["latin", None]["band"]["high"]
+    assert judged[1000]["kept"] and judged[0]["kept"] and not judged[1001]["kept"] and not judged[1002]["kept"]
 
 
 # Lines
