@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 SPACE = b" \t\n\v\f\r"
-#: Bits of a filter for each line; the least and most bits of a filter; bits of a segment; hashes.
-BITS_A_LINE, LEAST_BITS, MOST_BITS, SEGMENT_BITS, HASHES = 12, 1 << 16, 1 << 28, 1 << 16, 4
+#: Bits of each filter for a line, hashes, and lines that a task's two filters are made for.
+BITS_A_LINE, HASHES, LINES_A_TASK = 12, 4, 4_000_000
 #: Hashes that a task holds before it hands them on.
 BUFFER = 1_000_000
-#: Bytes of confirmed lines up to which every task gets them all; beyond, they are joined by shuffle.
+#: Bytes of suspected hashes, and of confirmed lines, up to which every task gets them all; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
 
 
@@ -32,54 +32,54 @@ def _hashes(keys: Iterable[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
 
-def _positions(h: np.ndarray) -> np.ndarray:
-    """Places of each hash's bits within its segment."""
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16)) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)) % np.uint64(SEGMENT_BITS)).astype(np.int64)
-
-
-def _segment(h: np.ndarray, segments: int) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % segments
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """Places of each hash's bits in a filter."""
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16) & np.uint64(0xFFFFFF)) | np.uint64(1)
+    return ((a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
 
-def seen_twice(docs: DataFrame, text: str = "text", min_length: int = 1) -> tuple[int, list[bytes]]:
-    """The twice-seen filter over all documents' lines: how many segments it has, and their bits.
+def _long_enough(keys: Iterable[bytes], min_length: int) -> Iterator[bytes]:
+    return (k for k in keys if k and (min_length < 2 or len(k.decode()) >= min_length))
+
+
+def seen_twice(docs: DataFrame, text: str = "text", min_length: int = 1, lines_a_task: int = LINES_A_TASK) -> DataFrame:
+    """Hashes of lines that the twice-seen filters suspect to be in two documents or more: rows of packed u64 (hashes binary).
 
     A task hands on the hashes of its lines, eight bytes for each different
-    line, dealt to segments; a segment's task puts them through a once-seen and
-    a twice-seen filter, so its memory is that of its segments' bits however
-    many lines there are.  No line seen in two documents is missed.  The filter
-    has MOST_BITS at most (32 MB): beyond some 20 million lines it holds more
-    false suspects, which the exact count sorts out.
+    line, dealt to parts; a part's task puts them through a once-seen and a
+    twice-seen filter of its own.  There are as many parts as lines_a_task asks
+    for, so a filter has one size however many lines there are.  No line of two
+    documents is missed; a line of one document is suspected with the filters'
+    small chance.
     """
     n = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(n * BITS_A_LINE - 1).bit_length()))
-    segments = bits // SEGMENT_BITS
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines_a_task + 1)
+    bits = max(1 << 12, BITS_A_LINE * (n // parts + 1))
 
     def hand_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
             h, counts = np.unique(np.concatenate(held), return_counts=True)
-            of = _segment(h, segments)
+            of = (h >> np.uint64(40)).astype(np.int64) % parts
             order = np.argsort(of, kind="stable")
             h, counts, of = h[order], counts[order], of[order]
             cuts = np.flatnonzero(np.diff(of)) + 1
-            parts, many = np.split(h, cuts), np.split(counts > 1, cuts)
+            own, many = np.split(h, cuts), np.split(counts > 1, cuts)
             return pa.record_batch(
                 {
-                    "segment": pa.array(of[np.concatenate([[0], cuts]).astype(np.int64)], pa.int32()),
-                    "once": pa.array([x.tobytes() for x in parts], pa.binary()),
-                    "twice": pa.array([x[m].tobytes() for x, m in zip(parts, many, strict=True)], pa.binary()),
+                    "part": pa.array(of[np.concatenate([[0], cuts]).astype(np.int64)], pa.int64()),
+                    "once": pa.array([x.tobytes() for x in own], pa.binary()),
+                    "twice": pa.array([x[m].tobytes() for x, m in zip(own, many, strict=True)], pa.binary()),
                 }
             )
 
         held, size = [], 0
         for batch in batches:
             for t in _texts(batch, 0):
-                held.append(_hashes({k for k in keys_of(t) if k and (min_length < 2 or len(k.decode()) >= min_length)}))
+                held.append(_hashes(set(_long_enough(keys_of(t), min_length))))
                 size += len(held[-1])
                 if size >= BUFFER:
                     yield flushed(held)
@@ -90,36 +90,48 @@ def seen_twice(docs: DataFrame, text: str = "text", min_length: int = 1) -> tupl
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
         twice: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for s, raw, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s not in once:
-                    once[s], twice[s] = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-                at = _positions(np.frombuffer(raw, np.uint64))
-                twice[s][at[once[s][at].all(axis=1)].ravel()] = True
-                twice[s][_positions(np.frombuffer(again, np.uint64)).ravel()] = True
-                once[s][at.ravel()] = True
-        if twice:
-            yield pa.record_batch({"segment": pa.array(list(twice), pa.int32()), "bits": pa.array([np.packbits(b).tobytes() for b in twice.values()], pa.binary())})
-
-    width = min(segments, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(text).mapInArrow(hand_on, "segment int, once binary, twice binary").repartition(width, "segment")
-    found = {s: bytes(b) for s, b in dealt.mapInArrow(fold, "segment int, bits binary").collect()}
-    return segments, [found.get(s, bytes(SEGMENT_BITS // 8)) for s in range(segments)]
-
-
-def repeated_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+            for part, raw, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part not in once:
+                    once[part], twice[part], held[part] = np.zeros(bits, bool), np.zeros(bits, bool), []
+                h = np.frombuffer(raw, np.uint64)
+                at = _positions(h, bits)
+                twice[part][at[once[part][at].all(axis=1)].ravel()] = True
+                twice[part][_positions(np.frombuffer(again, np.uint64), bits).ravel()] = True
+                once[part][at.ravel()] = True
+                held[part].append(h)
+        for part, own in held.items():
+            h = np.concatenate(own)
+            found = np.unique(h[twice[part][_positions(h, bits)].all(axis=1)])
+            if len(found):
+                yield pa.record_batch({"hashes": pa.array([found.tobytes()], pa.binary())})
+
+    dealt = docs.select(text).mapInArrow(hand_on, "part long, once binary, twice binary").repartition(parts, "part")
+    return dealt.mapInArrow(fold, "hashes binary")
+
+
+def repeated_lines(
+    docs: DataFrame, min_docs: int = 10, min_length: int = 1, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, lines_a_task: int = LINES_A_TASK
+) -> DataFrame:
     """Line keys found in min_docs documents or more: line (binary), n_docs, first (doc and line number of the first occurrence).
 
-    Only lines that the twice-seen filter suspects are shuffled, summed over a
+    Only lines that the filters suspect are counted exactly, summed over a
     task's documents beforehand, so a line of a third of all documents comes as
-    one row from each task.
+    one row from each task.  Suspected hashes of broadcast_bytes at most go to
+    every task, which then sends no other line; more are met by a join on the
+    hash.
     """
     spark = docs.sparkSession
-    segments, bits = seen_twice(docs, text, min_length)
-    shared = spark.sparkContext.broadcast(b"".join(bits))
+    suspects = checkpointed(seen_twice(docs, text, min_length, lines_a_task))
+    size = suspects.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    shared = None
+    if size <= broadcast_bytes:
+        packed = b"".join(bytes(r["hashes"]) for r in suspects.toLocalIterator())
+        shared = spark.sparkContext.broadcast(np.unique(np.frombuffer(packed, np.uint64)).tobytes())
 
-    def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(shared.value, np.uint8)
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint64) if shared is not None else None
         counts: Counter[bytes] = Counter()
         first: dict[bytes, tuple] = {}
 
@@ -127,26 +139,32 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, key
             names = list(counts)
             places = [{"doc": first[x][1], "line": first[x][2]} for x in names]
             return pa.record_batch(
-                {"line": pa.array(names, pa.binary()), "n": pa.array([counts[x] for x in names], pa.int64()), "first": pa.array(places, pa.struct([("doc", pa.int64()), ("line", pa.int64())]))}
+                {
+                    "hash": pa.array(_hashes(names).view(np.int64), pa.int64()),
+                    "line": pa.array(names, pa.binary()),
+                    "n": pa.array([counts[x] for x in names], pa.int64()),
+                    "first": pa.array(places, pa.struct([("doc", pa.int64()), ("line", pa.int64())])),
+                }
             )
 
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
                 places: dict[bytes, int] = {}
                 for i, k in enumerate(keys_of(t)):
-                    if k and (min_length < 2 or len(k.decode()) >= min_length):
-                        places.setdefault(k, i)
-                if not places:
+                    places.setdefault(k, i)
+                own = list(_long_enough(places, min_length))
+                if not own:
                     continue
-                h = _hashes(places)
-                at = _positions(h) + (_segment(h, segments) * SEGMENT_BITS)[:, None]
-                hit = (words[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
-                for k, yes in zip(places, hit.tolist(), strict=True):
-                    if yes:
-                        counts[k] += 1
-                        place = (doc is not None, doc, places[k])
-                        if k not in first or (place[0], place[1] or 0, place[2]) < (first[k][0], first[k][1] or 0, first[k][2]):
-                            first[k] = place
+                if known is not None:
+                    h = _hashes(own)
+                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                    own = [k for k, yes in zip(own, hit.tolist(), strict=True) if yes]
+                for k in own:
+                    counts[k] += 1
+                    place = (doc is not None, doc, places[k])
+                    if k not in first or (place[0], place[1] or 0, place[2]) < (first[k][0], first[k][1] or 0, first[k][2]):
+                        first[k] = place
             if len(counts) >= BUFFER // 4:
                 yield flushed()
                 counts.clear()
@@ -155,7 +173,15 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, key
             yield flushed()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = rows.mapInArrow(suspects, "line binary, n long, first struct<doc: long, line: long>")
+    found = rows.mapInArrow(count, "hash long, line binary, n long, first struct<doc: long, line: long>")
+    if shared is None:
+
+        def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    yield pa.record_batch({"hash": pa.array(np.frombuffer(raw, np.int64), pa.int64())})
+
+        found = found.join(suspects.mapInArrow(unpacked, "hash long"), "hash", "left_semi")
     return found.groupBy("line").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
 
 
@@ -184,7 +210,7 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    bad = checkpointed(repeated_lines(docs, min_docs, min_length, key, text))
+    bad = checkpointed(repeated_lines(docs, min_docs, min_length, key, text, broadcast_bytes))
     size = bad.agg(F.sum(F.length("line") + 64)).first()[0] or 0
     names = docs.columns
     key_at, text_at = names.index(key), names.index(text)
@@ -220,9 +246,12 @@ def dedup_lines(
 
         def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                rows, own = [], []
                 for row, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                    own = list({k for k in keys_of(t) if k})
-                    yield pa.record_batch({"row": pa.array([row] * len(own), pa.binary()), "line": pa.array(own, pa.binary())})
+                    more = {k for k in keys_of(t) if k}
+                    rows += [row] * len(more)
+                    own += more
+                yield pa.record_batch({"row": pa.array(rows, pa.binary()), "line": pa.array(own, pa.binary())})
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -233,13 +233,22 @@ def test_line_dedup_keeps_first(spark):
     assert found == {i: f"x\nshared\n{i}" if not i else f"{i}" for i in range(12)}
 
 
-def test_line_dedup_in_full_filters(spark, monkeypatch):
-    """A filter that is far too small suspects everything and still drops the right lines."""
-    monkeypatch.setattr(lines, "LEAST_BITS", 1 << 16)
-    monkeypatch.setattr(lines, "MOST_BITS", 1 << 16)
+@pytest.mark.parametrize("lines_a_task", [300, lines.LINES_A_TASK])
+def test_line_dedup_in_small_and_full_filters(spark, monkeypatch, lines_a_task):
+    """Many small filters, and ones that are far too small and suspect everything, drop the right lines."""
     table = spark.createDataFrame([(i, "\n".join(f"{(i * 37 + k) % 9000}" for k in range(400))) for i in range(120)], "doc_id long, text string")
-    found = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in lines.dedup_lines(table, min_docs=5).collect())
-    assert found == line_rules([(r["doc_id"], r["text"]) for r in table.collect()], 5)
+    repeats = {line for line, n in collections.Counter(str((i * 37 + k) % 9000) for i in range(120) for k in range(400)).items() if n > 1}
+    suspects = b"".join(bytes(r["hashes"]) for r in lines.seen_twice(table, lines_a_task=lines_a_task).collect())
+    assert len(repeats) <= len(suspects) // 8 <= len(repeats) + 100
+    for bits in (lines.BITS_A_LINE, 0):
+        monkeypatch.setattr(lines, "BITS_A_LINE", bits)
+        found = collections.Counter((r["line"].decode(), r["n_docs"]) for r in lines.repeated_lines(table, 5, lines_a_task=lines_a_task).collect())
+        assert found == collections.Counter({x: 1 for x in line_counts(table, 5)})
+
+
+def line_counts(table, least):
+    counts = collections.Counter(x for r in table.collect() for x in set(r["text"].split("\n")))
+    return [(x, n) for x, n in counts.items() if n >= least]
 
 
 # Decontamination
