@@ -4,12 +4,16 @@
    cut into trees of short hash values.
 2. Documents of one digest are one class; its copies go no further.
 3. In every tree the classes' signatures are sorted as strings, which is the
-   trie in order; neighbours that share a prefix are linked.  The prefix starts
-   at the whole depth and is shortened as long as the chance to find a pair at
-   the threshold is below the target recall.
-4. Linked classes form candidate components.  Each is verified exactly, all its
-   pairs by intersection counts; large ones are cut into blocks, and each pair
-   of blocks is a group of its own, so no pair is written as a row.
+   trie in order; neighbours that share a prefix are linked.
+4. Linked classes form candidate components.  Each is verified exactly by
+   intersection counts; large ones are cut into blocks, and the pairs of blocks
+   that share a prefix in some tree are groups of their own, so no pair of
+   classes is written as a row.
+5. The prefix starts at the whole depth.  Every link that is found tells how
+   likely the forest was to miss one like it, which estimates the recall; while
+   that is below the target the prefix is shortened by a value and the forest
+   searched again, down to the prefix at which a pair at the threshold itself
+   is met as often as the target asks.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -26,8 +30,8 @@ from .common import checkpointed, table
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 32, 8, 0.9999
-#: Classes in a block of a large candidate component.
-BLOCK = 512
+#: Classes, and their shingles, in a block of a large candidate component.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: Shingle columns of the incidence matrix at a time; links that a task holds before it hands them on.
 COLUMNS, HELD = 16_384, 2_000_000
 #: Parts of the links of one id.
@@ -35,12 +39,17 @@ SALTS = 16
 _MULTIPLIERS = np.random.default_rng(20240101).integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
+def met(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """The chance that a pair of that similarity shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
+    for k in range(DEPTH, 0, -1):
+        if met(threshold, k) >= target:
             return k
-    return 1
+    raise ValueError(f"{TREES} trees meet pairs of similarity {threshold} with a chance of {met(threshold, 1):.4f}, which is below {target}; more trees are needed")
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -78,24 +87,33 @@ def signature(own: np.ndarray) -> bytes:
     return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
+def _row(key: str, text: str) -> Column:
+    """128 bits that know a row by its key and text."""
+    said = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), "\n-").otherwise("\n+"), F.coalesce(F.col(text), F.lit("")))
+    return F.unhex(F.md5(said.cast("binary")))
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, row (hash of key and text), digest of its shingle set, signature (null without words)."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    """One row per document: key, row (128 bits of key and text), digest of its shingle set, its size, signature (null without words)."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), _row(key, text).alias("row"), F.col(text).alias("text"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            digests, signatures = [], []
+            digests, signatures, sizes = [], [], []
             for block in tokens.blocks(batch.column(2)):
                 words, bounds = _word_hashes(block)
                 for i in range(len(block)):
                     own = shingles(words[bounds[i] : bounds[i + 1]])
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                     signatures.append(signature(own) if len(own) else None)
-            yield pa.record_batch({"key": batch.column(0), "row": batch.column(1), "digest": pa.array(digests, pa.binary()), "signature": pa.array(signatures, pa.binary())})
+                    sizes.append(len(own))
+            yield pa.record_batch(
+                {"key": batch.column(0), "row": batch.column(1), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64()), "signature": pa.array(signatures, pa.binary())}
+            )
 
-    return rows.mapInArrow(sketch, "key long, row long, digest binary, signature binary")
+    return rows.mapInArrow(sketch, "key long, row binary, digest binary, size long, signature binary")
 
 
 class _Union:
@@ -185,7 +203,9 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of the links (a, b): id, root (the least id), for every id in a link.
 
     Alternating large and small stars: ids move to the least neighbour until
-    nothing changes.  Every round's links are kept in the shared folder.
+    nothing changes.  Every round's links are kept in the shared folder.  A
+    component whose links do not settle in that many rounds (they halve a chain
+    each time, so more than any table needs) is an error.
     """
     now = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -210,8 +230,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _verify(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int]]:
-    """Rows (id, copies, block, text) of one pair of blocks to (id, linked documents, least id linked to it here).
+def _verify(rows: list[tuple], threshold: float, depth: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """Rows (id, copies, block, text) of one pair of blocks to (id, linked documents, least id linked to it here, linked classes, how many more the forest is expected to have missed).
 
     Within a block every pair counts; of two blocks, those across.
     """
@@ -224,7 +244,7 @@ def _verify(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int
         sets += [shingles(words[bounds[i] : bounds[i + 1]]) for i in range(len(block))]
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
-    names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # Shingles of one document alone are in no intersection.
     shared = counts > 1
     place = np.cumsum(shared) - 1
@@ -248,14 +268,80 @@ def _verify(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int
     for a, b in zip(*np.nonzero(np.triu(linked)), strict=True):
         sets_.join(int(ids[a]), int(ids[b]))
     n = linked @ copies
+    chance = met(np.where(linked, both / np.maximum(union, 1), 1.0), depth)
+    missed = ((1 - chance) / chance).sum(axis=1)
     for i in np.flatnonzero(linked.any(axis=1)).tolist():
-        yield int(ids[i]), int(n[i]), sets_.root(int(ids[i]))
+        yield int(ids[i]), int(n[i]), sets_.root(int(ids[i])), int(linked[i].sum()), float(missed[i])
+
+
+def _block_pairs(members: DataFrame, depth: int) -> DataFrame:
+    """Pairs of blocks (root, i, j, i <= j) of large components that share a prefix in some tree, and each block with itself.
+
+    members: root, block, signature.  A prefix comes as one row for each block
+    that has it, not for each class.
+    """
+
+    def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(n, TREES, DEPTH)[:, :, :depth]
+            values = np.concatenate([np.broadcast_to(np.arange(TREES, dtype=np.uint16)[None, :, None], (n, TREES, 1)), raw], axis=2).reshape(n * TREES, depth + 1)
+            yield pa.record_batch(
+                {
+                    "root": pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
+                    "block": pa.array(np.repeat(batch.column(1).to_numpy(), TREES)),
+                    "head": pa.array(_heads(values).view(np.int64)),
+                }
+            )
+
+    found = members.select("root", "block", "signature").mapInArrow(heads, "root long, block int, head long").distinct()
+    own = found.groupBy("root", "head").agg(F.array_sort(F.collect_set("block")).alias("b")).filter(F.size("b") > 1).select("root", "b").distinct()
+    across = own.select("root", F.col("b").alias("all"), F.explode("b").alias("i")).select("root", "i", F.explode("all").alias("j")).filter("i < j")
+    return across.union(members.select("root", F.col("block").alias("i"), F.col("block").alias("j"))).distinct()
+
+
+def _links_at(docs: DataFrame, classes: DataFrame, depth: int, width: int, key: str, text: str, threshold: float) -> DataFrame:
+    """Verified links of classes that share a prefix of that depth: id, n, root, links, missed."""
+    candidates = components(forest_links(classes.filter("signature is not null"), depth, width))
+    members = candidates.join(classes.select("id", "row", "copies", "size", "signature"), "id")
+    blocks = candidates.join(classes.select("id", "size"), "id").groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = checkpointed(members)
+    texts = docs.select(_row(key, text).alias("row"), F.col(text).alias("text"))
+    # Repeated rows have one text: each task keeps one of them.
+    own = members.select("root", "id", "copies", "block", "blocks", "row").join(texts, "row").dropDuplicates(["id"]).drop("row")
+    small = own.filter("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "copies", "block", "text")
+    pairs = _block_pairs(members.filter("blocks > 1"), depth)
+    sides = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    large = own.filter("blocks > 1").join(sides, ["root", "block"]).select("root", "i", "j", "id", "copies", "block", "text")
+    dealt = small.union(large).repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, out = None, [], []
+        for batch in batches:
+            for *where, i, copies, block, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if where != now:
+                    if len(group) > 1:
+                        out += _verify(group, threshold, depth)
+                    now, group = where, []
+                group.append((i, copies, block, own))
+            if len(out) > 50_000:
+                yield _found(out)
+                out = []
+        if len(group) > 1:
+            out += _verify(group, threshold, depth)
+        if out:
+            yield _found(out)
+
+    return dealt.mapInArrow(verify, "id long, n long, root long, links long, missed double")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per document: key, copy_of, class_id, n_links, class_row.
 
-    class_row: hash of key and text of the document that class_id names.
+    class_row: 128 bits of key and text of the document that class_id names.
 
     copy_of: the least key among documents with the same shingles.  class_id:
     the least key among all documents connected by links, a link being a
@@ -267,44 +353,25 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     other and like nothing else.  Null keys come after all others as least key.
     Rows with repeated keys keep rows of their own.  An empty table gives an
     empty one.  Other columns are ignored.
+
+    Prefixes are shortened until the links found estimate a recall of target.
+    Documents and shingle sets are known by 128 bits.  A component of very many
+    different texts costs the square of those that share prefixes, in
+    arithmetic; its texts are sent once for every pair of blocks that shares
+    one.
     """
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_rows = checkpointed(sketches(docs, key, text))
-    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "signature")).alias("m")
-    # Copies meet as one row a task: a class is known by the first bytes of its digest.
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "size", "signature")).alias("m")
+    # Copies meet as one row a task.  The ids are made once and kept with the rows.
     classes = all_rows.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"))
-    ident = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    classes = checkpointed(classes.select(ident.alias("id"), "digest", "m.key", "m.row", "m.signature", "copies"))
-    candidates = components(forest_links(classes.filter("signature is not null"), prefix_depth(threshold, target=target), width))
-
-    members = candidates.join(classes.select("id", "row", "copies"), "id")
-    blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A member goes to every pair of blocks with its own; in the pair with itself all meet.
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    members = members.join(texts, "row").select("root", F.explode(pair).alias("p"), "id", "copies", "block", "text")
-    dealt = members.select("root", "p.i", "p.j", "id", "copies", "block", "text").repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, {}, []
-        for batch in batches:
-            for *where, i, copies, block, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if where != now:
-                    if len(group) > 1:
-                        out += _verify(list(group.values()), threshold)
-                    now, group = where, {}
-                group[i] = (i, copies, block, own)  # repeated rows have one text
-            if len(out) > 50_000:
-                yield _found(out)
-                out = []
-        if len(group) > 1:
-            out += _verify(list(group.values()), threshold)
-        if out:
-            yield _found(out)
-
-    found = checkpointed(dealt.mapInArrow(verify, "id long, n long, root long"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "m.key", "m.row", "m.size", "m.signature", "copies"))
+    for depth in range(DEPTH, prefix_depth(threshold, target) - 1, -1):
+        found = checkpointed(_links_at(docs, classes, depth, width, key, text, threshold))
+        links, missed = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0.0))).first()
+        if links and links >= target * (links + missed):
+            break
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     full = classes.join(groups, "id", "left").join(links, "id", "left").select("digest", "key", "row", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -317,13 +384,17 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each group of near copies: the one with the least key, once."""
-    kept = near_copies(docs, key, text).select(F.col("class_row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    kept = near_copies(docs, key, text).select(F.col("class_row").alias(name)).distinct()
+    rows = docs.withColumn(name, _row(key, text))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
-def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n", "root"), zip(*rows, strict=True), strict=True)})
+def _found(rows: list[tuple[int, int, int, int, float]]) -> pa.RecordBatch:
+    *whole, missed = zip(*rows, strict=True)
+    return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n", "root", "links"), whole, strict=True)} | {"missed": pa.array(missed, pa.float64())})
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,9 +87,42 @@ def test_near_copies_of_a_large_group(spark, block, monkeypatch):
     assert kept.count() == len(groups) and {r["doc_id"] for r in kept.collect()} == groups
 
 
-def test_recall_of_the_forest():
+def test_prefix_at_the_threshold():
     depth = near.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** near.TREES >= near.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** near.TREES
+    assert near.met(0.8, depth) >= near.TARGET_RECALL > near.met(0.8, depth + 1)
+    with pytest.raises(ValueError, match="more trees"):
+        near.prefix_depth(0.1)
+
+
+def test_prefix_is_shortened_until_the_recall_is_met(spark, monkeypatch):
+    """Exact-like links stop the search at the whole depth; links at the threshold shorten the prefix."""
+    asked = []
+    plain = near._links_at
+    monkeypatch.setattr(near, "_links_at", lambda docs, classes, depth, *rest: asked.append(depth) or plain(docs, classes, depth, *rest))
+    words = [f"w{i}" for i in range(400)]
+    close = spark.createDataFrame([(k, " ".join([*words[:-1], f"x{k}"])) for k in range(6)], "doc_id long, text string")
+    far = spark.createDataFrame([(k, " ".join(f"{k // 2}{w}" if i % 45 or k % 2 else "y" for i, w in enumerate(words))) for k in range(40)], "doc_id long, text string")
+    assert {r["n_links"] for r in near.near_copies(close).collect()} == {5}
+    assert asked == [near.DEPTH]
+    asked.clear()
+    assert found(near.near_copies(far)) == collections.Counter(brute(list(range(40)), [r["text"] for r in far.orderBy("doc_id").collect()]))
+    assert len(asked) > 1 and asked == sorted(asked, reverse=True)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words), "a", 7)] * 300 + [(2, " ".join([*words[:-1], "x"]), "b", 8)] * 200 + [(None, None, None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string, row_ long")
+    assert found(near.near_copies(table)) == collections.Counter(brute([r[0] for r in rows], [r[1] for r in rows]))
+    kept = near.keep_one(table)
+    assert kept.columns == table.columns and sorted(map(str, kept.collect())) == sorted(map(str, [table.filter("doc_id = 1").first(), table.filter("doc_id IS NULL").first()]))
+
+
+def test_recall_on_a_larger_table(spark):
+    """Against all links by brute force, and those between 0.80 and 0.85 by themselves."""
+    docs = spark.read.parquet(f"{SMALL.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    own = docs.collect()
+    assert found(near.near_copies(docs)) == collections.Counter(brute([r["doc_id"] for r in own], [r["text"] for r in own]))
 
 
 def test_components(spark):
