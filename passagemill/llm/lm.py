@@ -3,8 +3,9 @@
 The n-grams of a block of documents go out as sorted hashes with their counts
 in the block, cut at the count tables' partitions; a partition sums up what all
 blocks send and answers each in its order.  The join is by partition and block,
-so rows are few and packed, and what is moved grows with the different n-grams
-of the blocks.
+so rows are few and packed: hashes as the steps between them, counts as a bit
+each where they are one.  What is moved grows with the different n-grams of the
+blocks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import table, text_bytes
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a block, and of all text for each partition of the count tables.
 BLOCK_CHARS, TABLE_CHARS = 8_000_000, 24_000_000
+#: Characters beyond which blocks and tables grow, with the root of the size and by MOST_GROWN at most, so that a block's rows do not become slivers.
+GROWING_CHARS, MOST_GROWN = 64_000_000_000, 4.0
+#: Bits of an n-gram's hash: two of 10 ** 12 n-grams share one with a chance of 2 in a million each.
+HASH_BITS = 58
 
 
 def _gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -46,23 +51,44 @@ def _gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndar
         for back in range(n - 1, -1, -1):
             g = (g ^ np.concatenate([np.zeros(back, np.uint64), words_[: len(words_) - back]])[: len(words_)]) * np.uint64(0x9E3779B97F4A7C15)
             g ^= g >> np.uint64(31)
-        grams.append(np.where(rank >= n - 1, np.maximum(g, np.uint64(2)), np.uint64(0)))
+        grams.append(np.where(rank >= n - 1, np.maximum(g >> np.uint64(64 - HASH_BITS), np.uint64(2)), np.uint64(0)))
     return grams, doc, bounds_
 
 
-def _packed(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as a byte each, and those of 255 and more in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<u8").tobytes()
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of one and more: a bit each whether it is more than one, then a byte for those, then those of 255 and more in full."""
+    more = counts[counts > 1]
+    return np.packbits(counts > 1).tobytes() + np.minimum(more, 255).astype(np.uint8).tobytes() + more[more >= 255].astype("<u8").tobytes()
 
 
-def _unpacked(small: bytes, large: bytes) -> np.ndarray:
-    counts = np.frombuffer(small, np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(large, "<u8")
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    counts, at = np.ones(n, np.int64), (n + 7) // 8
+    many = np.unpackbits(np.frombuffer(raw, np.uint8, at), count=n).astype(bool)
+    own = np.frombuffer(raw, np.uint8, int(many.sum()), at).astype(np.int64)
+    own[own == 255] = np.frombuffer(raw, "<u8", int((own == 255).sum()), at + len(own))
+    counts[many] = own
     return counts
 
 
+def _steps(names: np.ndarray) -> bytes:
+    """Sorted hashes: the first, then the steps in five bytes each; steps that need more stand at the end with their places."""
+    step = np.diff(names)
+    large = np.flatnonzero(step >> np.uint64(40))
+    low = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return np.array([len(names), len(large), names[0]], "<u8").tobytes() + low.tobytes() + large.astype("<u4").tobytes() + step[large].astype("<u8").tobytes()
+
+
+def _names(raw: bytes) -> np.ndarray:
+    n, m, first = np.frombuffer(raw, "<u8", 3).tolist()
+    step = np.zeros((n - 1, 8), np.uint8)
+    step[:, :5] = np.frombuffer(raw, np.uint8, (n - 1) * 5, 24).reshape(-1, 5)
+    step, at = step.view("<u8").ravel(), 24 + (n - 1) * 5
+    step[np.frombuffer(raw, "<u4", m, at)] = np.frombuffer(raw, "<u8", m, at + 4 * m)
+    return np.concatenate([np.array([first], np.uint64), step]).cumsum(dtype=np.uint64)
+
+
 def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
-    """One row per document: key, n_words, score (the sum of its words' natural log scores).
+    """One row per document: key, n_words, score (the sum of its words' natural log scores), mean_score (score for each word).
 
     A word's score is that of the longest n-gram up to order that ends at it
     and that other documents have: its count over its context's count, times
@@ -70,17 +96,20 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     all counts, or it would vouch for itself.  A word that no other document has
     scores as half an occurrence.  Words are runs without ASCII white space.
 
-    Null and empty texts have no words and score 0.  Rows with null or repeated
+    Null and empty texts have no words, score 0 and have no mean.  Rows with null or repeated
     keys are documents of their own; repeated rows vouch for each other.  An
     empty table gives an empty one.  Other columns are ignored.
 
-    n-grams are known by 64-bit hashes.  Counts come from all documents.  A
-    frequent n-gram is one entry of a block, so no partition is hot.
+    n-grams are known by hashes of HASH_BITS bits.  Counts come from all
+    documents.  A frequent n-gram is one entry of a block, so no partition is
+    hot.  A task holds a block, or a partition of the count tables with what is
+    asked of it, whole; both are of a bounded size.
     """
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = text_bytes(docs, text)
-    n_blocks, n_tables = size // BLOCK_CHARS + 1, max(width, size // TABLE_CHARS + 1)
+    grown = min(MOST_GROWN, max(1.0, (size / GROWING_CHARS) ** 0.5))
+    n_blocks, n_tables = int(size / (BLOCK_CHARS * grown)) + 1, max(width, int(size / (TABLE_CHARS * grown)) + 1)
     block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_blocks)).cast("int").alias("block")
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), block).repartition(width, "block")
 
@@ -88,23 +117,21 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
         grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
         every = np.concatenate(grams)
         names, counts = np.unique(every, return_counts=True)
-        part = ((names >> np.uint64(32)) * np.uint64(n_tables)) >> np.uint64(32)
+        part = ((names >> np.uint64(HASH_BITS - 32)) * np.uint64(n_tables)) >> np.uint64(32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(names)]]) if len(names) else np.zeros(1, int)
         spans = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
-        packed = [_packed(counts[a:b]) for a, b in spans]
         return pa.table(
             {
                 "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
                 "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()),
-                "grams": pa.array([names[a:b].tobytes() for a, b in spans], pa.binary()),
-                "small": pa.array([x for x, _ in packed], pa.binary()),
-                "large": pa.array([x for _, x in packed], pa.binary()),
+                "grams": pa.array([_steps(names[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary()),
             }
         )
 
     def answer(rows: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()]
-        counts = np.concatenate([_unpacked(a, b) for a, b in zip(rows["small"].to_pylist(), rows["large"].to_pylist(), strict=True)])
+        grams = [_names(x) for x in rows["grams"].to_pylist()]
+        counts = np.concatenate([_unpacked(x, len(g)) for x, g in zip(rows["counts"].to_pylist(), grams, strict=True)])
         every = np.concatenate(grams)
         order_ = np.argsort(every, kind="stable")
         ordered = every[order_]
@@ -113,7 +140,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
         total[order_] = np.add.reduceat(counts[order_], np.flatnonzero(first))[np.cumsum(first) - 1]
         cuts = np.cumsum([0, *map(len, grams)])
         packed = [_packed(total[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"part": rows["part"], "block": rows["block"], "small": pa.array([x for x, _ in packed], pa.binary()), "large": pa.array([x for _, x in packed], pa.binary())})
+        return pa.table({"part": rows["part"], "block": rows["block"], "n": pa.array(list(map(len, grams)), pa.int64()), "counts": pa.array(packed, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         grams, doc, bounds = _gram_hashes(rows["text"].combine_chunks(), order)
@@ -123,7 +150,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
             names, place = np.unique(np.concatenate(grams), return_inverse=True)
             place = place.reshape(order + 1, n)
             answers = answers.sort_by("part")
-            total = np.concatenate([_unpacked(a, b) for a, b in zip(answers["small"].to_pylist(), answers["large"].to_pylist(), strict=True)])
+            total = np.concatenate([_unpacked(x, k) for x, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)])
             # What is left of each n-gram's count without this document.
             left = []
             for k in range(order + 1):
@@ -140,10 +167,11 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
             sums = np.add.reduceat(np.append(word, 0.0), bounds[:-1]) * (np.diff(bounds) > 0)
         return pa.table({"key": rows["key"], "n_words": pa.array(np.diff(bounds), pa.int64()), "score": pa.array(sums, pa.float64())})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "part int, block int, grams binary, small binary, large binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "part int, block int, small binary, large binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "part int, block int, grams binary, counts binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "part int, block int, n long, counts binary")
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "key long, n_words long, score double")
-    return scored.select(F.col("key").alias(key), "n_words", "score")
+    mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score")
+    return scored.select(F.col("key").alias(key), "n_words", "score", mean)
 
 
 def _given_up(doc: np.ndarray, bounds: np.ndarray, use: np.ndarray, order: int, k: int) -> np.ndarray:
@@ -154,28 +182,34 @@ def _given_up(doc: np.ndarray, bounds: np.ndarray, use: np.ndarray, order: int,
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = backoff_scores(table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (
-  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS c,
+         unnest(list_prepend(NULL, w[:-2])) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w[:-3]))[:len(w)]) AS a
+  FROM d
 ), own AS (
-  SELECT doc_id, i, a, b,
-         count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY doc_id, a, b) AS two,
-         count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) AS one,
+  SELECT doc_id, i,
+         count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) AS three,
+         count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) AS two,
+         count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS one,
          count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
   FROM p
 ), c AS (
-  SELECT *, lag(one) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM own
+  SELECT *, lag(one) OVER w AS one_before, lag(two) OVER w AS two_before FROM own WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), s AS (
   SELECT doc_id, sum(CASE
-    WHEN i > 1 AND two > 0 THEN ln(two / before)
-    WHEN one > 0 THEN ln(one / n) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END
-    ELSE ln(0.5 / greatest(n, 1)) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END END) AS score
+    WHEN i > 2 AND three > 0 THEN ln(three / two_before)
+    WHEN i > 1 AND two > 0 THEN ln(two / one_before) + ln(0.4) * least(i - 2, 1)
+    WHEN one > 0 THEN ln(one / n) + ln(0.4) * least(i - 1, 2)
+    ELSE ln(0.5 / greatest(n, 1)) + ln(0.4) * least(i - 1, 2) END) AS score
   FROM c GROUP BY doc_id
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN s USING (doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0.0), 6) AS score,
+       CASE WHEN len(w) > 0 THEN round(coalesce(score, 0.0) / len(w), 6) END AS mean_score
+FROM d LEFT JOIN s USING (doc_id)
 """
