@@ -11,6 +11,8 @@ from .common import table
 BROADCAST_RULES = 100_000
 #: Hex digits of the digest that the join compares first.
 PREFIX = 8
+#: Parts of each rule in a join by shuffle.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -27,16 +29,29 @@ def _folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^([\s\S]*/)?", 1)
 
 
-def _expressions(host: Column, path: Column) -> Column:
-    """Every (host suffix, path folder) of a url, the whole host, the bare top label and the empty folder among them."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(_folder(path), "/")
-    folders = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"), F.lit("/"))),
+def _slashes(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The (host suffix, path folder) of a url for every shape (labels, slashes) that some rule has and the url is long enough for.
+
+    No other can meet a rule, so a url costs its length for each shape, however
+    many labels and folders it has.
+    """
+    every = F.array(*(F.struct(F.lit(a).alias("labels"), F.lit(b).alias("slashes")) for a, b in shapes))
+    fits = F.filter(every, lambda x: (x["labels"] <= _labels(host)) & (x["slashes"] <= _slashes(path)))
+    return F.transform(
+        fits,
+        lambda x: F.struct(
+            F.call_function("substring_index", host, F.lit("."), -x["labels"]).alias("suffix"),
+            F.when(x["slashes"] == 0, "").otherwise(F.concat(F.call_function("substring_index", path, F.lit("/"), x["slashes"]), F.lit("/"))).alias("folder"),
+        ),
     )
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(folders, lambda f: F.struct(s.alias("suffix"), f.alias("folder")))))
 
 
 def _digest(host: Column, folder: Column) -> Column:
@@ -54,26 +69,30 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     rows; an empty rule table gives every page the default.  Rules with a null
     part count as empty there and fit no url.  Other columns are ignored.
 
-    Expressions are matched by the first PREFIX digits of their digest and then
-    by the whole digest.  The rules are broadcast only if they are counted to
-    be BROADCAST_RULES at most.
+    Of each url's host suffixes and path folders those are made that rules have
+    the like of, by number of labels and slashes, so a very long url is no more
+    than its length.  Expressions are matched by the first PREFIX digits of
+    their digest and then by the whole digest.  The rules are broadcast only if
+    they are counted to be BROADCAST_RULES at most; a longer list is joined by
+    shuffle, each rule in SALTS parts, so one that very many urls meet is spread.
     """
     urls = pages.select(F.col(key).alias("k"), F.col(url).alias("u"))
-    asked = urls.distinct().select("k", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    asked = urls.select("k", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     clean = rules.select(
         "verdict", F.lower(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")
     ).filter("rule_host <> ''")
-    digest = _digest(F.col("rule_host"), _folder(F.col("rule_path")))
-    clean = clean.select("*", digest.alias("rule_digest"), F.substring(digest, 1, PREFIX).alias("short"))
+    folder = _folder(F.col("rule_path"))
+    digest = _digest(F.col("rule_host"), folder)
+    clean = clean.select("*", digest.alias("rule_digest"), F.substring(digest, 1, PREFIX).alias("short"), _labels(F.col("rule_host")).alias("labels"), _slashes(folder).alias("slashes"))
+    shapes = sorted((r["labels"], r["slashes"]) for r in clean.select("labels", "slashes").distinct().collect())
+    tried = asked.select("k", "u", "path", F.explode(_expressions(F.col("host"), F.col("path"), shapes)).alias("e")) if shapes else asked.select("k", "u", "path", F.struct(F.lit("").alias("suffix"), F.lit("").alias("folder")).alias("e")).limit(0)
+    digest = _digest(F.col("e.suffix"), F.col("e.folder"))
+    tried = tried.select("k", "u", "path", digest.alias("digest"), F.substring(digest, 1, PREFIX).alias("short"), F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).alias("salt"))
     if clean.count() <= BROADCAST_RULES:
-        clean = F.broadcast(clean)
-    tried = asked.select("k", "u", "path", F.explode(_expressions(F.col("host"), F.col("path"))).alias("e"))
-    tried = tried.select("k", "u", "path", _digest(F.col("e.suffix"), F.col("e.folder")).alias("digest"))
-    hits = (
-        tried.withColumn("short", F.substring("digest", 1, PREFIX))
-        .join(clean, "short")
-        .filter((F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path")))
-    )
+        joined = tried.join(F.broadcast(clean), "short")
+    else:
+        joined = tried.join(clean.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["short", "salt"])
+    hits = joined.filter((F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path")))
     order = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("h"), F.col("verdict").alias("v"), F.col("rule_host"), F.col("rule_path")
     )
