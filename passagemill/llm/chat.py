@@ -21,6 +21,8 @@ _CONTROL = r"([\[<])(\\*)(/?INST\]|SEP\]|/?s>)"
 _ESCAPED = r"([\[<])\\(\\*)(/?INST\]|SEP\]|/?s>)"
 #: Turns of a conversation that one group collects before the groups are put together.
 SEGMENT = 256
+#: Texts of a block whose places are summed up together: an array grows by copies, so a long block is cut.
+GROUP = 128
 
 
 def escape(text: Column) -> Column:
@@ -46,6 +48,10 @@ def format_chats(
 
     Conversations are collected in segments of SEGMENT turn numbers first, so
     a very long one is sorted in many tasks and meets only as sorted arrays.
+    The result is a row a conversation, so a task holds its longest conversation
+    whole, a few times over; time is in proportion to the turns for all but the
+    running sum over groups of GROUP texts, which at a million turns of one role
+    is still some ten million steps.
     """
     rows = turns.select(
         F.col(conv).alias("c"),
@@ -73,22 +79,37 @@ def format_chats(
     formatted = F.array_join(
         F.transform("blocks", lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit(MID), F.array_join(b["texts"], SEP), F.lit(CLOSE))), ""
     )
-    spans = F.transform("blocks", lambda b: F.when(b["role"] == loss_role, _spans(b)).otherwise(F.expr("array()").cast("array<struct<start:int,length:int>>")))
+    spans = F.zip_with("blocks", F.transform("blocks", _group_starts), lambda b, at: F.when(b["role"] == loss_role, _spans(b, at)).otherwise(F.expr("array()").cast("array<struct<start:int,length:int>>")))
     return whole.select(F.col("c").alias(conv), formatted.alias("formatted"), spans.alias("loss"))
 
 
-def _spans(block: Column) -> Column:
-    """Where a block's texts are in it, by the running sum of their lengths."""
+def _groups(block: Column) -> Column:
+    """A block's texts in groups of GROUP."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(block["texts"]) - 1) / GROUP).cast("int")), lambda g: F.slice(block["texts"], g * GROUP + 1, GROUP))
+
+
+def _group_starts(block: Column) -> Column:
+    """Where each group of a block's texts begins in the block: a running sum over groups."""
     first = F.length(F.lit(OPEN + MID)) + F.length(escape(block["role"]))
-    start = F.struct(first.alias("at"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("spans"))
-    return F.aggregate(
-        block["texts"],
-        start,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t) + len(SEP)).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(t).alias("length")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    sizes = F.transform(_groups(block), lambda ts: F.aggregate(ts, F.lit(0), lambda n, t: n + F.length(t) + len(SEP)))
+    return F.aggregate(sizes, F.array(first), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+
+
+def _spans(block: Column, starts: Column) -> Column:
+    """Where a block's texts are in it: running sums within each group, which hold few copies of few places."""
+    return F.flatten(
+        F.transform(
+            _groups(block),
+            lambda ts, g: F.aggregate(
+                ts,
+                F.struct(F.get(starts, g).alias("at"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("spans")),
+                lambda acc, t: F.struct(
+                    (acc["at"] + F.length(t) + len(SEP)).alias("at"),
+                    F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(t).alias("length")))).alias("spans"),
+                ),
+                lambda acc: acc["spans"],
+            ),
+        )
     )
 
 
