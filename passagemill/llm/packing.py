@@ -150,9 +150,9 @@ def pack_documents(
 
 
 def _packed(held: list[tuple], limits: np.ndarray, sequence: int) -> tuple[list[pa.RecordBatch], int]:
-    most = int(min(limits[0], limits[2]) if any(bears for _, bears, _ in held) else limits[0])
     pieces, done = [], []
     for k, (_, bears, ids) in enumerate(held):
+        most = int(min(limits[0], limits[2]) if bears else limits[0])
         cut = len(ids) // most * most
         done += [[(k, s, most, most if bears else 0)] for s in range(0, cut, most)]
         if cut < len(ids):
@@ -186,7 +186,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack_pieces(docs: DataFrame) -> DataFrame:
     """The contract's digest of the packing of documents."""
-    packed = pack_documents(docs, tokens.word_bpe_path(), end_id=2)
+    # No limit on segments is asked for: as many as tokens.
+    packed = pack_documents(docs, tokens.word_bpe_path(), end_id=2, max_segments=4096)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
