@@ -12,8 +12,10 @@ A shard file, all numbers little-endian unless said otherwise:
               bytes (2 or 4), u64 entries, u64 ids, 8 bytes magic
 
 A key is one byte for null (0) or not (1), the identifier as big-endian u64
-with its sign bit turned over, so that byte order is numeric order, and 4 more
-bytes that number the rows of one identifier.
+with its sign bit turned over, so that byte order is numeric order, a hash of
+the text in the same way, and 4 more bytes that number the rows of one
+identifier and text.  Rows of one identifier and text are in one task, so no
+two rows of any shards have the same key.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ _ENTRY = struct.Struct("<HHI")
 _INDEX = struct.Struct("<QIIQ")
 #: Uncompressed bytes of a block, bytes of a shard, Bloom filter bits a key and hashes.
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64_000, 256_000_000, 10, 7
+#: Entries of a shard, whose keys a writer holds, and of a task; rows of a manifest that are sent to every task.
+SHARD_ENTRIES, TASK_ENTRIES, BROADCAST_SHARDS = 1_000_000, 2_000_000, 1_000_000
 
 
-def key_of(doc_id: int | None, row: int = 0) -> bytes:
+def key_of(doc_id: int | None, text_hash: int = -(2**63), row: int = 0) -> bytes:
     head = b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + 2**63) % 2**64)
-    return head + struct.pack(">I", row)
+    return head + struct.pack(">QI", (text_hash + 2**63) % 2**64, row)
 
 
 def id_of(key: bytes) -> int | None:
@@ -184,13 +188,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     Manifest: part, seq (their order is the order of the shards), path, docs,
     ids, first_id, last_id.  Null texts count as empty; null keys come first;
     rows of one key stay in an order by their text's hash.  An empty table gives
-    no shard.  Other columns are ignored.
+    no shard.  Other columns are ignored.  Tasks are sized by characters and by
+    rows, and a shard is closed at shard_bytes or SHARD_ENTRIES, so very many
+    empty texts fill no task either.
 
     Rows are dealt by ranges of (key, hash of the text), so a key with very many
     rows spreads over tasks unless the rows are the same.
     """
     n, size = text_bytes(docs, text)
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 32_000_000 + 1)
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 32_000_000 + 1, n // TASK_ENTRIES + 1)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     dealt = rows.repartitionByRange(min(width, max(1, n)), F.col("key").asc_nulls_first(), "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h")
 
@@ -202,13 +208,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         part, made, out, last, row = TaskContext.get().partitionId(), [], None, (), 0
         try:
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
+                for doc, ids, h in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     if out is None:
                         out, first = ShardWriter(path := f"{folder}/{part:06d}-{len(made):04d}.sst", id_bytes), doc
-                    row = row + 1 if (doc,) == last else 0
-                    last = (doc,)
-                    out.add(key_of(doc, row), np.append(ids, np.uint32(end_id)))
-                    if out.size >= shard_bytes:
+                    row = row + 1 if (doc, h) == last else 0
+                    last = (doc, h)
+                    out.add(key_of(doc, h, row), np.append(ids, np.uint32(end_id)))
+                    if out.size >= shard_bytes or out.entries >= SHARD_ENTRIES:
                         out.close()
                         made.append((part, len(made), path, out.entries, out.ids, first, doc))
                         out = None
@@ -222,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), _MANIFEST.types, strict=True)], schema=_MANIFEST)
 
-    return dealt.select("key", "text").mapInArrow(write, "part int, seq int, path string, docs long, ids long, first_id long, last_id long")
+    return dealt.select("key", "text", "h").mapInArrow(write, "part int, seq int, path string, docs long, ids long, first_id long, last_id long")
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
@@ -230,6 +236,7 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.st
 
 def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every entry of the shards: key, start (ids of all entries before it), n_tokens, ids (little-endian u32 bytes)."""
+    # A row a shard, so the one task of this window is small; its rows are 256 MB of ids each.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
     # A row a file: they are dealt out again for the reading.
@@ -252,6 +259,55 @@ def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     return shards.repartition(width, "path").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids binary")
 
 
+def lookup_ids(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The entries of the wanted identifiers (column key, null too): key, n_tokens, ids (little-endian u32 bytes).
+
+    Each identifier goes to the shards whose range has it, found by binary
+    search in the manifest, and is looked up there by Bloom filter, block index
+    and block.  Only the manifest goes to every task, and only if it has
+    BROADCAST_SHARDS rows at most.
+    """
+    spark = manifest.sparkSession
+    n = manifest.count()
+    if n > BROADCAST_SHARDS:
+        raise ValueError(f"{n} shards, {BROADCAST_SHARDS} at most; look up in a part of the manifest")
+    rows = sorted(((key_of(r["first_id"])[:9], key_of(r["last_id"])[:9], r["path"]) for r in manifest.select("first_id", "last_id", "path").toLocalIterator()))
+    shared = spark.sparkContext.broadcast(rows)
+    width = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import bisect
+
+        for batch in batches:
+            ids, paths = [], []
+            for i in batch.column(0).to_pylist():
+                want = key_of(i)[:9]
+                at = bisect.bisect_left(shared.value, want, key=lambda x: x[1])
+                while at < len(shared.value) and shared.value[at][0] <= want:
+                    ids.append(i)
+                    paths.append(shared.value[at][2])
+                    at += 1
+            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "path": pa.array(paths, pa.string())})
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, opened = None, None
+        for batch in batches:
+            rows = []
+            for i, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path != opened:
+                    if shard is not None:
+                        shard.close()
+                    shard, opened = Shard(path), path
+                rows += [(i, len(ids), ids.astype("<u4").tobytes()) for ids in shard.lookup(i)]
+            a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch({"key": pa.array(a, pa.int64()), "n_tokens": pa.array(b, pa.int64()), "ids": pa.array(c, pa.binary())})
+        if shard is not None:
+            shard.close()
+
+    asked = wanted.select(F.col(key).cast("long").alias("id")).distinct().mapInArrow(place, "id long, path string")
+    return asked.repartition(width, "path").sortWithinPartitions("path", "id").mapInArrow(find, f"`{key}` long, n_tokens long, ids binary")
+
+
 def _entries(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d = zip(*rows, strict=True)
     return pa.record_batch({"key": pa.array(a, pa.int64()), "start": pa.array(b, pa.int64()), "n_tokens": pa.array(c, pa.int64()), "ids": pa.array(d, pa.binary())})
