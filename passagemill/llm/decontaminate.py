@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
+from .common import shared_folder, table, text_bytes
 
 WINDOW = 13
-#: Characters of test text that are searched at once; a longer test set takes several passes.
+#: Characters of test text that are searched at once; a longer test set is cut into blocks.
 QUERY_CHARS = 8_000_000
+#: Bytes of documents that a task holds while it goes through the blocks, where there are several.
+HELD_BYTES = 32_000_000
 #: Every how many text positions the suffix array is kept.
 SAMPLE = 8
 #: A-Z to lower case, and all that is no word character to a blank.
@@ -187,45 +192,85 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str
     of one id are one.  Empty tables give no hits.  Other columns are carried
     along, except those named like a result.
 
-    Each task indexes its shards of text and searches all windows there,
-    without a shuffle.  The test set is read in blocks of QUERY_CHARS
-    characters, each sent to the tasks; every further block is one more pass.
+    Each task indexes its shards of text, the runs of words that the test set
+    has within 4 MB of text, and searches all windows there, without a shuffle
+    of documents.  The test set is dealt to blocks of QUERY_CHARS characters,
+    whose windows tasks make and write to the shared folder; a document task
+    reads a block at a time, so neither the driver nor a task holds more than
+    one, however long the test set is.
     """
-    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     at = names.index(text)
     fields = pa.struct([("first", pa.int64()), ("end", pa.int64())])
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
     own = ", ".join(f"{n} {t}" for n, t in out.dtypes)
-    # Ids are compared as strings.
-    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(item_text)).filter(F.col(item_text).isNotNull()).toLocalIterator()
-    for k, block in enumerate(_query_blocks(rows)):
-        shared = spark.sparkContext.broadcast(_Queries(block, window))
-
-        def find(batches: Iterable[pa.RecordBatch], shared=shared, first=not k) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [x for part in tokens.blocks(batch.column(at)) for x in shared.value.find(part)]
-                if not first:
-                    before = zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist(), strict=True)
-                    rows = [(n, merge([(x["first"], x["end"]) for x in s], spans), sorted({*i, *ids})) for (n, spans, ids), (s, i) in zip(rows, before, strict=True)]
-                n, spans, ids = zip(*rows, strict=True) if rows else ((), (), ())
-                made = [pa.array(n, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], pa.list_(fields)), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*(f"c{i}" for i in range(len(names))), "n_words", "spans", "items"])
-
-        out = out.mapInArrow(find, f"{own}, n_words long, spans array<struct<first: long, end: long>>, items array<string>")
+    blocks = write_queries(items, item, item_text, window)
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[tuple]] = [[] for _ in held]
+        for address in blocks or [None]:
+            queries = _read_queries(address) if address else _Queries([], window)
+            for k, batch in enumerate(held):
+                new = [x for part in tokens.blocks(batch.column(at)) for x in queries.find(part)]
+                rows[k] = [(n, merge(s, spans), sorted({*i, *ids})) for (n, spans, ids), (_, s, i) in zip(new, rows[k], strict=True)] if rows[k] else new
+        for batch, own_rows in zip(held, rows, strict=True):
+            n, spans, ids = zip(*own_rows, strict=True) if own_rows else ((), (), ())
+            made = [pa.array(n, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], pa.list_(fields)), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*(f"c{i}" for i in range(len(names))), "n_words", "spans", "items"])
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(blocks) < 2 or size >= HELD_BYTES:
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
+
+    out = out.mapInArrow(find, f"{own}, n_words long, spans array<struct<first: long, end: long>>, items array<string>")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n_words", "spans", "items")
 
 
-def _query_blocks(rows: Iterable) -> Iterator[list[tuple[str, str]]]:
-    block: list[tuple[str, str]] = []
-    size = 0
-    for name, text in rows:
-        block.append((name, text))
-        size += len(text)
-        if size >= QUERY_CHARS:
-            yield block
-            block, size = [], 0
-    yield block  # with an empty test set, one pass without windows
+def write_queries(items: DataFrame, item: str, item_text: str, window: int) -> list[str]:
+    """Writes the windows of the test set to the shared folder, a file a block of about QUERY_CHARS characters; returns the files' addresses."""
+    spark = items.sparkSession
+    # Ids are compared as strings.
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    n = text_bytes(rows, "text")[1] // QUERY_CHARS + 1
+    folder = shared_folder(spark, "queries")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n))).repartition(n, "block")
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[tuple[str, str]]] = {}
+        for batch in batches:
+            for name, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.setdefault(block, []).append((name, text))
+        for block, some in own.items():
+            filesystem, path = fs.FileSystem.from_uri(f"{folder}/{block:06d}")
+            filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+            # Each attempt writes a file of its own; the finished one takes the name.
+            with filesystem.open_output_stream(attempt := f"{path}.{uuid.uuid4().hex}") as out:
+                out.write(pickle.dumps(_Queries(some, window)))
+            filesystem.move(attempt, path)
+        yield pa.record_batch({"block": pa.array(list(own), pa.int64())})
+
+    made = dealt.mapInArrow(write, "block long").collect()
+    return [f"{folder}/{k:06d}" for k in sorted(r["block"] for r in made)]
+
+
+_last_read: dict[str, _Queries] = {}
+
+
+def _read_queries(address: str) -> _Queries:
+    """The windows of a block; the worker process keeps those it read last."""
+    if address not in _last_read:
+        _last_read.clear()
+        filesystem, path = fs.FileSystem.from_uri(address)
+        with filesystem.open_input_file(path) as file:
+            _last_read[address] = pickle.loads(file.read())
+    return _last_read[address]
 
 
 def judge(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
