@@ -95,6 +95,17 @@ def test_chat_reads_back(spark):
         assert back[c]["loss_text"] == "".join(t for r, t in own if r == "assistant")
 
 
+def test_chat_of_very_many_turns_of_one_role(spark):
+    """Places are right across groups of texts, and time does not grow with the square of a block."""
+    turns = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    done = chat.format_chats(turns)
+    row = done.first()
+    [block] = row["loss"]
+    assert len(block) == 30_000
+    assert all(row["formatted"][s["start"] : s["start"] + s["length"]] == f"t{i}" for i, s in enumerate(block))
+    assert chat.read_chats(done).select(F.length("loss_text").alias("n")).first()["n"] == sum(len(f"t{i}") for i in range(30_000))
+
+
 def test_chat_merges_and_is_native(spark):
     table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     df = chat.format_chats(table)
@@ -316,6 +327,8 @@ def test_token_shards(which, request, spark, tokenizer):
         assert manifest.count() > 4
         own = dict(want)
         shards = manifest.orderBy("part", "seq").collect()
+        wanted = spark.createDataFrame([(i,) for i in [*list(own)[::7], None, 10**12]], "doc_id long")
+        assert {(r["doc_id"], bytes(r["ids"])) for r in sstable.lookup_ids(manifest, wanted).collect()} == {(i, own[i]) for i in list(own)[::7]}
         for s in shards[:3]:
             shard = sstable.Shard(s["path"])
             for doc in (s["first_id"], s["last_id"]):
@@ -323,6 +336,18 @@ def test_token_shards(which, request, spark, tokenizer):
             assert shard.lookup(10**12) == []
 
 
+def test_shards_of_very_many_empty_texts_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_ENTRIES", 500)
+    monkeypatch.setattr(sstable, "TASK_ENTRIES", 1000)
+    df = spark.createDataFrame([(7 if i % 3 else i, "" if i % 2 else "same") for i in range(4000)], "doc_id long, text string")
+    manifest = spark.createDataFrame(sstable.write_shards(df, shared_folder(spark, "test-shards"), tokens.word_bpe_path(), 1).collect(), sstable_schema())
+    assert all(r["docs"] <= 500 for r in manifest.collect())
+    keys = [k for r in manifest.orderBy("part", "seq").collect() for k, _ in sstable.Shard(r["path"])]
+    assert keys == sorted(set(keys)) and len(keys) == 4000
+    found = sstable.lookup_ids(manifest, spark.createDataFrame([(7,), (3,)], "doc_id long")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found} == {7: sum(i % 3 > 0 for i in range(4000)), 3: 1}
+
+
 def sstable_schema():
     return "part int, seq int, path string, docs long, ids long, first_id long, last_id long"
 
@@ -357,6 +382,27 @@ def test_packing_covers_every_id_once(which, request, spark, tokenizer):
     assert padding <= 0.01 * sum(map(len, own.values()))
 
 
+def test_packing_of_tiny_documents_pads_little(spark):
+    df = spark.createDataFrame([(i, "a b") for i in range(6000)], "doc_id long, text string").repartition(2)
+    sizes = collections.Counter()
+    for r in packing.pack_pieces(df).collect():
+        assert r["doc_tokens"] == 3
+        sizes[r["sequence_id"]] += r["length"]
+    assert sum(sizes.values()) == 18_000
+    assert sum(4096 - n for n in sizes.values() if n & (n - 1)) < 0.05 * 18_000
+
+
+def test_packing_cuts_by_loss_only_what_bears_it(spark):
+    rows_ = [(1, "word " * 300, False), (2, "word " * 300, True)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, bears boolean").coalesce(1)
+    packed = packing.pack_documents(df, tokens.word_bpe_path(), 2, max_tokens=256, max_loss=100, loss_role="bears").collect()
+    assert {r["doc_id"] for r in packed if r["length"] > 100} == {1}
+    by = collections.Counter()
+    for r in packed:
+        by[r["sequence_id"]] += r["loss"]
+    assert max(by.values()) <= 100
+
+
 def test_packing_under_three_limits(spark):
     table = spark.createDataFrame([(i, "word " * (i % 37 + 1), i % 3 > 0) for i in range(3000)], "doc_id long, text string, bears boolean")
     packed = packing.pack_documents(table.coalesce(1), tokens.word_bpe_path(), 2, max_tokens=128, max_segments=9, max_loss=64, loss_role="bears").toPandas()
@@ -530,6 +576,8 @@ def test_url_rules_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(urls, "BROADCAST_RULES", limit)
         assert collections.Counter(tuple(r) for r in urls.filter_urls(table, rule_table).collect()) == want
     assert urls.filter_urls(table.limit(0), rule_table).count() == 0
+    long = spark.createDataFrame([(1, "x://" + "a." * 40_000 + "net/" + "y/" * 100_000), (2, "x://example.net/en/" + "/" * 200_000)], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urls.filter_urls(long, rule_table).select("page_id", "rule").collect()} == {1: "net/", 2: "example.net/en/"}
     assert {r["verdict"] for r in urls.filter_urls(table, rule_table.limit(0)).collect()} == {"allow"}
 
 
