@@ -46,8 +46,7 @@ def normalise(c: Column) -> Column:
 def tokenize(c: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Runs of a-z and 0-9 of two characters or more, without stop words."""
     words = F.regexp_extract_all(strip_accents(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*map(F.lit, stop_words))
-    return F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(stop_words))
 
 
 def stem(t: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ class _Evidence:
         self.concepts = asked.join(self.index.stems, "stem", "left").select(
             "qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")
         )
-        self.stems = self.index.postings.select("doc", T.stem(F.col("term")).alias("stem")).distinct()
+        self.stems = self.index.doc_stems.select("doc", "stem")
         alternatives = t.spark.createDataFrame(list(ALTERNATIVES), "stem string, other string")
         self.credits = A.credits(self.concepts, alternatives, self.stems)
         self.coverage = A.coverage(self.credits, self.concepts)
@@ -58,6 +60,11 @@ class _Evidence:
     def ranked(self, k: int) -> DataFrame:
         return X.top(X.normalised(X.score(self.index, R.questions(self.t))), k)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The candidates of every question, some hundreds each at most, kept as they are asked for several times."""
+        return R.candidates(self.t, self.index).persist()
+
 
 @query(
     "qa1_scope_rules",
@@ -168,7 +175,7 @@ def _(t):
     return A.sentences(t("documents")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_units"), F.max(F.length("unit")).cast("long").alias("longest"))
 
 
-BEST = f""", {SENTENCES}, near AS (SELECT qid, r.doc, rank, n, unit, {duck_tokens('unit')} AS tokens FROM ranked r JOIN sentences s USING (doc) WHERE rank <= 10),
+BEST = f""", {SENTENCES}, near AS (SELECT qid, r.doc, rank, n, unit, {duck_tokens('unit')} AS tokens FROM candidates r JOIN sentences s USING (doc)),
 said AS (SELECT qid, doc, n, sum(weight) AS got FROM (SELECT DISTINCT qid, doc, n, {duck_stem('term')} AS stem FROM (SELECT qid, doc, n, unnest(tokens) AS term FROM near)) JOIN concepts USING (qid, stem) GROUP BY qid, doc, n),
 unit_scores AS (SELECT qid, doc, rank, n, unit, coalesce(got, 0) / total AS cov, regexp_matches(unit, '[0-9]') AS datum FROM near LEFT JOIN said USING (qid, doc, n) JOIN total USING (qid)),
 phrases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY round(cov + CASE WHEN datum THEN 0.3 ELSE 0 END, 6) DESC, n) AS k FROM unit_scores) WHERE k = 1)
@@ -176,12 +183,13 @@ phrases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc OR
 
 
 def phrases(e: _Evidence) -> DataFrame:
-    """The best unit of each of a question's ten best passages; only those passages are cut into units."""
-    near = e.ranked(10).select("qid", "doc", "rank").join(A.sentences(e.t("documents")), "doc")
-    stems = near.select("qid", "doc", "n", F.explode(T.stems(F.col("unit"))).alias("stem"))
-    said = stems.join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc", "n").agg(F.sum("weight").alias("got"))
+    """The best unit of each of a question's candidates; a text is cut into units once, however many questions it is a candidate of."""
+    near = e.candidates.select("qid", "doc", "rank")
+    units = A.sentences(e.t("documents").join(near.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    stems = units.select("doc", "n", F.explode(T.stems(F.col("unit"))).alias("stem"))
+    said = stems.join(near.select("qid", "doc"), "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc", "n").agg(F.sum("weight").alias("got"))
     total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
-    scored = near.join(said, ["qid", "doc", "n"], "left").join(total, "qid")
+    scored = near.join(units, "doc").join(said, ["qid", "doc", "n"], "left").join(total, "qid")
     scored = scored.withColumn("cov", F.coalesce("got", F.lit(0.0)) / F.col("total")).withColumn("datum", F.col("unit").rlike("[0-9]"))
     order = F.struct(F.round(F.col("cov") + F.when(F.col("datum"), 0.3).otherwise(0.0), 6), -F.col("n"))
     return scored.groupBy("qid", "doc", "rank").agg(F.max_by(F.struct("n", "unit", "cov", "datum"), order).alias("b")).select("qid", "doc", "rank", "b.*")
@@ -251,7 +259,7 @@ FINAL = """, finals AS (SELECT qid, doc, p.rank, unit, datum, cov, coalesce(cove
 def finals(e: _Evidence) -> DataFrame:
     """The final score of each candidate: ranking, sentence and passage evidence; one language stands for texts not in force."""
     texts = e.t("documents").select(F.col("doc_id").alias("doc"), "lang", "source")
-    all_ = phrases(e).join(e.ranked(10).select("qid", "doc", "score"), ["qid", "doc"]).join(e.coverage, ["qid", "doc"], "left").join(texts, "doc")
+    all_ = phrases(e).join(e.candidates.select("qid", "doc", "score"), ["qid", "doc"]).join(e.coverage, ["qid", "doc"], "left").join(texts, "doc")
     passage = F.coalesce("coverage", F.lit(0.0))
     final = (0.35 * F.col("score") + 0.40 * F.col("cov") + 0.15 * passage + F.when(F.col("datum"), A.LAX_BONUS).otherwise(0.0)) * F.when(F.col("lang") == "fr", 0.9).otherwise(1.0)
     return all_.select("qid", "doc", "rank", "unit", "datum", "cov", passage.alias("passage"), "lang", "source", final.alias("final"))

@@ -10,9 +10,6 @@ from ..operators import index as X
 from .base import Tables, query
 from .text import duck_stem, duck_tokens
 
-#: Tokens of a benchmark text that make its question.
-QUESTION = 12
-
 BASE = f"""WITH docs AS (SELECT doc_id AS doc, lang, source, {duck_tokens('text')} AS tokens FROM documents),
 post AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM docs) GROUP BY doc, term),
 dl AS (SELECT doc, len(tokens) AS dl FROM docs),
@@ -20,21 +17,24 @@ corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
 terms AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), corpus),
 stemmed AS (SELECT DISTINCT doc, {duck_stem('term')} AS stem FROM post),
 stems AS (SELECT stem, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT stem, count(*) AS df FROM stemmed GROUP BY stem), corpus),
-q AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest(({duck_tokens('text')})[:{QUESTION}]) AS term FROM benchmark)),
+q AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({duck_tokens('text')}) AS term FROM benchmark)),
 scores AS (SELECT qid, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score
   FROM q JOIN terms USING (term) JOIN post USING (term) JOIN dl USING (doc), corpus GROUP BY qid, doc),
 shares AS (SELECT qid, doc, score / max(score) OVER (PARTITION BY qid) AS score FROM scores),
-ranked AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc) AS rank FROM shares)
+ranked AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc) AS rank FROM shares),
+candidates AS (SELECT qid, doc, score, rank FROM ranked JOIN docs USING (doc)
+  WHERE rank <= 60 OR (rank <= 250 AND tokens[1] IN (SELECT term FROM q WHERE q.qid = ranked.qid)))
 """
 
 
-def index(t: Tables, where: str | None = None) -> X.Index:
-    docs = t("documents")
-    return X.build(docs.filter(where) if where else docs)
+def index(t: Tables) -> X.Index:
+    """The index of the documents: built and saved by whichever query comes first, opened by the others."""
+    return X.open_or_build(t("documents"))
 
 
 def questions(t: Tables) -> DataFrame:
-    terms = F.array_distinct(F.slice(T.tokenize(F.col("text")), 1, QUESTION))
+    """Every benchmark text is a question: all its different tokens."""
+    terms = F.array_distinct(T.tokenize(F.col("text")))
     return t("benchmark").select(F.col("item_id").alias("qid"), F.explode(terms).alias("term"), F.lit(1.0).alias("weight"))
 
 
@@ -143,13 +143,17 @@ def _(t):
     return X.diversified(best, "print", "source", 2, 10).select("qid", "doc", F.col("place").cast("long").alias("place"))
 
 
-@query("rk3_candidates", BASE + "SELECT qid, doc, CASE WHEN rank <= 60 THEN 'rank' ELSE 'form' END AS why FROM ranked JOIN docs USING (doc) WHERE rank <= 60 OR (rank <= 250 AND tokens[1] IN (SELECT term FROM q WHERE q.qid = ranked.qid))")
-def _(t):
-    """The best sixty, and of the best 250 those that begin with a word of the question."""
+def candidates(t: Tables, made: X.Index) -> DataFrame:
+    """What answers are looked for in: the best sixty, and of the best 250 those that begin with a word of the question; qid, doc, score, rank."""
     asked = questions(t).select(F.col("qid").alias("q"), "term")
     head = t("documents").select(F.col("doc_id").alias("doc"), F.get(T.tokenize(F.col("text")), F.lit(0)).alias("first"))
-    best = X.top(shares(t), 250).join(head, "doc").join(asked, (F.col("q") == F.col("qid")) & (F.col("first") == F.col("term")), "left")
-    return best.filter((F.col("rank") <= 60) | F.col("term").isNotNull()).select("qid", "doc", F.when(F.col("rank") <= 60, "rank").otherwise("form").alias("why"))
+    best = X.top(X.normalised(X.score(made, questions(t))), 250).join(head, "doc").join(asked, (F.col("q") == F.col("qid")) & (F.col("first") == F.col("term")), "left")
+    return best.filter((F.col("rank") <= 60) | F.col("term").isNotNull()).select("qid", "doc", "score", "rank")
+
+
+@query("rk3_candidates", BASE + "SELECT qid, doc, CASE WHEN rank <= 60 THEN 'rank' ELSE 'form' END AS why FROM candidates")
+def _(t):
+    return candidates(t, index(t)).select("qid", "doc", F.when(F.col("rank") <= 60, "rank").otherwise("form").alias("why"))
 
 
 @query("ls1_categories", "SELECT DISTINCT coalesce(nullif(source, ''), lang) AS category FROM documents")
