@@ -16,8 +16,9 @@ NUMBER_WORDS = dict(
     dieciseis=16, diecisiete=17, dieciocho=18, diecinueve=19, veinte=20, veintiun=21, veintiuno=21, veintiuna=21, veintidos=22, veintitres=23, veinticuatro=24,
     veinticinco=25, veintiseis=26, veintisiete=27, veintiocho=28, veintinueve=29, treinta=30, cuarenta=40, cincuenta=50, sesenta=60, setenta=70, ochenta=80,
     noventa=90, cien=100, ciento=100,
+    doscientos=200, doscientas=200, trescientos=300, trescientas=300, cuatrocientos=400, cuatrocientas=400, quinientos=500, quinientas=500,
+    seiscientos=600, seiscientas=600, setecientos=700, setecientas=700, ochocientos=800, ochocientas=800, novecientos=900, novecientas=900,
 )
-NUMBER_WORDS |= {f"{stem}{end}": n for n, stem in ((200, "doscient"), (300, "trescient"), (400, "cuatrocient"), (500, "quinient"), (600, "seiscient"), (700, "setecient"), (800, "ochocient"), (900, "novecient")) for end in ("os", "as")}
 SCALES = {"mil": 1000, "millon": 1_000_000, "millones": 1_000_000}
 
 #: What blocks a request, in order; the rest is answered.

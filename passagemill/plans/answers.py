@@ -63,7 +63,12 @@ class _Evidence:
     @cached_property
     def candidates(self) -> DataFrame:
         """The candidates of every question, some hundreds each at most, kept as they are asked for several times."""
-        return R.candidates(self.t, self.index).persist()
+        return self.t.keep(R.candidates(self.t, self.index))
+
+    @cached_property
+    def finals(self) -> DataFrame:
+        """The final score of each candidate, kept likewise."""
+        return self.t.keep(finals(self))
 
 
 @query(
@@ -309,7 +314,7 @@ states AS (SELECT qid, doc, unit, datum, CASE WHEN round(unseen, 6) >= 0.2 THEN
 def states(e: _Evidence) -> DataFrame:
     from pyspark.sql import Window
 
-    best = finals(e).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("final", 6).desc(), "doc"))).filter("n = 1")
+    best = e.finals.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("final", 6).desc(), "doc"))).filter("n = 1")
     unseen = e.concepts.groupBy("qid").agg((F.sum(F.when(F.col("unseen"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("unseen"))
     whole = e.core_hit.select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
     rows = best.join(whole, ["qid", "doc"], "left").join(unseen, "qid")

@@ -16,8 +16,17 @@ FIXED_TABLES = ("region", "nation")
 class Tables:
     """The tables of one folder: t("orders") reads one, lazily."""
 
+    _kept: list[DataFrame] = []
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        while self._kept:  # what the query before kept is let go; its result would compute it again
+            self._kept.pop().unpersist()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows, computed once for this query though several parts of it ask for them; until the next query."""
+        self._kept.append(df.persist())
+        return df
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

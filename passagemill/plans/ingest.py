@@ -126,10 +126,16 @@ def _(t):
     return L.resolve(left, "base", ("order", orders), ("part", parts)).select("page_id", "target", "method")
 
 
-@query("lk5_canonical_copies", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY -(length(text) // 4000), CASE lang WHEN 'en' THEN 0 ELSE 1 END, -length(text), doc_id) AS n FROM documents) WHERE n = 1")
+@query(
+    "lk5_canonical_copies",
+    """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '', 'g')
+    ORDER BY -(length(text) // 4000), CASE lang WHEN 'en' THEN 0 ELSE 1 END, -length(text), doc_id) AS n FROM documents) WHERE n = 1""",
+)
 def _(t):
-    docs = t("documents").withColumn("head", F.substring("text", 1, 40))
-    return L.canonical_copy(docs, "head", "text", F.when(F.col("lang") == "en", 0).otherwise(1), "doc_id").select("doc_id")
+    """Copies are texts whose letters and digits are the same, all of them, whatever their case, accents and signs."""
+    same = F.sha2(F.regexp_replace(T.normalise(F.col("text")), "[^a-z0-9]+", ""), 256)
+    docs = t("documents").withColumn("same", same)
+    return L.canonical_copy(docs, "same", "text", F.when(F.col("lang") == "en", 0).otherwise(1), "doc_id").select("doc_id")
 
 
 @query("lk6_merged_categories", "SELECT text_hash, array_to_string(CASE WHEN len(c) > 1 THEN list_filter(c, lambda x: x <> 'src0') ELSE c END, ',') AS categories FROM (SELECT sha1(text) AS text_hash, list_sort(list(DISTINCT source)) AS c FROM documents GROUP BY text)")
@@ -169,12 +175,19 @@ def _(t):
     return license_edges(t).filter("target <> ''").groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query("gr6_affected_passages", f"WITH e AS ({EDGES}) SELECT d.doc_id, count(*)::BIGINT AS n FROM documents d JOIN (SELECT DISTINCT doc_id, target FROM e) x ON d.doc_id = x.doc_id WHERE contains(substr(d.text, 1, 400), x.target) GROUP BY d.doc_id")
+@query(
+    "gr6_affected_passages",
+    f"""WITH e AS ({EDGES}), p AS (SELECT doc_id, unnest(x) AS said, generate_subscripts(x, 1) - 1 AS passage
+    FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n|\n') AS x FROM documents))
+    SELECT p.doc_id, passage::BIGINT AS passage, count(*)::BIGINT AS n FROM p JOIN (SELECT DISTINCT doc_id, target FROM e WHERE target <> '') x ON p.doc_id = x.doc_id
+    WHERE contains(said, x.target) GROUP BY ALL""",
+)
 def _(t):
-    """Passages (a document's head) that name a target of the document's own edges: the equal key carries the join."""
-    e = license_edges(t).select("doc_id", "target").distinct()
-    heads = t("documents").select("doc_id", F.substring("text", 1, 400).alias("head"))
-    return heads.join(e, "doc_id").filter(F.contains("head", "target")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Passages, a line each and all of the text, that name a target of the document's own edges: the equal key carries the join."""
+    e = license_edges(t).filter("target <> ''").select("doc_id", "target").distinct()
+    passages = t("documents").join(e.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", r"\n\s*\n|\n")).alias("passage", "said"))
+    met = passages.join(e, "doc_id").filter(F.contains("said", "target"))
+    return met.groupBy("doc_id", F.col("passage").cast("long").alias("passage")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("gr7_alert_choice", f"WITH e AS (SELECT doc_id, count(*) AS n FROM ({EDGES}) GROUP BY doc_id) SELECT doc_id, CASE WHEN n >= 2 THEN 'several' WHEN n = 1 THEN 'one' WHEN lang = 'fr' THEN 'dated' END AS alert FROM documents LEFT JOIN e USING (doc_id)")

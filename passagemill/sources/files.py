@@ -108,18 +108,66 @@ def guarded(df: DataFrame, least: int, what: str = "rows") -> DataFrame:
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Writes beside the table and then takes its place, so a reader meets the old rows or the new ones."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
+    """Writes a new version of the table below path and makes it the current one; the one before stays until the next.
+
+    The table is a folder of versions, and a small file beside them, replaced
+    by one rename of the file system, names the current one.  So a reader meets
+    the old rows or the new ones, and a write or a rename that fails leaves the
+    old rows where they were.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    before = current_version(spark, path)
+    _set_current(spark, path, version)
+    fs, at = _file_system(spark, path)
+    for found in fs.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(found.getPath(), True)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that replace_atomically wrote last."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that readers of the table meet; none before the first."""
+    fs, _ = _file_system(spark, path)
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _set_current(spark: SparkSession, path: str, version: str) -> None:
+    """Replaces the pointer file by one rename that overwrites; what fails is raised, and the old pointer stays."""
     jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    at, new, old = Path(path), Path(staged), Path(f"{staged}.old")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    hadoop, uri = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path(path).toUri()
+    context = hadoop.FileContext.getFileContext(uri, spark.sparkContext._jsc.hadoopConfiguration())
+    new = hadoop.Path(f"{path}/.{version}")
+    fs, _ = _file_system(spark, path)
+    out = fs.create(new, True)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(new, hadoop.Path(f"{path}/current"), options)
 
 
 def append_log(df: DataFrame, path: str) -> None:

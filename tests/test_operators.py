@@ -291,14 +291,21 @@ def test_html_and_markdown_tables(spark):
     assert one(spark, S.pipe_rows(F.lit("| a | b | c | d | e |\n|---|---|---|---|---|\n| 1 | 2 | 3 | 4 | 5 |\ntext"))) == [list("abcde"), list("12345")]
 
 
-def test_guard_replace_and_log(spark, tmp_path):
+def test_guard_replace_and_log(spark, tmp_path, monkeypatch):
     rows = spark.range(5)
     assert S.guarded(rows, 5).count() == 5
     with pytest.raises(ValueError):
         S.guarded(rows, 6)
-    for n in (3, 8):
-        S.replace_atomically(spark.range(n), f"file://{tmp_path}/t")
-        assert spark.read.parquet(f"file://{tmp_path}/t").count() == n
+    path = f"file://{tmp_path}/t"
+    for n in (3, 8, 5):
+        S.replace_atomically(spark.range(n), path)
+        assert S.read_current(spark, path).count() == n
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 2
+    # A rename that fails leaves the old rows, and readers meet them.
+    monkeypatch.setattr(S, "_set_current", lambda *_: (_ for _ in ()).throw(OSError("no rename")))
+    with pytest.raises(OSError):
+        S.replace_atomically(spark.range(9), path)
+    assert S.read_current(spark, path).count() == 5
     for _ in range(2):
         S.append_log(rows, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 10

@@ -30,7 +30,7 @@ def test_range_join_meets_all_orders_and_events(spark):
         by_day.setdefault(r["ts"].day, []).append(r["value"])
     want = {k: n for k, day, x in orders if (n := sum(v is not None and x - 1 <= v <= x + 1 for v in by_day.get(day, [])))}
     assert any(k % 10 for k in want)
-    assert {r["o_orderkey"]: r["n"] for r in QUERIES["rl8_range_join_whole"](spark, SMALL).collect()} == want
+    assert {r["o_orderkey"]: r["n"] for r in QUERIES["rl8_range_join_by_buckets"](spark, SMALL).collect()} == want
 
 
 def test_slots_are_taken_by_all_users(spark):
@@ -39,5 +39,4 @@ def test_slots_are_taken_by_all_users(spark):
         taken.setdefault(f"{r['ts']:%Y-%m-%d}", []).append(r["ts"].hour * 60 + r["ts"].minute)
     slots = {(r["day"], r["start"]) for r in QUERIES["tm5_slots"](spark, SMALL).collect()}
     want = {(day, s) for day, s in slots if not any(s < a + 35 and s + 30 > a - 15 for a in taken.get(day, []))}
-    assert {(r["day"], r["start"]) for r in QUERIES["tm6_free_slots_whole"](spark, SMALL).collect()} == want
-    assert len(want) < QUERIES["tm6_free_slots"](spark, SMALL).count()
+    assert {(r["day"], r["start"]) for r in QUERIES["tm6_free_slots"](spark, SMALL).collect()} == want
