@@ -4,16 +4,16 @@
    cut into trees of short hash values.
 2. Documents of one digest are one class; its copies go no further.
 3. In every tree the classes' signatures are sorted as strings, which is the
-   trie in order; neighbours that share a prefix are linked.
-4. Linked classes form candidate components.  Each is verified exactly by
+   trie in order; neighbours are linked by the longest prefix they share.
+4. The prefix that a class goes by starts at the whole depth and is shortened,
+   for each class by itself, until the least similar of the neighbours found
+   (by their signatures) would be met in some tree as often as the target recall
+   asks; the shortest is the one that meets pairs at the threshold itself so
+   often.  A link counts if it shares the prefix of either end.
+5. Linked classes form candidate components.  Each is verified exactly by
    intersection counts; large ones are cut into blocks, and the pairs of blocks
    that share a prefix in some tree are groups of their own, so no pair of
    classes is written as a row.
-5. The prefix starts at the whole depth.  Every link that is found tells how
-   likely the forest was to miss one like it, which estimates the recall; while
-   that is below the target the prefix is shortened by a value and the forest
-   searched again, down to the prefix at which a pair at the threshold itself
-   is met as often as the target asks.
 """
 
 from __future__ import annotations
@@ -149,11 +149,15 @@ def _heads(paths: np.ndarray) -> np.ndarray:
     return h
 
 
-def forest_links(classes: DataFrame, depth: int, width: int) -> DataFrame:
-    """Links (a, b) that connect all classes (id, signature) sharing a prefix of that depth in some tree; each task links what it sees to the least id.
+def forest_links(classes: DataFrame, shortest: int, width: int) -> DataFrame:
+    """Links (a, b, shared) that connect all classes (id, signature) sharing a prefix of that depth or more in some tree.
 
-    Classes of one batch that share a prefix are linked where they are read,
-    and one of them stands for all in the sorted trees.  So a prefix that very
+    shared is the depth of the prefix they share; the links of that depth or
+    more connect all classes that share so much.  Each task hands on a forest
+    of what it sees, deepest links first.
+
+    Classes of one batch that share a whole path are linked where they are read,
+    and one of them stands for all in the sorted trees.  So a path that very
     many classes share is a row a batch there; links that are made already go
     along without a path, dealt by their ids.
     """
@@ -166,7 +170,7 @@ def forest_links(classes: DataFrame, depth: int, width: int) -> DataFrame:
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), TREES, DEPTH * 2)
             tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (len(ids), TREES, 1))
             path = np.ascontiguousarray(np.concatenate([tree, raw], axis=2)).view(f"V{DEPTH * 2 + 1}").ravel()
-            values = np.concatenate([tree, raw[:, :, : 2 * depth]], axis=2).reshape(len(path), 2 * depth + 1)
+            values = np.concatenate([tree, raw], axis=2).reshape(len(path), 2 * DEPTH + 1)
             _, first, place = np.unique(_heads(values), return_index=True, return_inverse=True)
             own = np.repeat(ids, TREES)
             pairs = np.stack([own, own[first][place.ravel()]], axis=1)
@@ -177,26 +181,68 @@ def forest_links(classes: DataFrame, depth: int, width: int) -> DataFrame:
             ids_, paths_ = pa.concat_arrays([pa.array(own[first]), made.column(0)]), pa.array(path[first].tolist() + [None] * len(made), pa.binary())
             yield pa.record_batch({"id": ids_, "path": paths_, "root": pa.concat_arrays([pa.nulls(len(first), pa.int64()), made.column(1)])})
 
+    def handed(sets: _Union, others: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        deep = sets.links()
+        rows = [(a, b, DEPTH) for a, b in zip(deep.column(0).to_pylist(), deep.column(1).to_pylist(), strict=True)]
+        for shared, a, b in sorted(others, reverse=True):
+            if sets.root(a) != sets.root(b):
+                sets.join(a, b)
+                rows.append((a, b, shared))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "shared"])
+
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, last, last_id = _Union(), b"", 0
+        sets, others, last, last_id, head = _Union(), [], b"", 0, 1 + 2 * shortest
         for batch in batches:
             for i, path, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if path is None:
                     sets.join(i, to)
                 else:
-                    head = path[: 1 + 2 * depth]
-                    if head == last:
-                        sets.join(last_id, i)
-                    last, last_id = head, i
-                if len(sets.up) > HELD:
-                    yield sets.links()
-                    sets = _Union()
-        yield sets.links()
+                    if path[:head] == last[:head]:
+                        shared = shortest
+                        while shared < DEPTH and path[: 3 + 2 * shared] == last[: 3 + 2 * shared]:
+                            shared += 1
+                        if shared == DEPTH:
+                            sets.join(last_id, i)
+                        else:
+                            others.append((shared, last_id, i))
+                    last, last_id = path, i
+                if len(sets.up) + len(others) > HELD:
+                    yield handed(sets, others)
+                    sets, others = _Union(), []
+        yield handed(sets, others)
 
     paths = classes.select("id", "signature").mapInArrow(plant, "id long, path binary, root long")
-    where = F.coalesce(F.substring("path", 1, 1 + 2 * depth), F.col("id").cast("string").cast("binary"))
+    where = F.coalesce(F.substring("path", 1, 1 + 2 * shortest), F.col("id").cast("string").cast("binary"))
     dealt = paths.repartition(width, where).sortWithinPartitions("path", "id")
-    return dealt.mapInArrow(walk, "a long, b long").filter("a <> b").distinct()
+    found = dealt.mapInArrow(walk, "a long, b long, shared int").filter("a <> b")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
+
+
+def counted_links(links: DataFrame, classes: DataFrame, shortest: int, threshold: float, target: float) -> DataFrame:
+    """The links (a, b) that share the prefix that either end goes by.
+
+    A class goes by the longest prefix at which the least similar of its linked
+    classes is met with the target chance.  Similarities are estimated by equal
+    values of signatures; those far below the threshold, three standard errors
+    and more, say nothing and are left out.
+    """
+    signatures = classes.select("id", "signature")
+    both = links.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+    far = threshold - 3 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+
+    def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), ">u2").reshape(-1, TREES * DEPTH) for c in batch.columns[3:])
+            alike = (x == y).mean(axis=1)
+            asked = np.full(len(alike), shortest, np.int32)
+            for k in range(shortest + 1, DEPTH + 1):
+                asked[met(alike, k) >= target] = k
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(alike < far, DEPTH, asked), pa.int32())], names=["a", "b", "shared", "asked"])
+
+    asked = checkpointed(both.select("a", "b", "shared", "x", "y").mapInArrow(prefix, "a long, b long, shared int, asked int"))
+    ends = asked.select(F.explode(F.array("a", "b")).alias("id"), "asked").groupBy("id").agg(F.min("asked").alias("by"))
+    rows = asked.join(ends.select(F.col("id").alias("a"), F.col("by").alias("by_a")), "a").join(ends.select(F.col("id").alias("b"), F.col("by").alias("by_b")), "b")
+    return rows.filter(F.col("shared") >= F.least("by_a", "by_b")).select("a", "b")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -230,8 +276,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _verify(rows: list[tuple], threshold: float, depth: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """Rows (id, copies, block, text) of one pair of blocks to (id, linked documents, least id linked to it here, linked classes, how many more the forest is expected to have missed).
+def _verify(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int]]:
+    """Rows (id, copies, block, text) of one pair of blocks to (id, linked documents, least id linked to it here).
 
     Within a block every pair counts; of two blocks, those across.
     """
@@ -268,10 +314,8 @@ def _verify(rows: list[tuple], threshold: float, depth: int) -> Iterator[tuple[i
     for a, b in zip(*np.nonzero(np.triu(linked)), strict=True):
         sets_.join(int(ids[a]), int(ids[b]))
     n = linked @ copies
-    chance = met(np.where(linked, both / np.maximum(union, 1), 1.0), depth)
-    missed = ((1 - chance) / chance).sum(axis=1)
     for i in np.flatnonzero(linked.any(axis=1)).tolist():
-        yield int(ids[i]), int(n[i]), sets_.root(int(ids[i])), int(linked[i].sum()), float(missed[i])
+        yield int(ids[i]), int(n[i]), sets_.root(int(ids[i]))
 
 
 def _block_pairs(members: DataFrame, depth: int) -> DataFrame:
@@ -302,9 +346,8 @@ def _block_pairs(members: DataFrame, depth: int) -> DataFrame:
     return across.union(members.select("root", F.col("block").alias("i"), F.col("block").alias("j"))).distinct()
 
 
-def _links_at(docs: DataFrame, classes: DataFrame, depth: int, width: int, key: str, text: str, threshold: float) -> DataFrame:
-    """Verified links of classes that share a prefix of that depth: id, n, root, links, missed."""
-    candidates = components(forest_links(classes.filter("signature is not null"), depth, width))
+def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shortest: int, width: int, key: str, text: str, threshold: float) -> DataFrame:
+    """Links of the candidate components (id, root), verified: id, n, root."""
     members = candidates.join(classes.select("id", "row", "copies", "size", "signature"), "id")
     blocks = candidates.join(classes.select("id", "size"), "id").groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -312,11 +355,14 @@ def _links_at(docs: DataFrame, classes: DataFrame, depth: int, width: int, key:
     texts = docs.select(_row(key, text).alias("row"), F.col(text).alias("text"))
     # Repeated rows have one text: each task keeps one of them.
     own = members.select("root", "id", "copies", "block", "blocks", "row").join(texts, "row").dropDuplicates(["id"]).drop("row")
-    small = own.filter("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "copies", "block", "text")
-    pairs = _block_pairs(members.filter("blocks > 1"), depth)
-    sides = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    large = own.filter("blocks > 1").join(sides, ["root", "block"]).select("root", "i", "j", "id", "copies", "block", "text")
-    dealt = small.union(large).repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+    cut = members.filter("blocks > 1")
+    if cut.isEmpty():
+        pairs = own.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "copies", "block", "text")
+    else:
+        # Each block's partners go to its members; those of a component of one block meet in it.
+        sides = _block_pairs(cut, shortest).select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        pairs = own.join(sides, ["root", "block"], "left").select("root", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "id", "copies", "block", "text")
+    dealt = pairs.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
@@ -324,18 +370,18 @@ def _links_at(docs: DataFrame, classes: DataFrame, depth: int, width: int, key:
             for *where, i, copies, block, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if where != now:
                     if len(group) > 1:
-                        out += _verify(group, threshold, depth)
+                        out += _verify(group, threshold)
                     now, group = where, []
                 group.append((i, copies, block, own))
             if len(out) > 50_000:
                 yield _found(out)
                 out = []
         if len(group) > 1:
-            out += _verify(group, threshold, depth)
+            out += _verify(group, threshold)
         if out:
             yield _found(out)
 
-    return dealt.mapInArrow(verify, "id long, n long, root long, links long, missed double")
+    return dealt.mapInArrow(verify, "id long, n long, root long")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
@@ -354,7 +400,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     Rows with repeated keys keep rows of their own.  An empty table gives an
     empty one.  Other columns are ignored.
 
-    Prefixes are shortened until the links found estimate a recall of target.
+    Prefixes are shortened until a class' neighbours are met with a chance of
+    target, so a link at the threshold is missed with 1 - target at most by the
+    shortest prefix, and by 1 - met(threshold, DEPTH), 0.3 %, by the longest.
     Documents and shingle sets are known by 128 bits.  A component of very many
     different texts costs the square of those that share prefixes, in
     arithmetic; its texts are sent once for every pair of blocks that shares
@@ -367,11 +415,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     # Copies meet as one row a task.  The ids are made once and kept with the rows.
     classes = all_rows.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "m.key", "m.row", "m.size", "m.signature", "copies"))
-    for depth in range(DEPTH, prefix_depth(threshold, target) - 1, -1):
-        found = checkpointed(_links_at(docs, classes, depth, width, key, text, threshold))
-        links, missed = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0.0))).first()
-        if links and links >= target * (links + missed):
-            break
+    shortest = prefix_depth(threshold, target)
+    links = counted_links(checkpointed(forest_links(classes.filter("signature is not null"), shortest, width)), classes, shortest, threshold, target)
+    found = checkpointed(_verified(docs, classes, components(links), shortest, width, key, text, threshold))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     full = classes.join(groups, "id", "left").join(links, "id", "left").select("digest", "key", "row", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -392,9 +438,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
-def _found(rows: list[tuple[int, int, int, int, float]]) -> pa.RecordBatch:
-    *whole, missed = zip(*rows, strict=True)
-    return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n", "root", "links"), whole, strict=True)} | {"missed": pa.array(missed, pa.float64())})
+def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n", "root"), zip(*rows, strict=True), strict=True)})
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

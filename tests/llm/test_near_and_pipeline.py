@@ -94,19 +94,19 @@ def test_prefix_at_the_threshold():
         near.prefix_depth(0.1)
 
 
-def test_prefix_is_shortened_until_the_recall_is_met(spark, monkeypatch):
-    """Exact-like links stop the search at the whole depth; links at the threshold shorten the prefix."""
-    asked = []
-    plain = near._links_at
-    monkeypatch.setattr(near, "_links_at", lambda docs, classes, depth, *rest: asked.append(depth) or plain(docs, classes, depth, *rest))
-    words = [f"w{i}" for i in range(400)]
-    close = spark.createDataFrame([(k, " ".join([*words[:-1], f"x{k}"])) for k in range(6)], "doc_id long, text string")
-    far = spark.createDataFrame([(k, " ".join(f"{k // 2}{w}" if i % 45 or k % 2 else "y" for i, w in enumerate(words))) for k in range(40)], "doc_id long, text string")
-    assert {r["n_links"] for r in near.near_copies(close).collect()} == {5}
-    assert asked == [near.DEPTH]
-    asked.clear()
-    assert found(near.near_copies(far)) == collections.Counter(brute(list(range(40)), [r["text"] for r in far.orderBy("doc_id").collect()]))
-    assert len(asked) > 1 and asked == sorted(asked, reverse=True)
+def test_prefixes_are_shortened_for_each_class(spark):
+    """A class with close neighbours only goes by the whole depth; one with a neighbour near the threshold by a shorter prefix."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 65536, near.TREES * near.DEPTH)
+
+    def like(share):
+        return np.where(rng.random(len(base)) < share, base, rng.integers(0, 65536, len(base)))
+
+    rows = [(1, base), (2, like(0.97)), (3, like(0.80)), (4, like(0.2))]
+    classes = spark.createDataFrame([(i, bytearray(np.array(s).astype(">u2").tobytes())) for i, s in rows], "id long, signature binary")
+    links = spark.createDataFrame([(1, 2, 6), (1, 3, 6), (1, 4, 6), (1, 4, 7)], "a long, b long, shared int")
+    ask = lambda pairs: {(r["a"], r["b"]) for r in near.counted_links(links.filter(pairs), classes, 6, 0.8, near.TARGET_RECALL).collect()}
+    assert ask("b = 2") == set() and ask("b IN (2, 3)") == {(1, 2), (1, 3)} and ask("b = 4") == set()
 
 
 def test_repeated_rows_and_clashing_names(spark):
@@ -173,7 +173,7 @@ def test_forest_links_connect_all_that_share_a_prefix(spark, batch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        links = near.forest_links(classes.repartition(3), depth, 8).collect()
+        links = near.forest_links(classes.repartition(3), depth, 8).select("a", "b").collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     got = near._Union()
