@@ -10,6 +10,7 @@ from ..functions import text as T
 
 # Thresholds of the evidence measures.
 CREDIT_ALTERNATIVE, CORE_SHARE, UNSEEN_MOST = 0.7, 0.9, 0.2
+TOP_HIGH, POOLED_HIGH, TOP_LEAST, POOLED_LEAST = 0.70, 0.80, 0.50, 0.50
 FOUND, FOUND_PASSAGE, FOUND_WITHOUT_DATUM, PARTIAL = 0.6, 0.85, 0.9, 0.45
 DATUM_BONUS, DEFINITION_BONUS, LAX_BONUS, LAW_BONUS, LAW_ASKED_BONUS = 0.4, 0.7, 0.1, 0.05, 0.3
 PER_DOCUMENT, PER_NORM, RESULTS = 3, 4, 6
@@ -34,15 +35,18 @@ def question_type(plain: Column) -> Column:
 
 
 def credits(concepts: DataFrame, alternatives: DataFrame, stems: DataFrame) -> DataFrame:
-    """How far each concept (qid, stem, weight) is in each text (doc, stem): 1 for its own stem, 0.7 for a one-word alternative.
+    """How far each concept (qid, stem, weight) is in each text (doc, stem).
 
-    Concepts and texts meet on the stem, so only pairs with something in common
-    make a row; alternatives (stem, other) are joined to the concepts first.
+    1 for its own stem or all stems of an alternative of several words, 0.7 for
+    an alternative of one.  alternatives: stem, phrase (which alternative),
+    other (a stem of it), size (its stems).  Concepts and texts meet on the
+    stem, so only pairs with something in common make a row.
     """
-    own = concepts.select("qid", F.col("stem").alias("concept"), "weight", "stem", F.lit(1.0).alias("credit"))
-    other = concepts.join(alternatives, "stem").select("qid", F.col("stem").alias("concept"), "weight", F.col("other").alias("stem"), F.lit(CREDIT_ALTERNATIVE).alias("credit"))
-    found = own.union(other).join(stems, "stem")
-    return found.groupBy("qid", "doc", "concept", "weight").agg(F.max("credit").alias("credit"))
+    own = concepts.select("qid", F.col("stem").alias("concept"), "weight", "stem", F.lit(-1).alias("phrase"), F.lit(1).alias("size"))
+    other = concepts.join(F.broadcast(alternatives), "stem").select("qid", F.col("stem").alias("concept"), "weight", F.col("other").alias("stem"), "phrase", "size")
+    met = own.union(other).join(stems, "stem").groupBy("qid", "doc", "concept", "weight", "phrase", "size").agg(F.count(F.lit(1)).alias("n"))
+    credit = F.when((F.col("phrase") < 0) | (F.col("size") > 1), 1.0).otherwise(CREDIT_ALTERNATIVE)
+    return met.filter("n = size").groupBy("qid", "doc", "concept", "weight").agg(F.max(credit).alias("credit"))
 
 
 def coverage(found: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -14,19 +14,22 @@ from . import retrieval as R
 from .base import Tables, query
 from .text import duck_stem, duck_tokens
 
-#: A small vocabulary of our own: what a stem may also be said as.
-ALTERNATIVES = (("tion", "ing"), ("hand", "thand"), ("ered", "ering"), ("haus", "heim"), ("casa", "hogar"))
+#: A small vocabulary of our own: what a stem may also be said as, in one word or several.
+ALTERNATIVES = (("tion", ("ing",)), ("hand", ("thand",)), ("ered", ("ering",)), ("haus", ("heim",)), ("casa", ("hogar",)), ("eron", ("that", "with")), ("esin", ("onth", "zzqq")), ("thin", ("then", "than", "this")))
 #: Rules of what is out of scope: pattern, exception, matter, in order.
 SCOPE_RULES = (("gar[a-z]+", "garant", "vehicles"), ("that", "of the", "hearsay"), ("zu[a-z]*", "zu und", "customs"))
 
-ALT_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in ALTERNATIVES)
+ALT_ROWS = [(stem, k, other, len(phrase)) for k, (stem, phrase) in enumerate(ALTERNATIVES) for other in phrase]
+ALT_SCHEMA = "stem string, phrase int, other string, size int"
+ALT_VALUES = ", ".join(f"('{stem}', {k}, '{other}', {size})" for stem, k, other, size in ALT_ROWS)
 BASE = (
     R.BASE
     + f""", concepts AS (SELECT qid, w.stem, coalesce(idf, ln(1 + (n + 0.5) / 0.5)) AS weight, idf IS NULL AS unseen
   FROM (SELECT DISTINCT qid, {duck_stem('term')} AS stem FROM q) w LEFT JOIN stems USING (stem), corpus),
-alts(stem, other) AS (VALUES {ALT_VALUES}),
-tries AS (SELECT qid, stem AS concept, weight, stem, 1.0 AS credit FROM concepts UNION ALL SELECT qid, c.stem, weight, other, 0.7 FROM concepts c JOIN alts USING (stem)),
-credits AS (SELECT qid, doc, concept, weight, max(credit) AS credit FROM tries JOIN stemmed USING (stem) GROUP BY qid, doc, concept, weight),
+alts(stem, phrase, other, size) AS (VALUES {ALT_VALUES}),
+tries AS (SELECT qid, stem AS concept, weight, stem, -1 AS phrase, 1 AS size FROM concepts UNION ALL SELECT qid, c.stem, weight, other, phrase, size FROM concepts c JOIN alts USING (stem)),
+credits AS (SELECT qid, doc, concept, weight, max(CASE WHEN phrase < 0 OR size > 1 THEN 1.0 ELSE 0.7 END) AS credit
+  FROM (SELECT qid, doc, concept, weight, phrase, size FROM tries JOIN stemmed USING (stem) GROUP BY ALL HAVING count(*) = size) GROUP BY qid, doc, concept, weight),
 total AS (SELECT qid, sum(weight) AS total FROM concepts GROUP BY qid),
 coverage AS (SELECT qid, doc, sum(weight * credit) / any_value(total) AS coverage FROM credits JOIN total USING (qid) GROUP BY qid, doc),
 core AS (SELECT qid, stem, weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(weight, 6) DESC, stem) AS n, max(weight) OVER (PARTITION BY qid) AS most FROM concepts) WHERE n <= 2 OR weight >= 0.9 * most),
@@ -49,7 +52,7 @@ class _Evidence:
             "qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")
         )
         self.stems = self.index.doc_stems.select("doc", "stem")
-        alternatives = t.spark.createDataFrame(list(ALTERNATIVES), "stem string, other string")
+        alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
         self.credits = A.credits(self.concepts, alternatives, self.stems)
         self.coverage = A.coverage(self.credits, self.concepts)
         self.core = A.core(self.concepts)
@@ -99,11 +102,13 @@ def _(t):
     return _Evidence(t).concepts.select("qid", "stem", F.round("weight", 6).alias("weight"))
 
 
-@query("qa4_expansions", BASE + "SELECT qid, concept, stem, credit::DOUBLE AS credit FROM tries WHERE credit < 1")
+@query("qa4_expansions", BASE + "SELECT qid, concept, stem, CASE WHEN size > 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS credit, size::BIGINT AS size FROM tries WHERE phrase >= 0")
 def _(t):
+    """What else a concept may be said as: a phrase of several words counts whole, one word for 0.7."""
     e = _Evidence(t)
-    alternatives = t.spark.createDataFrame(list(ALTERNATIVES), "stem string, other string")
-    return e.concepts.join(alternatives, "stem").select("qid", F.col("stem").alias("concept"), F.col("other").alias("stem"), F.lit(A.CREDIT_ALTERNATIVE).alias("credit"))
+    alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
+    credit = F.when(F.col("size") > 1, 1.0).otherwise(A.CREDIT_ALTERNATIVE)
+    return e.concepts.join(F.broadcast(alternatives), "stem").select("qid", F.col("stem").alias("concept"), F.col("other").alias("stem"), credit.alias("credit"), F.col("size").cast("long").alias("size"))
 
 
 @query("qa5_infinitives_dropped", BASE + "SELECT DISTINCT qid, term FROM q WHERE NOT regexp_full_match(term, '[a-z]{3,}(ar|er|ir)') OR term IN (SELECT term FROM terms WHERE df >= 3)")
@@ -150,23 +155,42 @@ def _(t):
     return _Evidence(t).core_hit.select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
 
 
-CONFIDENCE = """, best AS (SELECT qid, max(coverage) FILTER (rank <= 8) AS top_cov, max(score) FILTER (rank = 1) AS s0, list(round(score, 9) ORDER BY rank) FILTER (rank BETWEEN 2 AND 8) AS rest
-  FROM ranked LEFT JOIN coverage USING (qid, doc) WHERE rank <= 8 GROUP BY qid),
-weights AS (SELECT qid, coalesce(sum(weight) FILTER (unseen), 0) / sum(weight) AS unseen FROM concepts GROUP BY qid)"""
+CONFIDENCE = f""", eight AS (SELECT qid, doc, score, rank FROM ranked WHERE rank <= 8),
+best AS (SELECT qid, max(coverage) AS top_cov, max(score) FILTER (rank = 1) AS s0, list(round(score, 9)) FILTER (rank > 1) AS rest
+  FROM (SELECT e.qid, e.doc, score, rank, coalesce(coverage, 0) AS coverage FROM eight e LEFT JOIN (
+    SELECT qid, doc, sum(weight) / any_value(total) AS coverage FROM concepts c JOIN stemmed s USING (stem) JOIN total USING (qid) GROUP BY qid, doc) v USING (qid, doc)) GROUP BY qid),
+pooled AS (SELECT qid, sum(weight) / any_value(total) AS pooled FROM (SELECT DISTINCT c.qid, c.stem, weight FROM concepts c JOIN stemmed s USING (stem) JOIN eight e ON e.qid = c.qid AND e.doc = s.doc) JOIN total USING (qid) GROUP BY qid),
+weights AS (SELECT qid, coalesce(sum(weight) FILTER (unseen), 0) / sum(weight) AS unseen FROM concepts GROUP BY qid)
+SELECT qid, round(top_cov, 3) AS top_coverage, round(coalesce(pooled, 0), 3) AS pooled_coverage,
+  round(CASE WHEN len(rest) >= 2 THEN (s0 - list_sort(rest)[len(rest) // 2 + 1]) / s0 ELSE 0 END, 3) AS margin,
+  CASE WHEN round(unseen, 6) >= {A.UNSEEN_MOST} THEN 'low'
+    WHEN round(top_cov, 6) >= {A.TOP_HIGH} AND round(pooled, 6) >= {A.POOLED_HIGH} THEN 'high'
+    WHEN round(top_cov, 6) >= {A.TOP_LEAST} AND round(pooled, 6) >= {A.POOLED_LEAST} THEN 'medium' ELSE 'low' END AS confidence
+FROM best JOIN weights USING (qid) LEFT JOIN pooled USING (qid)"""
 
 
-@query("ev5_confidence", BASE + CONFIDENCE + """SELECT qid, round(top_cov, 3) AS top_coverage, round(CASE WHEN len(rest) >= 2 THEN s0 - list_sort(rest)[len(rest) // 2 + 1] END, 3) AS margin,
-CASE WHEN unseen >= 0.2 THEN 'low' WHEN top_cov >= 0.8 THEN 'high' WHEN top_cov >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM best JOIN weights USING (qid)""")
+@query("ev5_confidence", BASE + CONFIDENCE)
 def _(t):
-    """Coverage of the best eight passages, the margin of the first over the upper median of the rest, and the weight of unseen words."""
+    """Coverage of the best of eight passages and of all together, the margin of the first over the upper median of the rest, and the weight of unseen words."""
     e = _Evidence(t)
-    best = e.ranked(8).join(e.coverage, ["qid", "doc"], "left")
+    eight = t.keep(e.ranked(8).select("qid", "doc", "score", "rank"))
+    total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
+    said = eight.join(e.stems, "doc").join(e.concepts, ["qid", "stem"]).select("qid", "doc", "stem", "weight")
+    each = said.groupBy("qid", "doc").agg(F.sum("weight").alias("got")).join(total, "qid").select("qid", "doc", (F.col("got") / F.col("total")).alias("coverage"))
+    pooled = said.select("qid", "stem", "weight").distinct().groupBy("qid").agg(F.sum("weight").alias("got")).join(total, "qid").select("qid", (F.col("got") / F.col("total")).alias("pooled"))
     rest = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.round("score", 9))))
-    best = best.groupBy("qid").agg(F.max("coverage").alias("top"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s0"), rest.alias("rest"))
+    best = eight.join(each, ["qid", "doc"], "left").groupBy("qid").agg(F.max(F.coalesce("coverage", F.lit(0.0))).alias("top"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s0"), rest.alias("rest"))
     unseen = e.concepts.groupBy("qid").agg((F.sum(F.when(F.col("unseen"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("unseen"))
-    margin = F.when(F.size("rest") >= 2, F.col("s0") - F.get("rest", F.floor(F.size("rest") / 2).cast("int")))
-    word = F.when(F.col("unseen") >= 0.2, "low").when(F.col("top") >= 0.8, "high").when(F.col("top") >= 0.5, "medium").otherwise("low")
-    return best.join(unseen, "qid").select("qid", F.round("top", 3).alias("top_coverage"), F.round(margin, 3).alias("margin"), word.alias("confidence"))
+    margin = F.when(F.size("rest") >= 2, (F.col("s0") - F.get("rest", F.floor(F.size("rest") / 2).cast("int"))) / F.col("s0")).otherwise(0.0)
+    top, all_ = F.round("top", 6), F.round("pooled", 6)
+    word = (
+        F.when(F.round("unseen", 6) >= A.UNSEEN_MOST, "low")
+        .when((top >= A.TOP_HIGH) & (all_ >= A.POOLED_HIGH), "high")
+        .when((top >= A.TOP_LEAST) & (all_ >= A.POOLED_LEAST), "medium")
+        .otherwise("low")
+    )
+    rows = best.join(unseen, "qid").join(pooled, "qid", "left")
+    return rows.select("qid", F.round("top", 3).alias("top_coverage"), F.round(F.coalesce("pooled", F.lit(0.0)), 3).alias("pooled_coverage"), F.round(margin, 3).alias("margin"), word.alias("confidence"))
 
 
 @query("ev6_evidence_window", BASE + "SELECT qid, round(avg(coalesce(coverage, 0)), 6) AS mean_coverage FROM ranked LEFT JOIN coverage USING (qid, doc) WHERE rank <= 8 GROUP BY qid")
@@ -255,18 +279,36 @@ def _(t):
     return first.groupBy("qid").agg((F.count_distinct("sign") >= 2).alias("conflict"))
 
 
-FINAL = """, finals AS (SELECT qid, doc, p.rank, unit, datum, cov, coalesce(coverage, 0) AS passage, lang, source,
-  (0.35 * score + 0.40 * cov + 0.15 * coalesce(coverage, 0) + CASE WHEN datum THEN 0.1 ELSE 0 END) * CASE WHEN lang = 'fr' THEN 0.9 ELSE 1 END AS final
-  FROM phrases p JOIN (SELECT qid, doc, score FROM ranked) USING (qid, doc) LEFT JOIN coverage USING (qid, doc) JOIN docs USING (doc))
+# Stand-ins for what the records of a legal corpus say of a text: its first ten tokens for the title, German for
+# a law, a short text for a recital, one source for scanned texts, French for texts not in force.
+FINAL = f""", title_cov AS (SELECT t.qid, t.doc, sum(weight) / any_value(total) AS title FROM (SELECT DISTINCT c.qid, h.doc, c.stem, weight
+    FROM concepts c JOIN (SELECT DISTINCT doc, {duck_stem('term')} AS stem FROM (SELECT doc, unnest(tokens[:10]) AS term FROM docs)) h USING (stem)
+    JOIN candidates k ON k.qid = c.qid AND k.doc = h.doc) t JOIN total USING (qid) GROUP BY t.qid, t.doc),
+asks_law AS (SELECT item_id AS qid, regexp_matches(strip_accents(lower(text)), '(^|[^a-z0-9])(ley|legal|law|loi|gesetz)([^a-z0-9]|$)') AS law FROM benchmark),
+finals AS (SELECT p.qid, p.doc, p.rank, unit, datum, cov, coalesce(coverage, 0) AS passage, d.lang, d.source,
+  (0.35 * score + 0.40 * cov + 0.15 * coalesce(coverage, 0) + 0.20 * coalesce(title, 0)
+   + CASE WHEN d.lang = 'de' THEN CASE WHEN law THEN {A.LAW_ASKED_BONUS} ELSE {A.LAW_BONUS} END ELSE 0 END + CASE WHEN datum THEN {A.LAX_BONUS} ELSE 0 END)
+  * CASE WHEN n_chars < 400 THEN 0.75 ELSE 1 END * CASE WHEN d.source = 'src1' THEN 0.95 ELSE 1 END * CASE WHEN d.lang = 'fr' THEN 0.9 ELSE 1 END AS final
+  FROM phrases p JOIN (SELECT qid, doc, score FROM candidates) USING (qid, doc) LEFT JOIN coverage USING (qid, doc) LEFT JOIN title_cov USING (qid, doc)
+  JOIN asks_law USING (qid) JOIN documents d ON d.doc_id = p.doc)
 """
 
 
 def finals(e: _Evidence) -> DataFrame:
-    """The final score of each candidate: ranking, sentence and passage evidence; one language stands for texts not in force."""
-    texts = e.t("documents").select(F.col("doc_id").alias("doc"), "lang", "source")
-    all_ = phrases(e).join(e.candidates.select("qid", "doc", "score"), ["qid", "doc"]).join(e.coverage, ["qid", "doc"], "left").join(texts, "doc")
+    """The final score of each candidate: ranking, sentence, passage and title evidence, a bonus for laws and data, discounts for recitals, scans and texts not in force."""
+    documents = e.t("documents")
+    texts = documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars")
+    total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
+    heads = documents.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.transform(F.slice(T.tokenize(F.col("text")), 1, 10), T.stem))).alias("stem"))
+    titles = e.candidates.select("qid", "doc").join(heads, "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc").agg(F.sum("weight").alias("got"))
+    titles = titles.join(total, "qid").select("qid", "doc", (F.col("got") / F.col("total")).alias("title"))
+    law = e.t("benchmark").select(F.col("item_id").alias("qid"), T.normalise(F.col("text")).rlike("(^|[^a-z0-9])(ley|legal|law|loi|gesetz)([^a-z0-9]|$)").alias("law"))
+    all_ = phrases(e).join(e.candidates.select("qid", "doc", "score"), ["qid", "doc"]).join(e.coverage, ["qid", "doc"], "left").join(titles, ["qid", "doc"], "left").join(law, "qid").join(texts, "doc")
     passage = F.coalesce("coverage", F.lit(0.0))
-    final = (0.35 * F.col("score") + 0.40 * F.col("cov") + 0.15 * passage + F.when(F.col("datum"), A.LAX_BONUS).otherwise(0.0)) * F.when(F.col("lang") == "fr", 0.9).otherwise(1.0)
+    bonus = F.when(F.col("lang") == "de", F.when(F.col("law"), A.LAW_ASKED_BONUS).otherwise(A.LAW_BONUS)).otherwise(0.0) + F.when(F.col("datum"), A.LAX_BONUS).otherwise(0.0)
+    final = 0.35 * F.col("score") + 0.40 * F.col("cov") + 0.15 * passage + 0.20 * F.coalesce("title", F.lit(0.0)) + bonus
+    for less, when in ((0.75, F.col("n_chars") < 400), (0.95, F.col("source") == "src1"), (0.9, F.col("lang") == "fr")):
+        final = final * F.when(when, less).otherwise(1.0)
     return all_.select("qid", "doc", "rank", "unit", "datum", "cov", passage.alias("passage"), "lang", "source", final.alias("final"))
 
 

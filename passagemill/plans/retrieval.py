@@ -114,19 +114,39 @@ def _(t):
     return df.select("lang", "term", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-@query("rk1_boosted_ranking", BASE + f""", boosted AS (SELECT qid, doc, (score + 0.9 * coalesce(hit, 0) / nq) * CASE WHEN lang = 'fr' THEN 0.75 ELSE 1 END AS score
-  FROM shares JOIN docs USING (doc) JOIN (SELECT qid, count(*) AS nq FROM q GROUP BY qid) USING (qid)
+@query(
+    "rk1_boosted_ranking",
+    BASE
+    + """, nums AS (SELECT item_id AS qid, list_append(regexp_extract_all(text, '[0-9]+'), item_id::VARCHAR) AS nums FROM benchmark),
+boosted AS (SELECT s.qid, s.doc, (score + 0.9 * coalesce(hit, 0) / nq
+    + CASE WHEN list_contains(nums, s.doc::VARCHAR) THEN 1.5 ELSE 0 END
+    + CASE WHEN list_contains(nums, regexp_extract(d.source, '[0-9]+')) THEN 1.2 ELSE 0 END
+    + CASE WHEN len(list_intersect(nums, regexp_extract_all(coalesce(d.text, ''), '[0-9]+'))) > 0 THEN 0.15 ELSE 0 END)
+    * CASE WHEN d.lang = 'fr' THEN 0.75 ELSE 1 END AS score
+  FROM shares s JOIN documents d ON d.doc_id = s.doc JOIN (SELECT qid, count(*) AS nq FROM q GROUP BY qid) USING (qid) JOIN nums USING (qid)
   LEFT JOIN (SELECT qid, doc, count(DISTINCT q.term) AS hit FROM q JOIN (SELECT doc, unnest(list_distinct(tokens[:10])) AS term FROM docs) h USING (term) GROUP BY qid, doc) USING (qid, doc))
-SELECT qid, doc, round(score, 6) AS score, n::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc) AS n FROM boosted) WHERE n <= 20""")
+SELECT qid, doc, round(score, 6) AS score, n::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc) AS n FROM boosted) WHERE n <= 20""",
+)
 def _(t):
-    """The first ten tokens stand for a title, whose overlap is added; one language stands for preambles, which count less."""
+    """Boosts for a title that overlaps, the number of the text or of its article in the question, and a number that both have; preambles count less.
+
+    The first ten tokens stand for a title, the document's id for its number,
+    that of its source for an article, one language for preambles; a question's
+    numbers are those in its text and its own id.
+    """
     asked = questions(t).select("qid", "term")
     titles = t("documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.slice(T.tokenize(F.col("text")), 1, 10))).alias("term"))
     hits = asked.join(titles, "term").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit"))
     size = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("nq"))
-    lang = t("documents").select(F.col("doc_id").alias("doc"), "lang")
-    all_ = shares(t).join(lang, "doc").join(size, "qid").join(hits, ["qid", "doc"], "left")
-    score = (F.col("score") + 0.9 * F.coalesce("hit", F.lit(0)) / F.col("nq")) * F.when(F.col("lang") == "fr", 0.75).otherwise(1.0)
+    found = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0))
+    nums = t("benchmark").select(F.col("item_id").alias("qid"), F.array_append(found(F.col("text")), F.col("item_id").cast("string")).alias("nums"))
+    texts = t("documents").select(F.col("doc_id").alias("doc"), "lang", F.regexp_extract("source", "[0-9]+", 0).alias("article"), F.array_distinct(found(F.col("text"))).alias("said"))
+    all_ = shares(t).join(texts, "doc").join(size, "qid").join(nums, "qid").join(hits, ["qid", "doc"], "left")
+    score = F.col("score") + 0.9 * F.coalesce("hit", F.lit(0)) / F.col("nq")
+    score += F.when(F.array_contains("nums", F.col("doc").cast("string")), 1.5).otherwise(0.0)
+    score += F.when(F.array_contains("nums", F.col("article")), 1.2).otherwise(0.0)
+    score += F.when(F.arrays_overlap("nums", "said"), 0.15).otherwise(0.0)
+    score = score * F.when(F.col("lang") == "fr", 0.75).otherwise(1.0)
     return X.top(all_.select("qid", "doc", score.alias("score")), 20).select("qid", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
