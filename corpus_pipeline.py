@@ -4,6 +4,15 @@ Quality rules drop documents; line dedup drops lines that ten documents share
 and keeps every document; of each group of near copies the document with the
 least id stays; documents contaminated by the benchmark go; the rest is packed.
 Each stage's result is written to the shared folder and read by the next.
+
+Every stage takes the columns of documents, in any order and with others among
+them, which go; a column named like one that an operator makes is such another.
+Nulls may be in any column: a null text fails the quality rules, is one empty
+line that stays, is a copy of the other texts without words, is in no benchmark
+item and packs as its end token alone; a null doc_id is a document of its own
+and comes after all others as the least of a group.  Very long texts are taken
+whole.  Repeated rows each count as documents, but one of a group of copies
+stays.  An empty table goes through as an empty one.
 """
 
 from __future__ import annotations
