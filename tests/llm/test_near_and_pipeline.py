@@ -157,6 +157,30 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SMALL).dtypes == docs.dtypes
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls in every column, empty, very long and repeated rows, an empty table, and columns named like what operators make."""
+    clean = "these are the ordinary words of a text that stands for itself and is long enough to be kept by each of the rules"
+    rows = [(1, clean, "en", "s", 9), (1, clean, "en", "s", 9), (None, clean + " x", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "\n\n \n", "xx", "s", 4), (5, "word " * 50_000, "de", "s", 250_000)]
+    plain = spark.createDataFrame([(*r, "kept", 1, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, contaminated boolean")
+    for table, n in ((plain, len(rows)), (plain.limit(0), 0)):
+        out = stage(spark, table, SMALL)
+        found = out.collect()
+        if name == "packing":
+            assert len({(r["doc_id"]) for r in found}) == (6 if n else 0) and sum(r["start"] == 0 for r in found) == n
+        else:
+            assert out.columns == corpus_pipeline.COLUMNS
+            kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found)
+            if not n:
+                assert not kept
+            elif name in ("line dedup", "benchmark decontamination"):
+                assert len(kept) == n
+            elif name == "quality rules":
+                assert kept == [(False, 1), (False, 1), (True, 0)]
+            else:
+                assert kept == [(False, 1), (False, 2), (False, 5)]
+
+
 @pytest.mark.parametrize("batch", [10_000, 50])
 def test_forest_links_connect_all_that_share_a_prefix(spark, batch):
     """A third of the classes share prefixes; what batches link by themselves and what the sorted trees link give the same sets."""
