@@ -63,6 +63,11 @@ class _Evidence:
     def ranked(self, k: int) -> DataFrame:
         return X.top(X.normalised(X.score(self.index, R.questions(self.t))), k)
 
+    def stems_of(self, terms: DataFrame) -> DataFrame:
+        """The rows with the stem for each term that some question asks for, once each; the index has the stems."""
+        asked = self.index.terms.select("term", "stem").join(self.concepts.select("stem").distinct(), "stem", "left_semi")
+        return terms.join(asked, "term").drop("term").distinct()
+
     @cached_property
     def candidates(self) -> DataFrame:
         """The candidates of every question, some hundreds each at most, kept as they are asked for several times."""
@@ -215,7 +220,7 @@ def phrases(e: _Evidence) -> DataFrame:
     """The best unit of each of a question's candidates; a text is cut into units once, however many questions it is a candidate of."""
     near = e.candidates.select("qid", "doc", "rank")
     units = A.sentences(e.t("documents").join(near.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    stems = units.select("doc", "n", F.explode(T.stems(F.col("unit"))).alias("stem"))
+    stems = e.stems_of(units.select("doc", "n", F.explode(F.array_distinct(T.tokenize(F.col("unit")))).alias("term")))
     said = stems.join(near.select("qid", "doc"), "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc", "n").agg(F.sum("weight").alias("got"))
     total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
     scored = near.join(units, "doc").join(said, ["qid", "doc", "n"], "left").join(total, "qid")
@@ -299,7 +304,7 @@ def finals(e: _Evidence) -> DataFrame:
     documents = e.t("documents")
     texts = documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars")
     total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
-    heads = documents.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.transform(F.slice(T.tokenize(F.col("text")), 1, 10), T.stem))).alias("stem"))
+    heads = e.stems_of(documents.select(F.col("doc_id").alias("doc"), F.explode(F.slice(T.tokenize(F.col("text")), 1, 10)).alias("term")))
     titles = e.candidates.select("qid", "doc").join(heads, "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc").agg(F.sum("weight").alias("got"))
     titles = titles.join(total, "qid").select("qid", "doc", (F.col("got") / F.col("total")).alias("title"))
     law = e.t("benchmark").select(F.col("item_id").alias("qid"), T.normalise(F.col("text")).rlike("(^|[^a-z0-9])(ley|legal|law|loi|gesetz)([^a-z0-9]|$)").alias("law"))
