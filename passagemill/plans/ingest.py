@@ -177,7 +177,7 @@ def _(t):
 
 @query(
     "gr6_affected_passages",
-    f"""WITH e AS ({EDGES}), p AS (SELECT doc_id, unnest(x) AS said, generate_subscripts(x, 1) - 1 AS passage
+    rf"""WITH e AS ({EDGES}), p AS (SELECT doc_id, unnest(x) AS said, generate_subscripts(x, 1) - 1 AS passage
     FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n|\n') AS x FROM documents))
     SELECT p.doc_id, passage::BIGINT AS passage, count(*)::BIGINT AS n FROM p JOIN (SELECT DISTINCT doc_id, target FROM e WHERE target <> '') x ON p.doc_id = x.doc_id
     WHERE contains(said, x.target) GROUP BY ALL""",
