@@ -117,7 +117,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     grown = min(MOST_GROWN, max(1.0, (size / GROWING_CHARS) ** 0.5))
     bits = _hash_bits(size, order)
     # Steps between a block's hashes are a few bits longer than average at most.
-    width_of_step = min(8, -(-(bits - max(int(min(size, BLOCK_CHARS * grown)) // 4, 1).bit_length() + 5) // 8))
+    width_of_step = min(8, -(-(bits - max(int(min(size, BLOCK_CHARS * grown)) // 4, 1).bit_length() + 4) // 8))
     n_blocks, n_tables = int(size / (BLOCK_CHARS * grown)) + 1, max(width, int(size / (TABLE_CHARS * grown)) + 1)
     block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_blocks)).cast("int").alias("block")
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), block).repartition(width, "block")
