@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, lm, near, packing, quality, secrets, sstable, urls
+from . import chat, classify, decontaminate, lines, lm, merkle, near, packing, quality, ranked, secrets, sstable, urls
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_quality_classifier": classify.op11_quality_classifier,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_ranked_search": ranked.op13_ranked_search,
 }
 ORACLE_SQL = {
     "op1_lm_scoring": lm.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_ranked_search": ranked.OP13_SQL,
 }
