@@ -3,9 +3,9 @@
 The n-grams of a block of documents go out as sorted hashes with their counts
 in the block, cut at the count tables' partitions; a partition sums up what all
 blocks send and answers each in its order.  The join is by partition and block,
-so rows are few and packed: hashes as the steps between them, counts as a bit
-each where they are one.  What is moved grows with the different n-grams of the
-blocks.
+so rows are few and packed: hashes as the steps between them in as many bits as
+they need, counts as a bit each where they are one.  What is moved grows with
+the different n-grams of the blocks.
 """
 
 from __future__ import annotations
@@ -23,16 +23,9 @@ ORDER, BACKOFF = 3, 0.4
 BLOCK_CHARS, TABLE_CHARS = 8_000_000, 24_000_000
 #: Characters beyond which blocks and tables grow, with the root of the size and by MOST_GROWN at most, so that a block's rows do not become slivers.
 GROWING_CHARS, MOST_GROWN = 64_000_000_000, 4.0
-#: Bits of an n-gram's hash beyond those that number all n-grams: one of them shares its hash with another with a chance of one in a million.
-SPARE_BITS = 20
 
 
-def _hash_bits(size: int, order: int) -> int:
-    """Bits of the hashes for so many characters of text, a word for six of them."""
-    return min(64, max(40, int(size * (order + 1) // 6 + 1).bit_length() + SPARE_BITS))
-
-
-def _gram_hashes(texts: pa.Array, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For n = 0, ..., order the hash of the n-gram that ends at each word (0 where the text has fewer words before), each word's text, and each text's first and last word."""
     import xxhash
 
@@ -56,7 +49,7 @@ def _gram_hashes(texts: pa.Array, order: int, bits: int) -> tuple[list[np.ndarra
         for back in range(n - 1, -1, -1):
             g = (g ^ np.concatenate([np.zeros(back, np.uint64), words_[: len(words_) - back]])[: len(words_)]) * np.uint64(0x9E3779B97F4A7C15)
             g ^= g >> np.uint64(31)
-        grams.append(np.where(rank >= n - 1, np.maximum(g >> np.uint64(64 - bits), np.uint64(2)), np.uint64(0)))
+        grams.append(np.where(rank >= n - 1, np.maximum(g, np.uint64(2)), np.uint64(0)))
     return grams, doc, bounds_
 
 
@@ -75,20 +68,25 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def _steps(names: np.ndarray, width: int) -> bytes:
-    """Sorted hashes: the first, then the steps in width bytes each; steps that need more stand at the end with their places."""
+def _steps(names: np.ndarray) -> bytes:
+    """Sorted hashes: the first, then the steps between them, each cut into as many low bits as its average has and the rest, which stands as so many zeros and a one."""
     step = np.diff(names)
-    large = np.flatnonzero(step >> np.uint64(8 * width)) if width < 8 else np.zeros(0, np.int64)
-    low = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([len(names), len(large), names[0]], "<u8").tobytes() + low.tobytes() + large.astype("<u4").tobytes() + step[large].astype("<u8").tobytes()
-
-
-def _names(raw: bytes, width: int) -> np.ndarray:
-    n, m, first = np.frombuffer(raw, "<u8", 3).tolist()
-    step = np.zeros((n - 1, 8), np.uint8)
-    step[:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, 24).reshape(-1, width)
-    step, at = step.view("<u8").ravel(), 24 + (n - 1) * width
-    step[np.frombuffer(raw, "<u4", m, at)] = np.frombuffer(raw, "<u8", m, at + 4 * m)
+    low = max(int(step.mean(dtype=np.float64)).bit_length() - 1, 0) if len(step) else 0
+    high = (step >> np.uint64(low)).astype(np.int64)
+    ones = np.zeros(int(high.sum()) + len(step), np.uint8)
+    ones[np.cumsum(high) + np.arange(len(step))] = 1
+    bits = np.unpackbits(step.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
+    return np.array([len(names), low, names[0]], "<u8").tobytes() + np.packbits(bits).tobytes() + np.packbits(ones).tobytes()
+
+
+def _names(raw: bytes) -> np.ndarray:
+    n, low, first = np.frombuffer(raw, "<u8", 3).tolist()
+    size = ((n - 1) * low + 7) // 8
+    bits = np.zeros((n - 1, 64), np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(raw, np.uint8, size, 24), count=(n - 1) * low).reshape(n - 1, low)
+    step = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=24 + size)))
+    step += (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
     return np.concatenate([np.array([first], np.uint64), step]).cumsum(dtype=np.uint64)
 
 
@@ -105,9 +103,9 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     keys are documents of their own; repeated rows vouch for each other.  An
     empty table gives an empty one.  Other columns are ignored.
 
-    n-grams are known by hashes of as many bits as their number asks for, and
-    SPARE_BITS more.  Counts come from all
-    documents.  A frequent n-gram is one entry of a block, so no partition is
+    n-grams are known by hashes of 64 bits at every size of the corpus: two of
+    n different ones share one with a chance of n / 2**64 each, and then their
+    counts.  Counts come from all documents.  A frequent n-gram is one entry of a block, so no partition is
     hot.  A task holds a block, or a partition of the count tables with what is
     asked of it, whole; both are of a bounded size.
     """
@@ -115,31 +113,28 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = text_bytes(docs, text)
     grown = min(MOST_GROWN, max(1.0, (size / GROWING_CHARS) ** 0.5))
-    bits = _hash_bits(size, order)
-    # Steps between a block's hashes are a few bits longer than average at most.
-    width_of_step = min(8, -(-(bits - max(int(min(size, BLOCK_CHARS * grown)) // 4, 1).bit_length() + 4) // 8))
     n_blocks, n_tables = int(size / (BLOCK_CHARS * grown)) + 1, max(width, int(size / (TABLE_CHARS * grown)) + 1)
     block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_blocks)).cast("int").alias("block")
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), block).repartition(width, "block")
 
     def ask(rows: pa.Table) -> pa.Table:
-        grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order, bits)
+        grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
         every = np.concatenate(grams)
         names, counts = np.unique(every, return_counts=True)
-        part = ((names >> np.uint64(bits - 32)) * np.uint64(n_tables)) >> np.uint64(32)
+        part = ((names >> np.uint64(32)) * np.uint64(n_tables)) >> np.uint64(32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(names)]]) if len(names) else np.zeros(1, int)
         spans = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
         return pa.table(
             {
                 "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
                 "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()),
-                "grams": pa.array([_steps(names[a:b], width_of_step) for a, b in spans], pa.binary()),
+                "grams": pa.array([_steps(names[a:b]) for a, b in spans], pa.binary()),
                 "counts": pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary()),
             }
         )
 
     def answer(rows: pa.Table) -> pa.Table:
-        grams = [_names(x, width_of_step) for x in rows["grams"].to_pylist()]
+        grams = [_names(x) for x in rows["grams"].to_pylist()]
         counts = np.concatenate([_unpacked(x, len(g)) for x, g in zip(rows["counts"].to_pylist(), grams, strict=True)])
         every = np.concatenate(grams)
         order_ = np.argsort(every, kind="stable")
@@ -152,7 +147,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
         return pa.table({"part": rows["part"], "block": rows["block"], "n": pa.array(list(map(len, grams)), pa.int64()), "counts": pa.array(packed, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, doc, bounds = _gram_hashes(rows["text"].combine_chunks(), order, bits)
+        grams, doc, bounds = _gram_hashes(rows["text"].combine_chunks(), order)
         n_docs, n = len(bounds) - 1, len(doc)
         sums = np.zeros(n_docs)
         if n:
