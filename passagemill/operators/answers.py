@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,24 +82,24 @@ def greedy_caps(ranked: DataFrame, per_document: int = PER_DOCUMENT, per_norm: i
     """In rank order, rows with a new signature while their document and norm are below their caps, k in all.
 
     What a row may take depends on the rows taken before, in two keys at once,
-    which windows can't say; a question's candidates are few (top-k), so each
-    question is one small group.
+    which windows can't say.  A question's candidates are few (top-k): they are
+    one array, folded into the array of those taken, which is what the next row
+    is held against.
     """
+    row = F.struct("rank", "doc", "signature", "doc_group", "norm")
+    kind = ranked.select(F.array(row).alias("x")).schema["x"].dataType.simpleString()
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        seen, docs, norms, out = set(), {}, {}, []
-        for row in rows.sort_values("rank").itertuples():
-            if row.signature in seen or docs.get(row.doc_group, 0) >= per_document or norms.get(row.norm, 0) >= per_norm:
-                continue
-            seen.add(row.signature)
-            docs[row.doc_group] = docs.get(row.doc_group, 0) + 1
-            norms[row.norm] = norms.get(row.norm, 0) + 1
-            out.append((row.qid, row.doc, len(out) + 1))
-            if len(out) == k:
-                break
-        return pd.DataFrame(out, columns=["qid", "doc", "place"])
-
-    return ranked.select("qid", "doc", "rank", "signature", "doc_group", "norm").groupBy("qid").applyInPandas(take, "qid long, doc long, place long")
+    def same(taken: Column, field: str, value: Column) -> Column:
+        return F.size(F.filter(taken, lambda y: y[field].eqNullSafe(value)))
+
+    def step(taken: Column, x: Column) -> Column:
+        free = (F.size(taken) < k) & (same(taken, "signature", x["signature"]) == 0)
+        free &= (same(taken, "doc_group", x["doc_group"]) < per_document) & (same(taken, "norm", x["norm"]) < per_norm)
+        return F.when(free, F.array_append(taken, x)).otherwise(taken)
+
+    taken = F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step)
+    each = ranked.groupBy("qid").agg(taken.alias("taken")).select("qid", F.posexplode("taken").alias("k", "x"))
+    return each.select("qid", "x.doc", (F.col("k") + 1).cast("long").alias("place"))
 
 
 def state(coverage_: Column, passage: Column, core_covered: Column, unseen: Column, has_datum: Column, needs_datum: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import provisions as P
+from ..sources import codes as C
 from .base import query
 
 KINDS = ["Resolución Exenta", "Decreto Supremo", "Circular"]
@@ -146,3 +147,50 @@ def _(t):
     made = edges(t)
     found = P.hits(_sql(t, LABELLED).join(dates, "norm", "left"), made, ORDER)
     return P.alerts(found, made, "official").select("norm", "line", "part", "alert")
+
+
+def _part(kind_: str, title: str, inner, gone=None):
+    """A structure element of a law's file; inner: a column of XML."""
+    state = F.lit("no derogado") if gone is None else gone
+    return F.concat(
+        F.lit(f'<EstructuraFuncional tipoParte="{kind_}" derogado="'), state, F.lit('" fechaVersion="2020-01-01"><Metadatos><TituloParte>' + title + "</TituloParte></Metadatos><EstructurasFuncionales>"), inner, F.lit("</EstructurasFuncionales></EstructuraFuncional>")
+    )
+
+
+def laws(t):
+    """A file for each order, written as XML: lines are articles in books, in preliminary titles, or nowhere, by their flags."""
+    article = F.concat(
+        F.lit('<EstructuraFuncional tipoParte="Artículo" idParte="'), F.col("l_partkey").cast("string"), F.lit('" derogado="'),
+        F.when(F.col("l_discount") > 0.05, "derogado").otherwise("no derogado"), F.lit('" fechaVersion="'), F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.lit('"><Metadatos><NombreParte>'), F.col("l_linenumber").cast("string"), F.lit("</NombreParte></Metadatos><Texto>Texto de la parte "), F.col("l_partkey").cast("string"), F.lit(" &amp; más.</Texto></EstructuraFuncional>"),
+    )
+    open_ = F.col("l_linestatus") == "F"
+    nested = _part("Título", "Título Preliminar", article)
+    placed = (
+        F.when((F.col("l_returnflag") == "A") & open_, _part("Libro", "LIBRO CUARTO De las cosas", nested))
+        .when(F.col("l_returnflag") == "A", _part("Libro", "Libro II", article, F.lit("derogado")))
+        .when(F.col("l_returnflag") == "N", _part("Título", "TÍTULO PRELIMINAR", _part("Párrafo", "", article)))
+        .when(open_, article)
+        .otherwise(_part("Título", "Título I", _part("Párrafo", "Párrafo 2", article)))
+    )
+    rows = t("lineitem").select(F.col("l_orderkey").alias("law"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("day"), placed.alias("xml")).alias("x"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["xml"]), "")
+    whole = F.concat(F.lit('<?xml version="1.0"?><Norma xmlns="http://law.example/x" fechaVersion="2020-01-01"><EstructurasFuncionales>'), parts, F.lit("</EstructurasFuncionales></Norma>"))
+    return rows.groupBy("law").agg(whole.alias("xml"))
+
+
+@query(
+    "sc7_code_articles",
+    """SELECT l_orderkey AS law, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1)::INTEGER AS at,
+      CASE l_returnflag WHEN 'A' THEN CASE l_linestatus WHEN 'F' THEN 'iv' ELSE 'ii' END WHEN 'N' THEN 'preliminar' ELSE 'final' END AS book,
+      l_returnflag = 'A' AND l_linestatus <> 'F' AS book_repealed,
+      CASE l_returnflag WHEN 'A' THEN CASE l_linestatus WHEN 'F' THEN 'LIBRO CUARTO De las cosas › Título Preliminar' ELSE 'Libro II' END
+        WHEN 'N' THEN 'TÍTULO PRELIMINAR' ELSE CASE l_linestatus WHEN 'F' THEN '' ELSE 'Título I › Párrafo 2' END END AS path,
+      l_linenumber::VARCHAR AS number, strftime(l_shipdate, '%Y-%m-%d') AS version, l_discount > 0.05 AS repealed, l_partkey::VARCHAR AS part_id,
+      'Texto de la parte ' || l_partkey || ' & más.' AS said
+    FROM lineitem""",
+)
+def _(t):
+    """Laws written from orders and their lines and read back whole, with book and path; the twin says where each line was put."""
+    found = C.articles_of(laws(t))
+    return found.select("law", "at", "book", "book_repealed", F.array_join("path", " › ").alias("path"), "number", "version", "repealed", "part_id", "said")
