@@ -52,13 +52,34 @@ class _Evidence:
             "qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")
         )
         self.stems = self.index.doc_stems.select("doc", "stem")
-        alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
-        self.credits = A.credits(self.concepts, alternatives, self.stems)
-        self.coverage = A.coverage(self.credits, self.concepts)
+        self.alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
         self.core = A.core(self.concepts)
+
+    @cached_property
+    def credits(self) -> DataFrame:
+        """Credits in all documents."""
+        return A.credits(self.concepts, self.alternatives, self.stems)
+
+    @cached_property
+    def near_credits(self) -> DataFrame:
+        """Credits in each question's candidates: the stems of their documents alone are read on; kept."""
+        pairs = self.candidates.select("qid", "doc")
+        own = self.stems.join(pairs.select("doc").distinct(), "doc", "left_semi")
+        return self.t.keep(A.credits(self.concepts, self.alternatives, own).join(pairs, ["qid", "doc"], "left_semi"))
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return A.coverage(self.credits, self.concepts)
+
+    @cached_property
+    def near_coverage(self) -> DataFrame:
+        return A.coverage(self.near_credits, self.concepts)
+
+    def core_hit(self, credits: DataFrame) -> DataFrame:
+        """How many core concepts each document has, of how many."""
         size = self.core.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
-        hit = self.credits.join(self.core.select("qid", F.col("stem").alias("concept")), ["qid", "concept"], "left_semi")
-        self.core_hit = hit.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit")).join(size, "qid")
+        hit = credits.join(self.core.select("qid", F.col("stem").alias("concept")), ["qid", "concept"], "left_semi")
+        return hit.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit")).join(size, "qid")
 
     def ranked(self, k: int) -> DataFrame:
         return X.top(X.normalised(X.score(self.index, R.questions(self.t))), k)
@@ -157,7 +178,7 @@ def _(t):
 
 @query("ev4_core_covered", BASE + "SELECT qid, doc, hit = size AS whole FROM core_hit JOIN core_size USING (qid)")
 def _(t):
-    return _Evidence(t).core_hit.select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
+    return (e := _Evidence(t)).core_hit(e.credits).select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
 
 
 CONFIDENCE = f""", eight AS (SELECT qid, doc, score, rank FROM ranked WHERE rank <= 8),
@@ -201,7 +222,7 @@ def _(t):
 @query("ev6_evidence_window", BASE + "SELECT qid, round(avg(coalesce(coverage, 0)), 6) AS mean_coverage FROM ranked LEFT JOIN coverage USING (qid, doc) WHERE rank <= 8 GROUP BY qid")
 def _(t):
     e = _Evidence(t)
-    return e.ranked(8).join(e.coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("mean_coverage"))
+    return e.ranked(8).join(e.near_coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("mean_coverage"))
 
 
 @query("se1_sentences", f"WITH {SENTENCES} SELECT doc, count(*)::BIGINT AS n_units, max(length(unit))::BIGINT AS longest FROM sentences GROUP BY doc")
@@ -308,7 +329,7 @@ def finals(e: _Evidence) -> DataFrame:
     titles = e.candidates.select("qid", "doc").join(heads, "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc").agg(F.sum("weight").alias("got"))
     titles = titles.join(total, "qid").select("qid", "doc", (F.col("got") / F.col("total")).alias("title"))
     law = e.t("benchmark").select(F.col("item_id").alias("qid"), T.normalise(F.col("text")).rlike("(^|[^a-z0-9])(ley|legal|law|loi|gesetz)([^a-z0-9]|$)").alias("law"))
-    all_ = phrases(e).join(e.candidates.select("qid", "doc", "score"), ["qid", "doc"]).join(e.coverage, ["qid", "doc"], "left").join(titles, ["qid", "doc"], "left").join(law, "qid").join(texts, "doc")
+    all_ = phrases(e).join(e.candidates.select("qid", "doc", "score"), ["qid", "doc"]).join(e.near_coverage, ["qid", "doc"], "left").join(titles, ["qid", "doc"], "left").join(law, "qid").join(texts, "doc")
     passage = F.coalesce("coverage", F.lit(0.0))
     bonus = F.when(F.col("lang") == "de", F.when(F.col("law"), A.LAW_ASKED_BONUS).otherwise(A.LAW_BONUS)).otherwise(0.0) + F.when(F.col("datum"), A.LAX_BONUS).otherwise(0.0)
     final = 0.35 * F.col("score") + 0.40 * F.col("cov") + 0.15 * passage + 0.20 * F.coalesce("title", F.lit(0.0)) + bonus
@@ -363,7 +384,7 @@ def states(e: _Evidence) -> DataFrame:
 
     best = e.finals.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("final", 6).desc(), "doc"))).filter("n = 1")
     unseen = e.concepts.groupBy("qid").agg((F.sum(F.when(F.col("unseen"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("unseen"))
-    whole = e.core_hit.select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
+    whole = e.core_hit(e.near_credits).select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
     rows = best.join(whole, ["qid", "doc"], "left").join(unseen, "qid")
     said = A.state(F.round("cov", 6), F.round("passage", 6), F.coalesce("whole", F.lit(False)), F.round("unseen", 6), F.col("datum"), F.lit(True))
     return rows.select("qid", "doc", "unit", "datum", said.alias("state"))
@@ -390,5 +411,5 @@ def _(t):
 @query("an4_uncovered_concepts", BASE + "SELECT core.qid, core.stem FROM core WHERE NOT EXISTS (SELECT 1 FROM credits c JOIN ranked r ON r.qid = c.qid AND r.doc = c.doc AND r.rank <= 3 WHERE c.qid = core.qid AND c.concept = core.stem)")
 def _(t):
     e = _Evidence(t)
-    seen = e.credits.join(e.ranked(3).select("qid", "doc"), ["qid", "doc"], "left_semi").select("qid", F.col("concept").alias("stem"))
+    seen = e.near_credits.join(e.candidates.filter("rank <= 3").select("qid", "doc"), ["qid", "doc"], "left_semi").select("qid", F.col("concept").alias("stem"))
     return e.core.join(seen, ["qid", "stem"], "left_anti").select("qid", "stem")

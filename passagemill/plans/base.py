@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +15,29 @@ ORACLE_SQL: dict[str, str] = {}
 FIXED_TABLES = ("region", "nation")
 
 
+def _let_go(kept: list[DataFrame]) -> None:
+    for df in kept:
+        with contextlib.suppress(Exception):  # the session may have ended
+            df.unpersist()
+
+
 class Tables:
     """The tables of one folder: t("orders") reads one, lazily."""
 
-    _kept: list[DataFrame] = []
-
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        while self._kept:  # what the query before kept is let go; its result would compute it again
-            self._kept.pop().unpersist()
+        self.spark, self.folder, self._kept = spark, folder, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The rows, computed once for this query though several parts of it ask for them; until the next query."""
+        """The rows, computed once for this query though several parts of it ask for them; as long as its result is there."""
         self._kept.append(df.persist())
         return df
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """A query's result; what was kept for it goes with it."""
+        if self._kept:
+            weakref.finalize(df, _let_go, self._kept).atexit = False
+        return df
+
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -41,7 +51,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function of Tables; sql is its result in DuckDB's words."""
 
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: (t := Tables(spark, folder)).result(f(t))
         if sql is not None:
             ORACLE_SQL[name] = sql
         return f

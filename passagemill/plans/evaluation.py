@@ -171,7 +171,7 @@ def _(t):
 def _(t):
     """For each least coverage of the best eight passages: questions rightly and wrongly taken as answerable."""
     e = N._Evidence(t)
-    top = e.ranked(8).join(e.coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.max("coverage").alias("cov"))
+    top = e.ranked(8).join(e.near_coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.max("coverage").alias("cov"))
     known = expected(t, e.index).select("qid").distinct().withColumn("known", F.lit(True))
     rows = N.states(e).select("qid").join(top, "qid").join(known, "qid", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = rows.withColumn("least", F.explode(F.array(*(F.lit(k / 20) for k in (8, 10, 12, 14, 16, 18, 20)))))

@@ -29,7 +29,7 @@ candidates AS (SELECT qid, doc, score, rank FROM ranked JOIN docs USING (doc)
 
 def index(t: Tables) -> X.Index:
     """The index of the documents: built and saved by whichever query comes first, opened by the others."""
-    return X.open_or_build(t("documents"))
+    return X.open_files(t.spark, f"{t.folder}/documents.parquet")
 
 
 def questions(t: Tables) -> DataFrame:

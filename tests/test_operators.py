@@ -4,8 +4,10 @@ import collections
 import datetime
 import json
 import random
+import shutil
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from passagemill.functions import dates as D
@@ -337,3 +339,45 @@ def test_window_counter_stream(spark, tmp_path):
     assert sorted((r["user_id"], r["n"]) for r in spark.table("counts").collect()) == [(7, 1), (7, 3), (8, 1)]
     got = [(r["key"], r["hour"].hour, r["allowed"], r["refused"]) for r in spark.table("limits").collect()]
     assert sum(r for *_, r in got) == 1 and sum(a for k, _, a, _ in got if k == 7) == 3 and len(got) == 4
+
+
+def _index_rows(made):
+    scores = [sorted(tuple(r) for r in x.collect()) for x in (made.postings, made.docs, made.doc_stems)]
+    return [*scores, *(sorted((*r[:-1], round(r[-1], 9)) for r in x.collect()) for x in (made.terms.select("term", "stem", "df", "idf"), made.stems.select("stem", "df", "idf"))), made.n, round(made.mean_length, 9)]
+
+
+def test_index_follows_its_files(spark, tmp_path):
+    words = "alfa beta gama delta épsilon dseta eta theta iota kappa".split()
+    dice = random.Random(7)
+    write = lambda name, ids: spark.createDataFrame([(i, " ".join(dice.choices(words, k=i % 5))) for i in ids], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/docs/{name}")
+    path, folder = f"file://{tmp_path}/docs/*", f"file://{tmp_path}/ix"
+    for k in range(9):
+        write(f"p{k}", range(100 * k, 100 * k + 60))
+    whole = X.open_files(spark, path, folder)
+    assert whole.n == 540 and _index_rows(whole) == _index_rows(X.open_or_build(spark.read.parquet(path), f"{folder}-b"))
+
+    def versions():
+        return [x for x in (tmp_path / "ix").glob("*/*/ready")]
+
+    X.open_files(spark, path, folder)
+    assert len(versions()) == 1
+    first = {x for x in (tmp_path / "ix").rglob("*.parquet")}
+    # A file more; then one changed, with documents that stay and others; then one less.
+    for step in (lambda: write("p9", range(2000, 2030)), lambda: write("p3", [*range(300, 330), *range(3000, 3020)]), lambda: shutil.rmtree(tmp_path / "docs" / "p9")):
+        step()
+        kept = X.open_files(spark, path, folder)
+        assert _index_rows(kept) == _index_rows(X.open_or_build(spark.read.parquet(path), f"{folder}-b"))
+    assert len(versions()) == 4
+    assert all(x.exists() for x in first)
+    old = sum(x.stat().st_size for x in first if "postings" in str(x))
+    assert all(spark.read.parquet(str(x)).count() < 0.2 * whole.postings.count() for x in (tmp_path / "ix").rglob("postings") if not any(str(f).startswith(str(x)) for f in first)) and old
+    # Many changes at once are a build anew, of one segment.
+    for k in range(5):
+        write(f"p{k}", range(5000 + 100 * k, 5000 + 100 * k + 60))
+    again = X.open_files(spark, path, folder)
+    assert _index_rows(again) == _index_rows(X.open_or_build(spark.read.parquet(path), f"{folder}-b"))
+
+
+def test_opening_an_index_reads_no_text(spark, tmp_path):
+    plan = X.file_facts(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
