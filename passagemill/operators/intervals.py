@@ -25,3 +25,45 @@ def window_counter(rows: DataFrame, key: str, bucket: Column, order: list[str],
     n = F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order))
     counted = rows.withColumn("n", n.cast("long"))
     return counted.withColumn("allowed", F.col("n") <= most).withColumn("left", F.greatest(F.lit(most) - F.col("n"), F.lit(0)).cast("long"))
+
+
+def count_below(points: DataFrame, probes: DataFrame, group: str, bucket: Column, inclusive: str = "inclusive") -> DataFrame:
+    """How many points (group, x) lie below each probe (id, group, x, inclusive): id and below; points at x count if inclusive.
+
+    No pairs: points and probes are sorted together within buckets of x, and a
+    bucket's rank is added to the points of all buckets before.  Equal points
+    are one row with their count, and rows grow with both sides' sum.  bucket
+    must not fall as x rises.
+    """
+    own = points.groupBy(group, "x").agg(F.count(F.lit(1)).alias("c"))
+    both = own.select(group, "x", "c", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id")).unionByName(
+        probes.select(group, "x", F.lit(0).cast("long").alias("c"), F.when(F.col(inclusive), 2).otherwise(0).alias("kind"), F.col("id").cast("long").alias("id"))
+    )
+    both = both.withColumn("bucket", bucket)
+    before = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = both.groupBy(group, "bucket").agg(F.sum("c").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select(group, "bucket", "base")
+    within = Window.partitionBy(group, "bucket").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = both.withColumn("rank", F.sum("c").over(within)).filter("kind <> 1")
+    return ranked.join(sizes, [group, "bucket"]).select("id", "kind", (F.col("base") + F.col("rank")).alias("below"))
+
+
+def count_between(rows: DataFrame, points: DataFrame, group: str, width: float) -> DataFrame:
+    """id and n: points (group, x) from low to high, both included, of each row (id, group, low, high); by ranks, not by pairs."""
+    low = rows.select("id", group, F.col("low").alias("x"), F.lit(False).alias("inclusive"))
+    high = rows.select("id", group, F.col("high").alias("x"), F.lit(True).alias("inclusive"))
+    below = count_below(points, low.unionByName(high), group, F.floor(F.col("x") / width))
+    return below.groupBy("id").agg(F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("n"))
+
+
+def free_by_ranks(slots_: DataFrame, busy: DataFrame, minutes: int, buffer: int, key: str = "day", width: int = 60) -> DataFrame:
+    """free() without meeting intervals: those that begin before a slot's end, less those that end by its start, are those that meet it.
+
+    Intervals must have a length; with the buffer on both sides touching is free.
+    """
+    named = slots_.withColumn("id", F.monotonically_increasing_id())
+    begun = named.select("id", key, (F.col("start") + minutes + buffer).alias("x"), F.lit(False).alias("inclusive"))
+    over = named.select("id", key, (F.col("start") - buffer).alias("x"), F.lit(True).alias("inclusive"))
+    bucket = F.floor(F.col("x") / width)
+    n = count_below(busy.select(key, F.col("from").alias("x")), begun, key, bucket).select("id", F.col("below").alias("begun"))
+    m = count_below(busy.select(key, F.col("to").alias("x")), over, key, bucket).select("id", F.col("below").alias("over"))
+    return named.join(n, "id").join(m, "id").filter("begun = over").drop("id", "begun", "over")

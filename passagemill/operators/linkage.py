@@ -102,3 +102,72 @@ def noted_edges(docs: DataFrame, note: str, target: str, key: str = "doc_id", te
     """Edges that a consolidated text's notes say come in: (source, verb, key), the source being what the note names."""
     found = F.regexp_extract_all(text, F.lit(f"(?i:{note})\\s+({target})"), F.lit(1))
     return docs.select(F.posexplode(found).alias("n", "source"), F.lit("noted").alias("verb"), key)
+
+
+# Kinds that a file's name may begin with, the most specific first, and the names that spellings stand for.
+FILE_KINDS = ("Decreto con Fuerza de Ley", "Decreto Supremo", "Decreto Exento", "Norma Técnica", "Resolución Exenta", "Circular", "Decreto", "Ley", "Oficio")
+KIND_SPELLINGS = {"resoucion exenta": "Resolución Exenta", "resolucion exenta": "Resolución Exenta", "resolucion": "Resolución Exenta", "decreto con fuerza de ley": "Decreto con Fuerza de Ley", "decreto supremo": "Decreto Supremo", "decreto exento": "Decreto Exento", "norma tecnica": "Norma Técnica", "circular": "Circular", "decreto": "Decreto", "ley": "Ley", "oficio": "Oficio"}
+
+
+def kind_and_number(stem: Column) -> tuple[Column, Column]:
+    """The kind that a file's name begins with, and the first number after it; both empty where it begins with none."""
+    plain = T.norm_key(F.regexp_replace(F.trim(stem), "[-_]+", " "))
+    kind, rest = F.lit(""), F.lit("")
+    for name in reversed(FILE_KINDS):
+        key = F.lit(" ".join(name.lower().replace("ó", "o").replace("é", "e").split()))
+        kind = F.when(plain.startswith(key), name).otherwise(kind)
+        rest = F.when(plain.startswith(key), F.substring(plain, F.length(key) + 1, F.length(plain))).otherwise(rest)
+    found = F.regexp_extract(rest, r"[A-Za-z]?[0-9][0-9.\-]*", 0)
+    return kind, T.norm_number(F.regexp_replace(found, "[.-]+$", ""))
+
+
+def resolve_files(files: DataFrame, norms: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Which norm each file (name) is: norm_id, method, confidence.
+
+    In this order: an override by kind and number, if there is such a norm; one
+    by title, which makes a record of its own; the file that a norm's link ends
+    with, ties going to the norm whose number the file's name has, else to the
+    least id, which is ambiguous; kind and number of the name, the least of
+    several being ambiguous too; kind and short number, if one norm has them;
+    none.  norms: norm_id, kind, number, link; overrides: name, kind, number,
+    title, a row a file.  Norms are summed up by each key before files meet
+    them, so a file name or number that many share is one row.
+    """
+    base, stem = F.lower("name"), F.regexp_replace("name", r"\.[^.]*$", "")
+    own_kind, own_number = kind_and_number(stem)
+    rows = files.select("name").distinct().select("name", base.alias("base"), own_kind.alias("kind"), own_number.alias("number"))
+    rows = rows.withColumns({"kind": T.norm_key(F.col("kind")), "short": T.short_number(F.col("number"))})
+    n = norms.select("norm_id", T.norm_key(canonical_type(F.col("kind"), KIND_SPELLINGS)).alias("kind"), T.norm_number(F.col("number")).alias("number"), T.url_basename(F.col("link")).alias("base"))
+    n = n.withColumn("short", T.short_number(F.col("number"))).distinct()
+    linked = n.filter(F.col("base").endswith(".pdf"))
+
+    def least(of: DataFrame, name: str, *by: str) -> DataFrame:
+        return of.groupBy(*by).agg(F.struct(F.min("norm_id").alias("id"), F.count_distinct("norm_id").alias("n")).alias(name))
+
+    over = overrides.select(F.lower("name").alias("base"), T.norm_key(canonical_type(F.coalesce("kind", F.lit("")), KIND_SPELLINGS)).alias("o_kind"), T.norm_number(F.col("number")).alias("o_number"), F.nullif("title", F.lit("")).alias("title"))
+    meant = least(n.select("norm_id", F.col("kind").alias("o_kind"), F.col("number").alias("o_number")), "meant", "o_kind", "o_number")
+    numbered, has_number = n.filter("number <> ''"), F.col("number") != ""
+    out = rows.join(over.join(meant, ["o_kind", "o_number"], "left").select("base", "title", "meant"), "base", "left")
+    out = out.join(least(linked, "url", "base"), "base", "left")
+    out = out.join(least(linked.filter("number <> ''"), "by_number", "base", "number"), ["base", "number"], "left")
+    out = out.join(least(linked.filter("short <> ''"), "by_short", "base", "short"), ["base", "short"], "left")
+    out = out.join(least(numbered, "exact", "kind", "number"), ["kind", "number"], "left")
+    out = out.join(least(n.filter("short <> ''"), "brief", "kind", "short"), ["kind", "short"], "left")
+    tie = F.when(has_number, F.least("by_number.id", "by_short.id"))
+    said = F.col("kind") != ""
+
+    def found(id_: Column, method: str, confidence: str) -> Column:
+        return F.struct(id_.alias("norm_id"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
+
+    chosen = (
+        F.when(F.col("meant").isNotNull(), found(F.col("meant.id"), "override", "high"))
+        .when(F.col("title").isNotNull(), found(F.concat(F.lit("manual:"), "base"), "manual", "manual"))
+        .when(F.col("url.n") == 1, found(F.col("url.id"), "url", "high"))
+        .when(F.col("url").isNotNull() & tie.isNotNull(), found(tie, "url and file", "high"))
+        .when(F.col("url").isNotNull(), found(F.col("url.id"), "url", "ambiguous"))
+        .when(said & has_number & (F.col("exact.n") == 1), found(F.col("exact.id"), "kind and number", "high"))
+        .when(said & has_number & F.col("exact").isNotNull(), found(F.col("exact.id"), "kind and number", "ambiguous"))
+        .when(said & has_number & (F.col("brief.n") == 1), found(F.col("brief.id"), "kind and short number", "medium"))
+        .otherwise(found(F.lit(None).cast("string"), "none", "none"))
+    )
+    return out.withColumn("_c", chosen).select("name", "_c.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -115,16 +115,34 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     the old rows or the new ones, and a write or a rename that fails leaves the
     old rows where they were.
     """
+    replace_guarded(df, path, {})
+
+
+def replace_guarded(df: DataFrame, path: str, guards: dict[str, Column]) -> dict[str, object]:
+    """replace_atomically, if every guard holds: aggregates of the rows that say whether they may replace the table.
+
+    Guards are observed while the rows are written, so the source runs once.
+    The version of rows that fail one is dropped, the table stays what it was,
+    and the error names the guards.  Returns what the guards came to.
+    """
     spark, path = df.sparkSession, path.rstrip("/")
     version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
+    seen = Observation(version)
+    held = {name: F.coalesce(guard, F.lit(False)).alias(name) for name, guard in guards.items()}
+    (df.observe(seen, *held.values()) if held else df).write.parquet(f"{path}/{version}")
+    figures = dict(seen.get) if held else {}
+    fs, at = _file_system(spark, path)
+    failed = [name for name in guards if not figures.get(name)]
+    if failed:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}"), True)
+        raise ValueError(f"kept the table as it was: {', '.join(failed)}")
     before = current_version(spark, path)
     _set_current(spark, path, version)
-    fs, at = _file_system(spark, path)
     for found in fs.listStatus(at):
         name = found.getPath().getName()
         if name.startswith("v-") and name not in (version, before):
             fs.delete(found.getPath(), True)
+    return figures
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
