@@ -67,3 +67,26 @@ def free_by_ranks(slots_: DataFrame, busy: DataFrame, minutes: int, buffer: int,
     n = count_below(busy.select(key, F.col("from").alias("x")), begun, key, bucket).select("id", F.col("below").alias("begun"))
     m = count_below(busy.select(key, F.col("to").alias("x")), over, key, bucket).select("id", F.col("below").alias("over"))
     return named.join(n, "id").join(m, "id").filter("begun = over").drop("id", "begun", "over")
+
+
+def window_start(at: Column, seconds: int, offset: Column) -> Column:
+    """The second in which the fixed window of an instant (in seconds) begins, windows counted in local time; offset: local time before UTC, in seconds."""
+    return F.floor((at + offset) / seconds) * seconds - offset
+
+
+def quota(rows: DataFrame, most: int, seconds: int, offset: Column, order: list[str], key: str = "key", at: str = "at", returned: str = "returned") -> DataFrame:
+    """A fixed window's counter with returns: start, used, allowed, left and retry_after (seconds) after each row.
+
+    A use adds one, allowed or not; a return takes one off that the window has,
+    and is always allowed.  A count that would fall below nothing stays there:
+    the sum less the lowest that it has been, which a window says.  at is in
+    seconds; a key's window is one group, as large as its requests in that time.
+    """
+    step = F.when(F.col(returned), -1).otherwise(1)
+    begun = rows.withColumn("start", window_start(F.col(at), seconds, offset))
+    by = Window.partitionBy(key, "start").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = begun.withColumn("_s", F.sum(step).over(by))
+    used = F.col("_s") - F.least(F.lit(0), F.min("_s").over(by))
+    counted = summed.withColumn("used", used.cast("long")).drop("_s")
+    wait = F.greatest(F.lit(1), F.ceil(F.col("start") + seconds - F.col(at)))
+    return counted.withColumns({"allowed": F.col(returned) | (F.col("used") <= most), "left": F.greatest(F.lit(0), most - F.col("used")).cast("long"), "retry_after": wait.cast("long")})

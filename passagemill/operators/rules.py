@@ -123,3 +123,42 @@ def escape_html(c: Column) -> Column:
 def safe_path(c: Column) -> Column:
     """A path of the same site, or the root: one slash first, no backslash, no second slash."""
     return F.when(c.rlike(r"^/(?![/\\])[^\\]*$"), c).otherwise("/")
+
+
+#: A mark that cites passages: [P2], lists and ranges, brackets of either kind.
+MARK = r"[\[【]\s*P\s*[0-9]+(?:\s*(?:[,;y–-]|\s)\s*P?\s*[0-9]+)*\s*[\]】]"
+UNVERIFIABLE = "cita no verificable"
+#: Numbers that a range may span; a longer one counts as its two ends.
+LONGEST_RANGE = 10_000
+
+
+def _numbers_of_mark(mark: Column) -> Column:
+    """The numbers of a mark: two of them with a dash between, rising, are all from the first to the second."""
+    n = F.transform(F.regexp_extract_all(mark, F.lit("[0-9]+"), F.lit(0)), lambda x: F.coalesce(x.try_cast("int"), F.lit(2**31 - 1)))
+    first, last = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+    rising = (F.size(n) == 2) & mark.rlike("[–-]") & (last > first) & (last - first <= LONGEST_RANGE)
+    return F.when(rising, F.sequence(first, F.greatest(first, F.least(last, first + LONGEST_RANGE)))).otherwise(n)
+
+
+def with_citations(drafts: DataFrame, draft: str = "draft", names: str = "names") -> DataFrame:
+    """The rows with their marks resolved: rewritten, sources (n and name, by number), invalid, uncited.
+
+    names: an array of the passages' citations, by position.  In rewritten each
+    mark is the names that it stands for, once each in the mark's order; a
+    number without a passage is unverifiable and listed in invalid.  uncited: the
+    draft names no passage and does not abstain.  A null draft is an empty one.
+    """
+    text = F.coalesce(F.col(draft), F.lit(""))
+    cut = drafts.withColumns({"_pieces": F.split(text, "(?iu)" + MARK, -1), "_marks": F.transform(F.regexp_extract_all(text, F.lit("(?iu)" + MARK), F.lit(0)), lambda m: _numbers_of_mark(m))})
+
+    def name(n: Column) -> Column:
+        return F.coalesce(F.when(n >= 1, F.get(names, n - 1)), F.lit(UNVERIFIABLE))
+
+    said = F.transform("_marks", lambda m: F.concat(F.lit("["), F.array_join(F.array_distinct(F.transform(m, name)), "; "), F.lit("]")))
+    whole = F.array_join(F.transform(F.arrays_zip(F.col("_pieces").alias("p"), said.alias("m")), lambda x: F.concat(x["p"], F.coalesce(x["m"], F.lit("")))), "")
+    all_ = F.array_sort(F.array_distinct(F.flatten("_marks")))
+    there = cut.withColumns({"rewritten": whole, "_all": all_})
+    sources = F.transform(F.filter("_all", lambda n: n.between(1, F.size(names))), lambda n: F.struct(n.alias("n"), F.get(names, n - 1).alias("name")))
+    invalid = F.filter("_all", lambda n: ~n.between(1, F.size(names)))
+    done = there.withColumns({"sources": sources, "invalid": invalid}).drop("_pieces", "_marks", "_all")
+    return done.withColumn("uncited", (F.size("sources") == 0) & ~abstains(text))

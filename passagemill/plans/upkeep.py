@@ -126,3 +126,31 @@ def _(t):
     """Classes of the users' requests against what their wording should be taken for."""
     rows = t("conversations").filter("role = 'user'").select(F.concat(F.expr(WORDED_SQL), F.coalesce("text", F.lit(""))).alias("said"), F.expr(EXPECTED_SQL).alias("expected"))
     return rows.groupBy("expected", V.request_class(T.normalise(F.col("said"))).alias("got")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUOTA = """w AS (SELECT event_id, user_id, epoch(ts) AS sec, event_type = 'error' AS returned, (floor((epoch(ts) - 10800) / 86400) * 86400 + 10800)::BIGINT AS start FROM events),
+s AS (SELECT *, sum(CASE WHEN returned THEN -1 ELSE 1 END) OVER (PARTITION BY user_id, start ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS s FROM w),
+u AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id, start ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)) AS used FROM s)"""
+
+
+@query("tm3_quota_with_returns", f"WITH {QUOTA} SELECT event_id, start, used::BIGINT AS used, returned OR used <= 2 AS allowed, greatest(0, 2 - used)::BIGINT AS \"left\", greatest(1, ceil(start + 86400 - sec))::BIGINT AS retry_after FROM u")
+def _(t):
+    """Two requests a user and day, days beginning at three in the morning UTC; errors are given back."""
+    e = t("events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") == "error").alias("returned"))
+    counted = I.quota(e, 2, 86_400, F.lit(-10_800), ["event_id"])
+    return counted.select("event_id", F.col("start").cast("long").alias("start"), "used", "allowed", "left", "retry_after")
+
+
+MARKS = ("", " [P2]", " 【P 1, p3】 y [P2; P9]", " [P2-P4] fin", " [P3–1] [P1 P1 y P2]", " [P0] [p12-P13] [P]")
+MARK_SQL = "CASE (conv_id + turn) % 6 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MARKS)) + " END"
+
+
+@query("vr7_drafts_with_citations")
+def _(t):
+    """Marks put into the turns of conversations, resolved against the conversation's own turns by position; no SQL twin: tested against a loop."""
+    c = t("conversations")
+    names = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["role"], x["turn"].cast("string"))).alias("names"))
+    drafts = c.select("conv_id", "turn", F.concat(F.lit("Según"), F.expr(MARK_SQL), F.lit(" "), F.coalesce("text", F.lit("")), F.expr(MARK_SQL)).alias("draft")).join(names, "conv_id")
+    done = V.with_citations(drafts)
+    listed = F.array_join(F.transform("sources", lambda s: F.concat(s["n"].cast("string"), F.lit("="), s["name"])), ", ")
+    return done.select("conv_id", "turn", "rewritten", listed.alias("sources"), F.array_join(F.col("invalid").cast("array<string>"), ",").alias("invalid"), "uncited")

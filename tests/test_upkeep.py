@@ -115,3 +115,80 @@ def test_guarded_replacement_runs_its_source_once(spark, tmp_path):
         assert S.read_current(spark, path).count() == 60 and len(list((tmp_path / "t").glob("v-*"))) == 1
     S.replace_guarded(rows(70), path, guards)
     assert S.read_current(spark, path).count() == 70
+
+
+# Counters and citations
+
+
+def loop_quota(rows, most, seconds, offset):
+    state, out = {}, {}
+    for key, i, at, returned in sorted(rows, key=lambda r: (r[2], r[1])):
+        start = (at + offset) // seconds * seconds - offset
+        used = state.get((key, start), 0)
+        used = max(0, used - 1) if returned else used + 1
+        state[key, start] = used
+        out[i] = (start, used, returned or used <= most, max(0, most - used), max(1, start + seconds - at))
+    return out
+
+
+def _requests(n, seed):
+    dice = random.Random(seed)
+    return [(dice.randrange(4), i, 1_700_000_000 + dice.randrange(40_000), dice.random() < 0.4) for i in range(n)]
+
+
+def test_quota_against_a_loop(spark):
+    rows = _requests(400, 1)
+    found = I.quota(spark.createDataFrame(rows, "key long, id long, at long, returned boolean"), 3, 3600, F.lit(-5400), ["id"])
+    assert {r["id"]: (r["start"], r["used"], r["allowed"], r["left"], r["retry_after"]) for r in found.collect()} == loop_quota(rows, 3, 3600, -5400)
+
+
+def test_quota_stream_and_its_restart(spark, tmp_path):
+    import datetime
+
+    from passagemill.streaming import counters
+
+    rows = sorted(_requests(120, 2), key=lambda r: r[2])
+    schema = "key long, id long, at timestamp, returned boolean"
+    stamped = [(k, i, datetime.datetime.fromtimestamp(at, datetime.UTC), x) for k, i, at, x in rows]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n in range(3):  # a run for each part, from the checkpoint that the one before left
+            spark.createDataFrame(stamped[40 * n : 40 * n + 40], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            run = counters.quota(stream, 3, 3600, -5400, "6 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            assert run.awaitTermination(120) and run.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    found = {r["id"]: (r["start"], r["used"], r["allowed"], r["left"], r["retry_after"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == loop_quota(rows, 3, 3600, -5400)
+
+
+def loop_citations(draft, names):
+    valid, bad = set(), set()
+
+    def one(m):
+        n = [int(x) for x in re.findall("[0-9]+", m[0])]
+        if len(n) == 2 and re.search("[–-]", m[0]) and n[1] > n[0]:
+            n = list(range(n[0], n[1] + 1))
+        for x in n:
+            (valid if 1 <= x <= len(names) else bad).add(x)
+        said = [names[x - 1] if 1 <= x <= len(names) else "cita no verificable" for x in n]
+        return "[" + "; ".join(dict.fromkeys(said)) + "]"
+
+    text = re.sub(r"[\[【]\s*P\s*[0-9]+(?:\s*(?:[,;y–-]|\s)\s*P?\s*[0-9]+)*\s*[\]】]", one, draft, flags=re.I)
+    return text, ", ".join(f"{x}={names[x - 1]}" for x in sorted(valid)), ",".join(map(str, sorted(bad))), not valid
+
+
+def test_citations_against_a_loop(spark):
+    conversations = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
+    names = {}
+    for r in sorted(conversations, key=lambda r: (r["conv_id"], r["turn"])):
+        names.setdefault(r["conv_id"], []).append(f"{r['role']} {r['turn']}")
+    want = {}
+    for r in conversations:
+        mark = upkeep.MARKS[(r["conv_id"] + r["turn"]) % 6]
+        want[r["conv_id"], r["turn"]] = loop_citations(f"Según{mark} {r['text'] or ''}{mark}", names[r["conv_id"]])
+    found = {(r["conv_id"], r["turn"]): (r["rewritten"], r["sources"], r["invalid"], r["uncited"]) for r in QUERIES["vr7_drafts_with_citations"](spark, SMALL).collect()}
+    assert found == want
+    assert any(x[2] for x in want.values()) and any("y [" in x[0] for x in want.values()) and any(x[3] for x in want.values())
