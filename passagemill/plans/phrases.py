@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import questions as Q
 from ..operators import sentences as S
+from . import retrieval as R
 from .base import query
 
 ASKED = (
@@ -99,3 +101,57 @@ def _(t):
 def _(t):
     """All eight kinds of notes, taken out of each order's whole text; no SQL twin, as above."""
     return texts(t).select("id", S.without_notes(F.col("said")).alias("said"))
+
+
+def vocabulary(t):
+    """triggers (rule, trigger) and added (rule, phrase), written from the first words of two sources' documents and of a third of the questions."""
+    words = F.regexp_extract_all(T.normalise(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    own = t("documents").filter("source IN ('src1', 'src2')").select(F.col("doc_id").alias("rule"), words.alias("w"))
+    asked = t("benchmark").filter("item_id % 3 = 0").select((-F.col("item_id") - 1).alias("rule"), words.alias("w"))
+    rows = own.unionByName(asked).filter(F.size("w") >= 8)
+    pick = lambda *k: F.concat_ws(" ", *(F.get("w", F.lit(i)) for i in k))
+    triggers = rows.select("rule", F.explode(F.array(pick(0), pick(2, 3), pick(1, 2, 3))).alias("trigger"))
+    return triggers, rows.select("rule", F.explode(F.array(pick(4, 5), pick(6))).alias("phrase"))
+
+
+def asked(t):
+    """The benchmark's texts as questions, some of them worded as asking for a definition."""
+    text = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("¿Qué es un "), "text")).otherwise(F.col("text"))
+    return Q.analysed(t("benchmark").select(F.col("item_id").alias("qid"), text.alias("text")), ["the", "que"])
+
+
+@query("qa4_rules_set_off")
+def _(t):
+    """Rules of a vocabulary that a question sets off, by a word's stem or a phrase as it stands; no SQL twin: tested against a loop."""
+    return Q.set_off(asked(t), vocabulary(t)[0], 3)
+
+
+@query("qa4_words_added")
+def _(t):
+    """Words that fired rules add to the search, at half weight; no SQL twin, as above."""
+    triggers, added = vocabulary(t)
+    rows = asked(t)
+    return Q.expanded(rows, Q.set_off(rows, triggers, 3), added)[1]
+
+
+def _weights(t):
+    triggers, added = vocabulary(t)
+    rows, made = asked(t), R.index(t)
+    alternatives, words = Q.expanded(rows, Q.set_off(rows, triggers, 3), added)
+    alternatives = t.keep(alternatives)
+    return rows, alternatives, words, Q.weighted(Q.concepts(rows), alternatives, made.stems, made.idf_unseen), made
+
+
+@query("qa6_terms_to_define")
+def _(t):
+    """The term that a question asks to define: of the words right after the wording, or the weightiest; no SQL twin, as above."""
+    rows, _, _, weights, _ = _weights(t)
+    return Q.defined(rows, weights)
+
+
+@query("ev1_credits_of_phrases")
+def _(t):
+    """Credits of each question's concepts in each document, alternatives of whole phrases included; no SQL twin, as above."""
+    _, alternatives, _, weights, made = _weights(t)
+    found = Q.credits(weights, alternatives, made.doc_stems.select("doc", "stem"))
+    return found.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("credit"), 6).alias("credit"))
