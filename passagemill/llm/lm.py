@@ -1,8 +1,10 @@
 """LM scoring: stupid-backoff scores from n-gram count tables partitioned by hash.
 
-The n-grams of a block of documents go out as sorted hashes with their counts
-in the block, cut at the count tables' partitions; a partition sums up what all
-blocks send and answers each in its order.  The join is by partition and block,
+Blocks of documents first send the leading bits of their n-grams' hashes and
+learn which of them another block has; an n-gram whose bits no other has counts
+what it counts in its block.  The others go out as sorted hashes with their
+counts in the block, cut at the count tables' partitions; a partition sums up
+what all blocks send and answers each in its order.  The join is by partition and block,
 so rows are few and packed: hashes as the steps between them in as many bits as
 they need, counts as a bit each where they are one.  What is moved grows with
 the different n-grams of the blocks.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ ORDER, BACKOFF = 3, 0.4
 BLOCK_CHARS, TABLE_CHARS = 8_000_000, 24_000_000
 #: Characters beyond which blocks and tables grow, with the root of the size and by MOST_GROWN at most, so that a block's rows do not become slivers.
 GROWING_CHARS, MOST_GROWN = 64_000_000_000, 4.0
+#: Leading bits beyond those that number all n-grams: so many that few meet by chance.  What is sent depends on it, no score does.
+LEADING_BITS = 2
 
 
 def _gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -99,15 +104,15 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     all counts, or it would vouch for itself.  A word that no other document has
     scores as half an occurrence.  Words are runs without ASCII white space.
 
-    Null and empty texts have no words, score 0 and have no mean.  Rows with null or repeated
-    keys are documents of their own; repeated rows vouch for each other.  An
-    empty table gives an empty one.  Other columns are ignored.
+    Null and empty texts have no words, score 0 and have no mean.  Rows with
+    null or repeated keys are documents of their own; repeated rows vouch for
+    each other.  An empty table gives an empty one.  Other columns are ignored.
 
     n-grams are known by hashes of 64 bits at every size of the corpus: two of
     n different ones share one with a chance of n / 2**64 each, and then their
-    counts.  Counts come from all documents.  A frequent n-gram is one entry of a block, so no partition is
-    hot.  A task holds a block, or a partition of the count tables with what is
-    asked of it, whole; both are of a bounded size.
+    counts.  Counts come from all documents.  A frequent n-gram is one entry of
+    a block, so no partition is hot.  A task holds a block, or a partition of
+    the count tables with what is asked of it, whole; both are of a bounded size.
     """
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,16 +122,46 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_blocks)).cast("int").alias("block")
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), block).repartition(width, "block")
 
-    def ask(rows: pa.Table) -> pa.Table:
-        grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
-        every = np.concatenate(grams)
-        names, counts = np.unique(every, return_counts=True)
-        part = ((names >> np.uint64(32)) * np.uint64(n_tables)) >> np.uint64(32)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(names)]]) if len(names) else np.zeros(1, int)
+    leading = min(60, max(32, int(size * (order + 1) // 6 + 1).bit_length() + LEADING_BITS))
+
+    def cut(places: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+        """The partitions of sorted places (a hash's first 32 bits), and the span of each."""
+        part = (places * np.uint64(n_tables)) >> np.uint64(32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
         spans = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+        return [int(part[a]) for a, _ in spans], spans
+
+    def mark(rows: pa.Table) -> pa.Table:
+        grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
+        prints = np.unique(np.concatenate(grams) >> np.uint64(64 - leading))
+        parts, spans = cut(prints >> np.uint64(leading - 32))
+        packed = [_steps(prints[a:b]) for a, b in spans]
+        return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()), "grams": pa.array(packed, pa.binary())})
+
+    def share(rows: pa.Table) -> pa.Table:
+        prints = [_names(x) for x in rows["grams"].to_pylist()]
+        _, place, n = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        shared, cuts = (n > 1)[place], np.cumsum([0, *map(len, prints)])
+        packed = [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"part": rows["part"], "block": rows["block"], "n": pa.array(list(map(len, prints)), pa.int64()), "counts": pa.array(packed, pa.binary())})
+
+    def open_names(names: np.ndarray, marks: pa.Table) -> np.ndarray:
+        """Whether another block may have each of the sorted names."""
+        marks = marks.sort_by("part")
+        shared = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(marks["counts"].to_pylist(), marks["n"].to_pylist(), strict=True)]
+        prints = names >> np.uint64(64 - leading)
+        place = np.cumsum(np.concatenate([np.zeros(min(1, len(names)), int), prints[1:] != prints[:-1]])).astype(int)
+        return np.concatenate([*shared, np.zeros(0, np.uint8)]).astype(bool)[place]
+
+    def ask(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
+        names, counts = np.unique(np.concatenate(grams), return_counts=True)
+        sent = open_names(names, marks)
+        names, counts = names[sent], counts[sent]
+        parts, spans = cut(names >> np.uint64(32))
         return pa.table(
             {
-                "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
+                "part": pa.array(parts, pa.int32()),
                 "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()),
                 "grams": pa.array([_steps(names[a:b]) for a, b in spans], pa.binary()),
                 "counts": pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary()),
@@ -146,15 +181,16 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
         packed = [_packed(total[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.table({"part": rows["part"], "block": rows["block"], "n": pa.array(list(map(len, grams)), pa.int64()), "counts": pa.array(packed, pa.binary())})
 
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(rows: pa.Table, both: pa.Table) -> pa.Table:
         grams, doc, bounds = _gram_hashes(rows["text"].combine_chunks(), order)
         n_docs, n = len(bounds) - 1, len(doc)
         sums = np.zeros(n_docs)
         if n:
-            names, place = np.unique(np.concatenate(grams), return_inverse=True)
+            names, place, total = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
             place = place.reshape(order + 1, n)
-            answers = answers.sort_by("part")
-            total = np.concatenate([_unpacked(x, k) for x, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)])
+            answers = both.filter(both["answer"]).sort_by("part")
+            told = [_unpacked(x, k) for x, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)]
+            total[open_names(names, both.filter(pc.invert(both["answer"])))] = np.concatenate([*told, np.zeros(0, np.int64)])
             # What is left of each n-gram's count without this document.
             left = []
             for k in range(order + 1):
@@ -171,9 +207,12 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
             sums = np.add.reduceat(np.append(word, 0.0), bounds[:-1]) * (np.diff(bounds) > 0)
         return pa.table({"key": rows["key"], "n_words": pa.array(np.diff(bounds), pa.int64()), "score": pa.array(sums, pa.float64())})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "part int, block int, grams binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "part int, block int, n long, counts binary")
-    scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "key long, n_words long, score double")
+    told = "part int, block int, n long, counts binary"
+    marked = dealt.groupBy("block").applyInArrow(mark, "part int, block int, grams binary").groupBy("part").applyInArrow(share, told)
+    asked = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(ask, "part int, block int, grams binary, counts binary")
+    answered = asked.groupBy("part").applyInArrow(answer, told)
+    both = answered.withColumn("answer", F.lit(True)).unionByName(marked.withColumn("answer", F.lit(False)))
+    scored = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(score, "key long, n_words long, score double")
     mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score")
     return scored.select(F.col("key").alias(key), "n_words", "score", mean)
 
