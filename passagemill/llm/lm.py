@@ -133,7 +133,8 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
 
     def mark(rows: pa.Table) -> pa.Table:
         grams, _, _ = _gram_hashes(rows["text"].combine_chunks(), order)
-        prints = np.unique(np.concatenate(grams) >> np.uint64(64 - leading))
+        prints = np.sort(np.concatenate(grams) >> np.uint64(64 - leading))  # np.unique without counts goes by a hash table, three times slower here
+        prints = prints[np.concatenate([np.ones(min(1, len(prints)), bool), prints[1:] != prints[:-1]])]
         parts, spans = cut(prints >> np.uint64(leading - 32))
         packed = [_steps(prints[a:b]) for a, b in spans]
         return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()), "grams": pa.array(packed, pa.binary())})
