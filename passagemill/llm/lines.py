@@ -1,26 +1,46 @@
-"""Line dedup: lines found in many documents, by two Bloom filters and an exact count of the suspects."""
+"""Line dedup: lines found in many documents, by once-seen and twice-seen Bloom filters and an exact count of the suspects.
+
+Tasks fold their lines' hashes into bits of two filters and hand on the bits
+alone, segment by segment; segments merge what all tasks fold (twice is what
+either has twice or both have once) and answer each block of lines which of its
+bits are twice-seen.  The answers lie in the shared folder, where the task that
+reads the same lines finds them, and only lines all of whose bits are
+twice-seen leave it to be counted.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, shared_folder, table
+from .lm import _names, _steps
 
 SPACE = b" \t\n\v\f\r"
-#: Bits of each filter for a line, hashes, and lines that a task's two filters are made for.
-BITS_A_LINE, HASHES, LINES_A_TASK = 12, 4, 4_000_000
-#: Hashes that a task holds before it hands them on.
-BUFFER = 1_000_000
-#: Bytes of suspected hashes, and of confirmed lines, up to which every task gets them all; beyond, they are joined by shuffle.
+#: Bits of each filter for a line, hashes, and lines that a segment of the two filters is made for.
+BITS_A_LINE, HASHES, LINES_A_TASK = 32, 2, 16_000_000
+#: Lines that a task holds before it folds them.
+BLOCK_LINES = 250_000
+#: Bytes of confirmed lines up to which every task gets them all; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
 
 
+class Filters(NamedTuple):
+    """Where the answers of the twice-seen filter lie, its segments, the bits of each, and how rows were cut into blocks of keys."""
+
+    folder: str
+    segments: int
+    bits: int
+    min_length: int
+    block_lines: int
+
+
 def keys_of(text: bytes | None) -> list[bytes]:
     """The key of each line: white space stripped, A-Z lower-cased."""
     return [line.strip(SPACE).lower() for line in (text or b"").split(b"\n")]
@@ -32,10 +52,22 @@ def _hashes(keys: Iterable[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each hash's bits in a filter."""
+def _places(h: np.ndarray, segments: int, bits: int) -> np.ndarray:
+    """Numbers of each hash's bits; a hash's are all in one segment, and segments are numbered through."""
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16) & np.uint64(0xFFFFFF)) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
+    within = (a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)) % np.uint64(bits)
+    return (h >> np.uint64(40))[:, None] % np.uint64(segments) * np.uint64(bits) + within
+
+
+def _folded(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted bit numbers as the bytes they are in and those bytes."""
+    byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+    first = np.flatnonzero(np.diff(byte, prepend=-1))
+    return byte[first], np.bitwise_or.reduceat(bit, first)
+
+
+def _set_in(bytes_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bytes_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
@@ -46,143 +78,168 @@ def _long_enough(keys: Iterable[bytes], min_length: int) -> Iterator[bytes]:
     return (k for k in keys if k and (min_length < 2 or len(k.decode()) >= min_length))
 
 
-def seen_twice(docs: DataFrame, text: str = "text", min_length: int = 1, lines_a_task: int = LINES_A_TASK) -> DataFrame:
-    """Hashes of lines that the twice-seen filters suspect to be in two documents or more: rows of packed u64 (hashes binary).
-
-    A task hands on the hashes of its lines, eight bytes for each different
-    line, dealt to parts; a part's task puts them through a once-seen and a
-    twice-seen filter of its own.  There are as many parts as lines_a_task asks
-    for, so a filter has one size however many lines there are.  No line of two
-    documents is missed; a line of one document is suspected with the filters'
-    small chance.
+def _blocks(batches: Iterable[pa.RecordBatch], min_length: int, block_lines: int) -> Iterator[list[tuple]]:
+    """A task's rows of (name, text) in blocks of some block_lines lines: name, its keys with the first line of each, their hashes."""
+    held, size = [], 0
+    for batch in batches:
+        for name, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            first: dict[bytes, int] = {}
+            for i, k in enumerate(keys_of(t)):
+                first.setdefault(k, i)
+            own = {k: first[k] for k in _long_enough(first, min_length)}
+            held.append((name, own, _hashes(own)))
+            size += len(own)
+            if size >= block_lines:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _sum(h: np.ndarray) -> int:
+    return int(h.sum(dtype=np.uint64).view(np.int64))
+
+
+def seen_twice(rows: DataFrame, min_length: int = 1, lines_a_task: int = LINES_A_TASK, block_lines: int = BLOCK_LINES) -> Filters:
+    """Puts the lines of rows of (name, text) through the two filters and stores which of each block's bits are twice-seen.
+
+    A block is a run of a task's rows.  What it hands on are the sorted numbers
+    of its bits, as the steps between them, and of those that it has twice
+    itself; what comes back is a bit for each.  A line of two rows has all its
+    bits twice-seen; a line of one row only by the filters' small chance.
+    There are as many segments as lines_a_task asks for, so a segment has one
+    size however many lines there are.
     """
-    n = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines_a_task + 1)
-    bits = max(1 << 12, BITS_A_LINE * (n // parts + 1))
-
-    def hand_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
-            h, counts = np.unique(np.concatenate(held), return_counts=True)
-            of = (h >> np.uint64(40)).astype(np.int64) % parts
-            order = np.argsort(of, kind="stable")
-            h, counts, of = h[order], counts[order], of[order]
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            own, many = np.split(h, cuts), np.split(counts > 1, cuts)
-            return pa.record_batch(
+    spark, text = rows.sparkSession, rows.columns[1]
+    n = rows.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // lines_a_task + 1)
+    bits = max(1 << 12, BITS_A_LINE * (n // segments + 1))
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for number, held in enumerate(_blocks(batches, min_length, block_lines)):
+            h, counts = np.unique(np.concatenate([x for _, _, x in held]), return_counts=True)
+            if not len(h):
+                continue
+            places = _places(h, segments, bits)
+            once, twice = np.unique(places), np.unique(places[counts > 1])
+            of = np.unique(once // np.uint64(bits))
+            starts = of * np.uint64(bits)
+            packed = []
+            for own in (once, twice):
+                spans = zip(starts, np.searchsorted(own, starts), np.searchsorted(own, starts + np.uint64(bits)), strict=True)
+                packed.append([_steps(own[a:b] - start) if b > a else b"" for start, a, b in spans])
+            yield pa.record_batch(
                 {
-                    "part": pa.array(of[np.concatenate([[0], cuts]).astype(np.int64)], pa.int64()),
-                    "once": pa.array([x.tobytes() for x in own], pa.binary()),
-                    "twice": pa.array([x[m].tobytes() for x, m in zip(own, many, strict=True)], pa.binary()),
+                    "segment": pa.array(of.astype(np.int64), pa.int64()),
+                    "task": pa.array([task] * len(of), pa.int32()),
+                    "block": pa.array([number] * len(of), pa.int32()),
+                    "sum": pa.array([_sum(h)] * len(of), pa.int64()),
+                    "once": pa.array(packed[0], pa.binary()),
+                    "twice": pa.array(packed[1], pa.binary()),
                 }
             )
 
-        held, size = [], 0
-        for batch in batches:
-            for t in _texts(batch, 0):
-                held.append(_hashes(set(_long_enough(keys_of(t), min_length))))
-                size += len(held[-1])
-                if size >= BUFFER:
-                    yield flushed(held)
-                    held, size = [], 0
-        if size:
-            yield flushed(held)
-
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, raw, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part not in once:
-                    once[part], twice[part], held[part] = np.zeros(bits, bool), np.zeros(bits, bool), []
-                h = np.frombuffer(raw, np.uint64)
-                at = _positions(h, bits)
-                twice[part][at[once[part][at].all(axis=1)].ravel()] = True
-                twice[part][_positions(np.frombuffer(again, np.uint64), bits).ravel()] = True
-                once[part][at.ravel()] = True
-                held[part].append(h)
-        for part, own in held.items():
-            h = np.concatenate(own)
-            found = np.unique(h[twice[part][_positions(h, bits)].all(axis=1)])
-            if len(found):
-                yield pa.record_batch({"hashes": pa.array([found.tobytes()], pa.binary())})
-
-    dealt = docs.select(text).mapInArrow(hand_on, "part long, once binary, twice binary").repartition(parts, "part")
-    return dealt.mapInArrow(fold, "hashes binary")
-
-
-def repeated_lines(
-    docs: DataFrame, min_docs: int = 10, min_length: int = 1, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, lines_a_task: int = LINES_A_TASK
-) -> DataFrame:
-    """Line keys found in min_docs documents or more: line (binary), n_docs, first (doc and line number of the first occurrence).
-
-    Only lines that the filters suspect are counted exactly, summed over a
-    task's documents beforehand, so a line of a third of all documents comes as
-    one row from each task.  Suspected hashes of broadcast_bytes at most go to
-    every task, which then sends no other line; more are met by a join on the
-    hash.
+    def merge(folded: pa.Table) -> pa.Table:
+        once, twice = np.zeros(bits // 8 + 1, np.uint8), np.zeros(bits // 8 + 1, np.uint8)
+        for own, again in zip(folded["once"].to_pylist(), folded["twice"].to_pylist(), strict=True):
+            at, bit = _folded(_names(own))
+            twice[at] |= once[at] & bit
+            once[at] |= bit
+            if again:
+                at, bit = _folded(_names(again))
+                twice[at] |= bit
+        marks = [_set_in(twice, _names(own)) for own in folded["once"].to_pylist()]
+        told = {"n": pa.array(list(map(len, marks)), pa.int64()), "marks": pa.array([np.packbits(x).tobytes() for x in marks], pa.binary())}
+        return pa.table({c: folded[c] for c in ("segment", "task", "block", "sum")} | told)
+
+    folded = rows.mapInArrow(fold, "segment long, task int, block int, sum long, once binary, twice binary")
+    answers = folded.groupBy("segment").applyInArrow(merge, "segment long, task int, block int, sum long, n long, marks binary")
+    folder = shared_folder(spark, "seen-twice")
+    answers.repartition("task").write.partitionBy("task").parquet(folder)
+    return Filters(folder, segments, bits, min_length, block_lines)
+
+
+def _told(filters: Filters, task: int) -> dict[int, tuple[int, np.ndarray]]:
+    """For each block of a task the sum of its hashes, and whether each of its sorted bits is twice-seen; without blocks that segments saw cut differently."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    filesystem, path = fs.FileSystem.from_uri(f"{filters.folder}/task={task}")
+    if filesystem.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    rows = pq.read_table(path, filesystem=filesystem, columns=["segment", "block", "sum", "n", "marks"]).sort_by([("block", "ascending"), ("segment", "ascending")])
+    told: dict[int, tuple[set, list]] = {}
+    for block, own, n, marks in zip(*(rows[c].to_pylist() for c in ("block", "sum", "n", "marks")), strict=True):
+        sums, parts = told.setdefault(block, (set(), []))
+        sums.add(own)
+        parts.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=n).astype(bool))
+    return {block: (sums.pop(), np.concatenate(parts)) for block, (sums, parts) in told.items() if len(sums) == 1}
+
+
+def suspects(batches: Iterable[pa.RecordBatch], filters: Filters) -> Iterator[list[tuple]]:
+    """Within a task, block by block: the name of each row, and its suspected keys with the first line of each.
+
+    Where a block is not the one that was folded, as the rows were read in
+    other partitions, all its lines are suspected, so none is missed.
     """
-    spark = docs.sparkSession
-    suspects = checkpointed(seen_twice(docs, text, min_length, lines_a_task))
-    size = suspects.agg(F.sum(F.length("hashes"))).first()[0] or 0
-    shared = None
-    if size <= broadcast_bytes:
-        packed = b"".join(bytes(r["hashes"]) for r in suspects.toLocalIterator())
-        shared = spark.sparkContext.broadcast(np.unique(np.frombuffer(packed, np.uint64)).tobytes())
+    from pyspark import TaskContext
+
+    told = _told(filters, TaskContext.get().partitionId())
+    for number, held in enumerate(_blocks(batches, filters.min_length, filters.block_lines)):
+        known = np.unique(np.concatenate([x for _, _, x in held]))
+        own, marks = told.pop(number, (None, None))
+        if own == _sum(known) and len(known):
+            places = _places(known, filters.segments, filters.bits)
+            once = np.unique(places)
+            if len(once) == len(marks):
+                known = known[marks[np.searchsorted(once, places)].all(axis=1)]
+        out = []
+        for name, first, h in held:
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            out.append((name, {k: i for (k, i), yes in zip(first.items(), hit.tolist(), strict=True) if yes}))
+        yield out
+
+
+def suspected_lines(rows: DataFrame, filters: Filters) -> DataFrame:
+    """The suspected lines of rows of (id, text), counted task by task: line (binary), n, first (doc and line number)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint64) if shared is not None else None
-        counts: Counter[bytes] = Counter()
-        first: dict[bytes, tuple] = {}
-
-        def flushed() -> pa.RecordBatch:
-            names = list(counts)
-            places = [{"doc": first[x][1], "line": first[x][2]} for x in names]
-            return pa.record_batch(
+        for block in suspects(batches, filters):
+            counts: Counter[bytes] = Counter()
+            first: dict[bytes, tuple] = {}
+            for doc, own in block:
+                for k, i in own.items():
+                    counts[k] += 1
+                    place = (doc is not None, doc or 0, i, doc)
+                    if k not in first or place < first[k]:
+                        first[k] = place
+            yield pa.record_batch(
                 {
-                    "hash": pa.array(_hashes(names).view(np.int64), pa.int64()),
-                    "line": pa.array(names, pa.binary()),
-                    "n": pa.array([counts[x] for x in names], pa.int64()),
-                    "first": pa.array(places, pa.struct([("doc", pa.int64()), ("line", pa.int64())])),
+                    "line": pa.array(list(counts), pa.binary()),
+                    "n": pa.array(list(counts.values()), pa.int64()),
+                    "first": pa.array([{"doc": first[k][3], "line": first[k][2]} for k in counts], pa.struct([("doc", pa.int64()), ("line", pa.int64())])),
                 }
             )
 
-        for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                places: dict[bytes, int] = {}
-                for i, k in enumerate(keys_of(t)):
-                    places.setdefault(k, i)
-                own = list(_long_enough(places, min_length))
-                if not own:
-                    continue
-                if known is not None:
-                    h = _hashes(own)
-                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                    own = [k for k, yes in zip(own, hit.tolist(), strict=True) if yes]
-                for k in own:
-                    counts[k] += 1
-                    place = (doc is not None, doc, places[k])
-                    if k not in first or (place[0], place[1] or 0, place[2]) < (first[k][0], first[k][1] or 0, first[k][2]):
-                        first[k] = place
-            if len(counts) >= BUFFER // 4:
-                yield flushed()
-                counts.clear()
-                first.clear()
-        if counts:
-            yield flushed()
+    return rows.mapInArrow(count, "line binary, n long, first struct<doc: long, line: long>")
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = rows.mapInArrow(count, "hash long, line binary, n long, first struct<doc: long, line: long>")
-    if shared is None:
 
-        def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    yield pa.record_batch({"hash": pa.array(np.frombuffer(raw, np.int64), pa.int64())})
+def repeated_lines(
+    docs: DataFrame, min_docs: int = 10, min_length: int = 1, key: str = "doc_id", text: str = "text", lines_a_task: int = LINES_A_TASK, filters: Filters | None = None
+) -> DataFrame:
+    """Line keys found in min_docs documents or more: line (binary), n_docs, first (doc and line number of the first occurrence).
 
-        found = found.join(suspects.mapInArrow(unpacked, "hash long"), "hash", "left_semi")
-    return found.groupBy("line").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
+    Only lines that the filters suspect leave a task to be counted exactly,
+    summed over a block's documents beforehand, so a line of a third of all
+    documents comes as one row from each block.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    found = suspected_lines(rows, filters or seen_twice(rows, min_length, lines_a_task))
+    return found.groupBy("line").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= max(min_docs, 1))
 
 
 def dedup_lines(
@@ -206,11 +263,12 @@ def dedup_lines(
 
     The lines to drop go to every task if they are measured to be
     broadcast_bytes at most.  Otherwise they are joined to the documents'
-    lines, where Spark splits hot keys, and then to the documents.
+    suspected lines, where Spark splits hot keys, and then to the documents.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    bad = checkpointed(repeated_lines(docs, min_docs, min_length, key, text, broadcast_bytes))
+    filters = seen_twice(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), min_length)
+    bad = checkpointed(repeated_lines(docs, min_docs, min_length, key, text, filters=filters))
     size = bad.agg(F.sum(F.length("line") + 64)).first()[0] or 0
     names = docs.columns
     key_at, text_at = names.index(key), names.index(text)
@@ -245,13 +303,9 @@ def dedup_lines(
     else:
 
         def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, own = [], []
-                for row, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                    more = {k for k in keys_of(t) if k}
-                    rows += [row] * len(more)
-                    own += more
-                yield pa.record_batch({"row": pa.array(rows, pa.binary()), "line": pa.array(own, pa.binary())})
+            for block in suspects(batches, filters):
+                own = [(row, k) for row, lines in block for k in lines]
+                yield pa.record_batch({"row": pa.array([r for r, _ in own], pa.binary()), "line": pa.array([k for _, k in own], pa.binary())})
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

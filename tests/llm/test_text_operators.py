@@ -245,18 +245,44 @@ def test_line_dedup_keeps_first(spark):
 
 
 @pytest.mark.parametrize("lines_a_task", [300, lines.LINES_A_TASK])
-def test_line_dedup_in_small_and_full_filters(spark, monkeypatch, lines_a_task):
-    """Many small filters, and ones that are far too small and suspect everything, drop the right lines."""
+@pytest.mark.parametrize("block_lines", [1000, lines.BLOCK_LINES])
+def test_line_dedup_in_small_and_full_filters(spark, monkeypatch, lines_a_task, block_lines):
+    """Many small filters and blocks, and filters that are far too small and suspect everything, drop the right lines."""
     table = spark.createDataFrame([(i, "\n".join(f"{(i * 37 + k) % 9000}" for k in range(400))) for i in range(120)], "doc_id long, text string")
     repeats = {line for line, n in collections.Counter(str((i * 37 + k) % 9000) for i in range(120) for k in range(400)).items() if n > 1}
-    suspects = b"".join(bytes(r["hashes"]) for r in lines.seen_twice(table, lines_a_task=lines_a_task).collect())
-    assert len(repeats) <= len(suspects) // 8 <= len(repeats) + 100
+    suspected = {bytes(r["line"]).decode() for r in lines.suspected_lines(table, lines.seen_twice(table, 1, lines_a_task, block_lines)).collect()}
+    assert repeats <= suspected and len(suspected) <= len(repeats) + 100
     for bits in (lines.BITS_A_LINE, 0):
         monkeypatch.setattr(lines, "BITS_A_LINE", bits)
-        found = collections.Counter((r["line"].decode(), r["n_docs"]) for r in lines.repeated_lines(table, 5, lines_a_task=lines_a_task).collect())
+        found = collections.Counter((r["line"].decode(), r["n_docs"]) for r in lines.repeated_lines(table, 5, filters=lines.seen_twice(table, 1, lines_a_task, block_lines)).collect())
         assert found == collections.Counter({x: 1 for x in line_counts(table, 5)})
 
 
+def test_only_suspected_lines_leave_a_task(spark):
+    rows_ = [(i, "\n".join(f"own {i} {k}" for k in range(500)) + "\nshared") for i in range(40)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
+    sent = lines.suspected_lines(table, lines.seen_twice(table)).collect()
+    assert sum(r["n"] for r in sent if bytes(r["line"]) == b"shared") == 40 and len(sent) < 4 + 0.01 * 40 * 500
+
+
+def test_lines_read_in_other_partitions_are_all_suspected(spark):
+    table = spark.createDataFrame([(i, f"x {i}\ny {i % 20}") for i in range(60)], "doc_id long, text string")
+    filters = lines.seen_twice(table.repartition(5))
+    found = lines.repeated_lines(table.repartition(3), 3, filters=filters).collect()
+    assert {(bytes(r["line"]), r["n_docs"], r["first"]["doc"]) for r in found} == {(f"y {i}".encode(), 3, i) for i in range(20)}
+
+
+def test_bits_of_filters_fold_and_merge():
+    dice = np.random.default_rng(1)
+    own = [np.unique(dice.integers(0, 400, 90).astype(np.uint64)) for _ in range(5)]
+    filled = np.zeros(51, np.uint8)
+    for at in own:
+        byte, bit = lines._folded(at)
+        assert (np.diff(byte) > 0).all()
+        filled[byte] |= bit
+    assert set(np.flatnonzero(lines._set_in(filled, np.arange(400, dtype=np.uint64))).tolist()) == set(np.concatenate(own).tolist())
+
+
 def line_counts(table, least):
     counts = collections.Counter(x for r in table.collect() for x in set(r["text"].split("\n")))
     return [(x, n) for x, n in counts.items() if n >= least]
