@@ -418,6 +418,23 @@ def test_packing_of_tiny_documents_pads_little(spark):
     assert sum(4096 - n for n in sizes.values() if n & (n - 1)) < 0.05 * 18_000
 
 
+def test_packing_of_documents_keeps_all_limits(spark, tokenizer):
+    """Segments and loss of the query's sequences bind, loss is what a document's first line leaves, and little is padded."""
+    df = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    prompts = {}
+    for r in df.collect():
+        head, more, _ = (r["text"] or "").partition("\n")
+        prompts[r["doc_id"]] = len(tokenizer.encode(head, add_special_tokens=False).ids) if more else 0
+    packed = packing.pack_pieces(df.coalesce(1)).toPandas()
+    want = [max(0, s + n - max(s, min(prompts[d], t - 1))) for d, s, n, t in zip(packed.doc_id, packed.start, packed.length, packed.doc_tokens, strict=True)]
+    assert packed.loss.tolist() == want
+    total = packed.groupby("sequence_id").agg(n=("length", "sum"), k=("length", "size"), loss=("loss", "sum"))
+    assert total.n.max() == 4096 and total.k.max() == packing.SEGMENTS and total.loss.max() == packing.LOSS
+    assert packed.groupby("doc_id").length.sum().equals(packed.groupby("doc_id").doc_tokens.first())
+    padding = sum(4096 - n for n in total.n if n & (n - 1))
+    assert padding <= 0.01 * packed.length.sum() and (total.n < 1024).sum() <= 12
+
+
 def test_packing_cuts_by_loss_only_what_bears_it(spark):
     rows_ = [(1, "word " * 300, False), (2, "word " * 300, True)]
     df = spark.createDataFrame(rows_, "doc_id long, text string, bears boolean").coalesce(1)
