@@ -36,24 +36,28 @@ def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     order = np.argsort(kind_of.ravel(), kind="stable")
     left = np.bincount(kind_of.ravel(), minlength=len(kinds))
     at = np.concatenate([[0], np.cumsum(left)[:-1]])
-    share = kinds / limits
-    bins = []
-    while len(kinds):
-        room, own = limits.copy(), []
-        while True:
-            fits = (kinds <= room).all(axis=1)
-            if not fits.any():
-                break
-            k = int(np.argmax(np.where(fits, share @ (room / limits), -1.0)))
-            # As many of the kind as are left and fit while it stays the best are few; take one.
-            own.append(int(order[at[k]]))
-            at[k] += 1
-            left[k] -= 1
-            room = room - kinds[k]
-            if not left[k]:
-                keep = np.arange(len(kinds)) != k
-                kinds, share, at, left = kinds[keep], share[keep], at[keep], left[keep]
-        bins.append(own)
+    columns, share = kinds.T.copy(), (kinds / limits).T.copy()
+    # An empty bin weighs all resources alike, so what bins begin with is known beforehand.
+    begins = np.argsort(-share.sum(axis=0), kind="stable")
+    bins, alive = [], np.arange(len(kinds))
+    for k in begins:
+        while left[k]:
+            room, own, some, now = limits.copy(), [], alive, k
+            while True:
+                own.append(int(order[at[now]]))
+                at[now] += 1
+                left[now] -= 1
+                room -= kinds[now]
+                # What does not fit now will not fit into this bin later.
+                fits = left[some] > 0
+                for column, r in zip(columns, room, strict=True):
+                    fits &= column[some] <= r
+                some = some[fits]
+                if not len(some):
+                    break
+                now = some[np.argmax(sum(x[some] * w for x, w in zip(share, room / limits, strict=True)))]
+            bins.append(own)
+            alive = alive[left[alive] > 0]
     return bins
 
 
