@@ -48,9 +48,9 @@ class _Evidence:
     def __init__(self, t: Tables):
         self.t, self.index = t, R.index(t)
         asked = A.stem_of_terms(R.questions(t)).select("qid", "stem").distinct()
-        self.concepts = asked.join(self.index.stems, "stem", "left").select(
-            "qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")
-        )
+        known = self.index.stems.join(X.sent(asked.select("stem").distinct()), "stem", "left_semi")
+        # Kept: all evidence starts from them.
+        self.concepts = t.keep(asked.join(known, "stem", "left").select("qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")))
         self.stems = self.index.doc_stems.select("doc", "stem")
         self.alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
         self.core = A.core(self.concepts)
@@ -64,7 +64,7 @@ class _Evidence:
     def near_credits(self) -> DataFrame:
         """Credits in each question's candidates: the stems of their documents alone are read on; kept."""
         pairs = self.candidates.select("qid", "doc")
-        own = self.stems.join(pairs.select("doc").distinct(), "doc", "left_semi")
+        own = self.index.rows.join(X.sent(pairs.select("doc").distinct()), "doc", "left_semi").selectExpr("doc", "inline(stems) AS (stem, tf)").select("doc", "stem")
         return self.t.keep(A.credits(self.concepts, self.alternatives, own).join(pairs, ["qid", "doc"], "left_semi"))
 
     @cached_property
@@ -75,9 +75,14 @@ class _Evidence:
     def near_coverage(self) -> DataFrame:
         return A.coverage(self.near_credits, self.concepts)
 
+    @cached_property
+    def core_credits(self) -> DataFrame:
+        """Credits of core concepts in all documents; other concepts' stems are not looked for."""
+        return A.credits(self.core, self.alternatives, self.stems)
+
     def core_hit(self, credits: DataFrame) -> DataFrame:
         """How many core concepts each document has, of how many."""
-        size = self.core.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
+        size = F.broadcast(self.core.groupBy("qid").agg(F.count(F.lit(1)).alias("size")))
         hit = credits.join(self.core.select("qid", F.col("stem").alias("concept")), ["qid", "concept"], "left_semi")
         return hit.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit")).join(size, "qid")
 
@@ -86,8 +91,8 @@ class _Evidence:
 
     def stems_of(self, terms: DataFrame) -> DataFrame:
         """The rows with the stem for each term that some question asks for, once each; the index has the stems."""
-        asked = self.index.terms.select("term", "stem").join(self.concepts.select("stem").distinct(), "stem", "left_semi")
-        return terms.join(asked, "term").drop("term").distinct()
+        asked = self.index.terms.select("term", "stem").join(X.sent(self.concepts.select("stem").distinct()), "stem", "left_semi")
+        return terms.join(X.sent(asked), "term").drop("term").distinct()
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -178,7 +183,7 @@ def _(t):
 
 @query("ev4_core_covered", BASE + "SELECT qid, doc, hit = size AS whole FROM core_hit JOIN core_size USING (qid)")
 def _(t):
-    return (e := _Evidence(t)).core_hit(e.credits).select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
+    return (e := _Evidence(t)).core_hit(e.core_credits).select("qid", "doc", (F.col("hit") == F.col("size")).alias("whole"))
 
 
 CONFIDENCE = f""", eight AS (SELECT qid, doc, score, rank FROM ranked WHERE rank <= 8),
@@ -240,7 +245,7 @@ phrases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc OR
 def phrases(e: _Evidence) -> DataFrame:
     """The best unit of each of a question's candidates; a text is cut into units once, however many questions it is a candidate of."""
     near = e.candidates.select("qid", "doc", "rank")
-    units = A.sentences(e.t("documents").join(near.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    units = A.sentences(e.t("documents").join(X.sent(near.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi"))
     stems = e.stems_of(units.select("doc", "n", F.explode(F.array_distinct(T.tokenize(F.col("unit")))).alias("term")))
     said = stems.join(near.select("qid", "doc"), "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc", "n").agg(F.sum("weight").alias("got"))
     total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
@@ -322,10 +327,10 @@ finals AS (SELECT p.qid, p.doc, p.rank, unit, datum, cov, coalesce(coverage, 0)
 
 def finals(e: _Evidence) -> DataFrame:
     """The final score of each candidate: ranking, sentence, passage and title evidence, a bonus for laws and data, discounts for recitals, scans and texts not in force."""
-    documents = e.t("documents")
-    texts = documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars")
+    near = X.sent(e.candidates.select("doc").distinct())
+    texts = e.t("documents").select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars").join(near, "doc", "left_semi")
     total = e.concepts.groupBy("qid").agg(F.sum("weight").alias("total"))
-    heads = e.stems_of(documents.select(F.col("doc_id").alias("doc"), F.explode(F.slice(T.tokenize(F.col("text")), 1, 10)).alias("term")))
+    heads = e.stems_of(e.index.heads.join(near, "doc", "left_semi").select("doc", F.explode("head").alias("term")))
     titles = e.candidates.select("qid", "doc").join(heads, "doc").join(e.concepts, ["qid", "stem"]).groupBy("qid", "doc").agg(F.sum("weight").alias("got"))
     titles = titles.join(total, "qid").select("qid", "doc", (F.col("got") / F.col("total")).alias("title"))
     law = e.t("benchmark").select(F.col("item_id").alias("qid"), T.normalise(F.col("text")).rlike("(^|[^a-z0-9])(ley|legal|law|loi|gesetz)([^a-z0-9]|$)").alias("law"))

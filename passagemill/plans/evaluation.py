@@ -60,41 +60,44 @@ def expected(t: Tables, made: X.Index) -> DataFrame:
     items = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")).filter("item IS NOT NULL")
     inner = F.regexp_extract("item", r"(?s)^\S*\s+(.*)\s+\S*$", 1)
     terms = items.select("qid", F.explode(F.array_distinct(T.tokenize(inner))).alias("term"))
-    known = terms.join(made.terms.select("term", "df"), "term", "left")
+    known = terms.join(made.terms.select("term", "df").join(X.sent(terms.select("term").distinct()), "term", "left_semi"), "term", "left")
     # A term that no document has says that none contains the text.
     rarest = known.groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     texts = t("documents").select(F.col("doc_id").alias("doc"), "text")
-    pairs = made.postings.join(rarest, "term").select("qid", "doc")
+    pairs = made.postings.join(X.sent(rarest), "term").select("qid", "doc")
     found = pairs.join(items, "qid").join(texts, "doc").filter(F.contains("text", "item")).select("qid", "doc")
     short = items.join(rarest.select("qid"), "qid", "left_anti")
     return found.union(texts.join(short, F.contains("text", "item")).select("qid", "doc")) if not short.isEmpty() else found
 
 
-def hits(t: Tables) -> DataFrame:
-    """Each question with expected documents, and the best place of one among the first five."""
-    made = R.index(t)
-    best = X.top(X.normalised(X.score(made, R.questions(t))), 5).select("qid", "doc", "rank")
-    want = expected(t, made)
+def hits(want: DataFrame, best: DataFrame) -> DataFrame:
+    """Each question with expected documents, and the best place of one among the first five; best has these at least."""
+    best = best.filter("rank <= 5").select("qid", "doc", "rank")
     found = best.join(want, ["qid", "doc"]).groupBy("qid").agg(F.min("rank").alias("rank"))
     return want.select("qid").distinct().join(found, "qid", "left")
 
 
 def judged(t: Tables) -> DataFrame:
     """Every answer's state, whether its question is in the corpus, and the place of the first expected source among the final ones (0: none)."""
+    return _judged(N._Evidence(t))[0]
+
+
+def _judged(e: N._Evidence) -> tuple[DataFrame, DataFrame]:
+    """The same, and questions with expected documents, kept."""
     from pyspark.sql import Window
 
-    e = N._Evidence(t)
-    want = expected(t, e.index)
+    want = e.t.keep(expected(e.t, e.index))
     by = Window.partitionBy("qid").orderBy(F.round("final", 6).desc(), "doc")
     placed = e.finals.withColumn("n", F.row_number().over(by)).join(want, ["qid", "doc"]).groupBy("qid").agg(F.min("n").alias("place"))
     known = want.select("qid").distinct().withColumn("known", F.lit(True))
     rows = N.states(e).join(known, "qid", "left").join(placed, "qid", "left")
-    return rows.select("qid", "state", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("place", F.lit(0)).alias("place"))
+    return rows.select("qid", "state", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("place", F.lit(0)).alias("place")), want
 
 
 @query("me1_recall_at_5", HITS + "SELECT count(*)::BIGINT AS n, count(rank)::BIGINT AS hit, round(count(rank) / count(*), 6) AS recall FROM asked LEFT JOIN hits USING (qid)")
 def _(t):
-    return hits(t).agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("hit"), F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"))
+    made = R.index(t)
+    return hits(expected(t, made), R.ranked(t, made, 5)).agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("hit"), F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"))
 
 
 @query(
@@ -133,13 +136,14 @@ def _(t):
     count(*) FILTER (NOT known AND state = 'found') <= {GATES['false_greens']} AS false_greens FROM judged""",
 )
 def _(t):
-    known = F.col("known")
-    of = judged(t).agg(
+    known, e = F.col("known"), N._Evidence(t)
+    rows, want = _judged(e)
+    of = rows.agg(
         (F.count_if(~known & (F.col("state") == "absent")) >= GATES["abstained"] * F.count_if(~known)).alias("abstained"),
         (F.count_if(known & F.col("place").between(1, 3)) >= GATES["visible"] * F.count_if(known)).alias("visible"),
         (F.count_if(~known & (F.col("state") == "found")) <= GATES["false_greens"]).alias("false_greens"),
     )
-    recall = hits(t).agg((F.count("rank") >= GATES["recall"] * F.count(F.lit(1))).alias("recall"))
+    recall = hits(want, e.candidates).agg((F.count("rank") >= GATES["recall"] * F.count(F.lit(1))).alias("recall"))
     return recall.crossJoin(of)  # one row and one row
 
 
@@ -157,8 +161,10 @@ def _(t):
         postings=made.postings,
         lengths=made.docs,
     )
-    both = api.withColumn("a", F.lit(1)).join(sql.withColumn("b", F.lit(1)), ["qid", "doc", "score"], "full")
-    return both.agg(F.count_if(F.col("b").isNull()).alias("only_api"), F.count_if(F.col("a").isNull()).alias("only_sql"), F.count("a").alias("n"))
+    # Rows of both meet by question and document, as they lie after their sums.
+    both = api.withColumnRenamed("score", "a").join(sql.withColumnRenamed("score", "b"), ["qid", "doc"], "full")
+    other = ~F.col("a").eqNullSafe(F.col("b"))
+    return both.agg(F.count_if(F.col("a").isNotNull() & other).alias("only_api"), F.count_if(F.col("b").isNotNull() & other).alias("only_sql"), F.count("a").alias("n"))
 
 
 @query(
@@ -171,7 +177,7 @@ def _(t):
 def _(t):
     """For each least coverage of the best eight passages: questions rightly and wrongly taken as answerable."""
     e = N._Evidence(t)
-    top = e.ranked(8).join(e.near_coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.max("coverage").alias("cov"))
+    top = e.candidates.filter("rank <= 8").join(e.near_coverage, ["qid", "doc"], "left").groupBy("qid").agg(F.max("coverage").alias("cov"))
     known = expected(t, e.index).select("qid").distinct().withColumn("known", F.lit(True))
     rows = N.states(e).select("qid").join(top, "qid").join(known, "qid", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = rows.withColumn("least", F.explode(F.array(*(F.lit(k / 20) for k in (8, 10, 12, 14, 16, 18, 20)))))

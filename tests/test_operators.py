@@ -341,6 +341,23 @@ def test_window_counter_stream(spark, tmp_path):
     assert sum(r for *_, r in got) == 1 and sum(a for k, _, a, _ in got if k == 7) == 3 and len(got) == 4
 
 
+def test_index_cuts_texts_where_they_are(spark):
+    said = ["Ünïcode ÁRBOLES árboles x 77 de la", "", None, "aplicaciones Aplicación K9 ﬁn İstanbul", "casas casa casas " * 9 + "iendoiendo 1234567as"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(X.LEAST_PARTITIONS)
+    made = X.build(docs)
+    terms = docs.select(F.col("doc_id").alias("doc"), F.explode(T.tokenize(F.col("text"))).alias("term"))
+    count = lambda rows, by: sorted(map(tuple, rows.groupBy("doc", by).agg(F.count(F.lit(1))).collect()))
+    assert sorted(map(tuple, made.postings.collect())) == count(terms, "term")
+    assert sorted(map(tuple, made.doc_stems.collect())) == count(terms.withColumn("stem", T.stem(F.col("term"))), "stem")
+    heads = docs.select(F.col("doc_id").alias("doc"), F.slice(T.tokenize(F.col("text")), 1, X.HEAD).alias("head"))
+    assert sorted(map(tuple, made.heads.collect())) == sorted(map(tuple, heads.collect())) and made.n == 5
+    # One shuffle deals the documents' rows; none counts terms by document.
+    assert X.rows_of(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    q = spark.createDataFrame([(1, "casa", 1.0)], "qid long, term string, weight double")
+    plan = X.score(made, q)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc#" in plan and "hashpartitioning(qid#" not in plan
+
+
 def _index_rows(made):
     scores = [sorted(tuple(r) for r in x.collect()) for x in (made.postings, made.docs, made.doc_stems)]
     return [*scores, *(sorted((*r[:-1], round(r[-1], 9)) for r in x.collect()) for x in (made.terms.select("term", "stem", "df", "idf"), made.stems.select("stem", "df", "idf"))), made.n, round(made.mean_length, 9)]
