@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .answers import CREDIT_ALTERNATIVE
+from .index import sent
 from .sentences import question_type, words_of_type
 
 # The weight of added words, how infinitives end, how a definition is asked for.
@@ -18,6 +19,8 @@ ADDED_WEIGHT = 0.5
 INFINITIVE = "[a-z]{3,}(?:ar|er|ir)$"
 DEFINES = r"que\s+(?:es|son|se\s+considera|se\s+entiende\s+por)\s+(?:un|una|el|la|los|las|lo)?\s*(.+)"
 DEFINED_WORDS = 3
+#: Documents that credits are summed for at a time, about.
+BLOCK = 16_384
 
 
 def _grams(text: Column, longest: int) -> Column:
@@ -76,10 +79,13 @@ def expanded(rows: DataFrame, fired: DataFrame, added: DataFrame) -> tuple[DataF
 def weighted(found: DataFrame, alternatives: DataFrame, stems: DataFrame, unseen: float) -> DataFrame:
     """Concepts with their weight; infinitives that neither stand in the corpus nor have an alternative that does, all of its words, are dropped.  stems: stem, idf."""
     known = stems.select("stem", "idf")
-    each = alternatives.withColumn("id", F.monotonically_increasing_id()).select("qid", "concept", "id", F.size("stems").alias("size"), F.explode("stems").alias("stem"))
+    # Alternatives decide on infinitives that the corpus has not, and are looked up for these alone.
+    rows = found.join(known, "stem", "left")
+    doubtful = rows.filter(F.col("term").rlike(INFINITIVE) & F.col("idf").isNull()).select("qid", F.col("stem").alias("concept"))
+    each = alternatives.join(sent(doubtful), ["qid", "concept"], "left_semi").withColumn("id", F.monotonically_increasing_id()).select("qid", "concept", "id", F.size("stems").alias("size"), F.explode("stems").alias("stem"))
     whole = each.join(known, "stem").groupBy("qid", "concept", "id", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size")
     said = whole.select("qid", F.col("concept").alias("stem")).distinct().withColumn("said", F.lit(True))
-    rows = found.join(known, "stem", "left").join(said, ["qid", "stem"], "left")
+    rows = rows.join(said, ["qid", "stem"], "left")
     keep = ~F.col("term").rlike(INFINITIVE) | F.col("idf").isNotNull() | F.col("said")
     return rows.filter(F.coalesce(keep, F.lit(False))).select("qid", "place", "term", "stem", F.coalesce("idf", F.lit(unseen)).alias("weight"))
 
@@ -102,3 +108,63 @@ def credits(weights: DataFrame, alternatives: DataFrame, texts: DataFrame) -> Da
     met = own.withColumn("words", F.lit(1)).unionByName(other).join(texts, "stem").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     credit = F.when((F.col("id") < 0) | (F.col("words") > 1), 1.0).otherwise(CREDIT_ALTERNATIVE)
     return met.filter("n = size").groupBy("qid", "doc", F.col("concept").alias("stem"), "weight").agg(F.max(credit).alias("credit"))
+
+
+def credit_sums(weights: DataFrame, alternatives: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """qid, doc, n, credit: how many concepts of a question a document has any credit for, and the sum, as credits says.
+
+    Most alternatives are those of many questions and in many documents, so rows
+    of them all would grow with the square of the corpus.  A block of documents
+    has instead a string of bits for each stem; phrases are ands of these,
+    concepts ors of phrases, which questions with equal alternatives share.
+    """
+    concepts = weights.select("qid", F.col("stem").alias("concept")).distinct()
+    phrase = F.array_join(F.array_sort(F.array_distinct("stems")), " ")  # stems have no blanks
+    other = alternatives.join(sent(concepts), ["qid", "concept"], "left_semi").select("qid", "concept", phrase.alias("phrase"), (F.size("stems") > 1).alias("whole"))
+    sets = other.groupBy("qid", "concept").agg(*(F.array_sort(F.collect_set(F.when(c, F.col("phrase")))).alias(n) for n, c in (("whole", F.col("whole")), ("some", ~F.col("whole")))))
+    none = F.array().cast("array<string>")
+    sets = concepts.join(sets, ["qid", "concept"], "left").select("qid", "concept", F.coalesce("whole", none).alias("whole"), F.coalesce("some", none).alias("some"))
+    shared = sets.groupBy("whole", "some").agg(F.collect_list("qid").alias("qids"), F.collect_list("concept").alias("concepts"))
+    said = concepts.select(F.col("concept").alias("stem")).union(other.select(F.explode(F.split("phrase", " ")).alias("stem"))).distinct()
+    blocks = -(-texts.agg(F.approx_count_distinct("doc")).first()[0] // block) or 1
+    near = texts.join(sent(said), "stem", "left_semi").select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc", "stem")
+    spread = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    types = {f.name: f.dataType.simpleString() for f in [*weights.select("qid").schema, *texts.select("doc").schema]}
+    return near.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(_summed, f"qid {types['qid']}, doc {types['doc']}, n bigint, credit double")
+
+
+def _summed(texts, shared):
+    """credit_sums of one block: texts (block, doc, stem), shared (whole, some, qids, concepts, block)."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, stems = (texts.column(c).combine_chunks().dictionary_encode() for c in ("doc", "stem"))
+    docs, stems = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (docs, stems))
+    width = len(docs.dictionary)
+    has = np.zeros((len(stems.dictionary) + 1, -(-width // 8)), np.uint8)  # the last row: no document
+    d, at = docs.indices.to_numpy(), {x: k for k, x in enumerate(stems.dictionary.to_pylist())}
+    np.bitwise_or.at(has, (stems.indices.to_numpy(), d >> 3), (128 >> (d & 7)).astype(np.uint8))
+    phrases: dict[str, np.ndarray] = {}
+
+    def bits(phrase: str):
+        if (found := phrases.get(phrase)) is None:
+            found = phrases[phrase] = np.bitwise_and.reduce([has[at.get(x, -1)] for x in phrase.split(" ")])
+        return found
+
+    n, credit = {}, {}
+    for r in shared.to_batches(max_chunksize=1):
+        row = r.to_pylist()[0]
+        whole, some = (np.bitwise_or.reduce([has[-1], *map(bits, row[c])]) for c in ("whole", "some"))
+        for q, concept in zip(row["qids"], row["concepts"], strict=True):
+            if q not in n:
+                n[q], credit[q] = np.zeros(width, np.int64), np.zeros(width)
+            full = np.unpackbits(whole | has[at.get(concept, -1)], count=width).astype(bool)
+            part = np.unpackbits(some, count=width).astype(bool) & ~full
+            n[q] += full | part
+            credit[q] += full + CREDIT_ALTERNATIVE * part
+    types, out = (shared.schema.field("qids").type.value_type, docs.dictionary.type), []
+    for q in n:
+        met = np.flatnonzero(n[q])
+        out.append(pa.table({"qid": pa.array([q] * len(met), types[0]), "doc": docs.dictionary.take(pa.array(met)), "n": n[q][met], "credit": credit[q][met]}))
+    empty = pa.schema([("qid", types[0]), ("doc", types[1]), ("n", pa.int64()), ("credit", pa.float64())]).empty_table()
+    return pa.concat_tables(out) if out else empty

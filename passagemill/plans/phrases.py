@@ -153,5 +153,4 @@ def _(t):
 def _(t):
     """Credits of each question's concepts in each document, alternatives of whole phrases included; no SQL twin, as above."""
     _, alternatives, _, weights, made = _weights(t)
-    found = Q.credits(weights, alternatives, made.doc_stems.select("doc", "stem"))
-    return found.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("credit"), 6).alias("credit"))
+    return Q.credit_sums(weights, alternatives, made.doc_stems.select("doc", "stem")).withColumn("credit", F.round("credit", 6))

@@ -96,6 +96,12 @@ def test_questions_against_a_loop(spark):
                     credit[q, d, s] = got
     assert {(r["qid"], r["doc"], r["stem"]): r["credit"] for r in Q.credits(weights, alternatives, texts).collect()} == credit
     assert set(credit.values()) == {0.7, 1.0}
+    sums = {}
+    for (q, d, _), got in credit.items():
+        sums.setdefault((q, d), []).append(got)
+    for block in (Q.BLOCK, 2):
+        found = Q.credit_sums(weights, alternatives, texts, block).collect()
+        assert sorted((r["qid"], r["doc"], r["n"], round(r["credit"], 6)) for r in found) == sorted((*k, len(x), round(sum(x), 6)) for k, x in sums.items())
     found = {r["qid"]: r["stem"] for r in Q.defined(rows, weights).collect()}
     assert set(found) == {1} and found[1] in {_stem("farmaceutico"), _stem("equivalente")}
 
