@@ -62,10 +62,10 @@ class _Evidence:
 
     @cached_property
     def near_credits(self) -> DataFrame:
-        """Credits in each question's candidates: the stems of their documents alone are read on; kept."""
+        """Credits in each question's candidates: a document's stems meet only the questions that it is a candidate of; kept."""
         pairs = self.candidates.select("qid", "doc")
-        own = self.index.rows.join(X.sent(pairs.select("doc").distinct()), "doc", "left_semi").selectExpr("doc", "inline(stems) AS (stem, tf)").select("doc", "stem")
-        return self.t.keep(A.credits(self.concepts, self.alternatives, own).join(pairs, ["qid", "doc"], "left_semi"))
+        own = self.index.rows.select("doc", "stems").join(X.sent(pairs), "doc").selectExpr("qid", "doc", "inline(stems) AS (stem, tf)").select("qid", "doc", "stem")
+        return self.t.keep(A.credits(self.concepts, self.alternatives, own))
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -87,7 +87,7 @@ class _Evidence:
         return hit.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit")).join(size, "qid")
 
     def ranked(self, k: int) -> DataFrame:
-        return X.top(X.normalised(X.score(self.index, R.questions(self.t))), k)
+        return X.ranked(self.index, R.questions(self.t), k)
 
     def stems_of(self, terms: DataFrame) -> DataFrame:
         """The rows with the stem for each term that some question asks for, once each; the index has the stems."""

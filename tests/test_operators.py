@@ -358,6 +358,55 @@ def test_index_cuts_texts_where_they_are(spark):
     assert "hashpartitioning(doc#" in plan and "hashpartitioning(qid#" not in plan
 
 
+def _scores(said, asked):
+    """BM25 of all pairs with a term in common, by a plain loop."""
+    import math
+
+    count = {doc: collections.Counter(text.split()) for doc, text in said}
+    mean, df = sum(c.total() for c in count.values()) / len(count), collections.Counter(w for c in count.values() for w in c)
+    out = collections.defaultdict(float)
+    for qid, w, weight in asked:
+        for doc, c in count.items():
+            if c[w]:
+                idf = math.log(1 + (len(count) - df[w] + 0.5) / (df[w] + 0.5))
+                out[qid, doc] += weight * idf * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+    return out
+
+
+@pytest.mark.parametrize("most_asked, most_summed", [(X.MOST_ASKED, X.MOST_SUMMED), (3, X.MOST_SUMMED), (X.MOST_ASKED, 60)])
+def test_scores_where_documents_lie_against_a_loop(spark, monkeypatch, most_asked, most_summed):
+    monkeypatch.setattr(X, "MOST_ASKED", most_asked)
+    monkeypatch.setattr(X, "MOST_SUMMED", most_summed)
+    luck = random.Random(3)
+    words = [f"w{k}q" for k in range(12)]
+    said = [(doc, " ".join(luck.choices(words, range(1, 13), k=luck.randint(0, 9)))) for doc in range(60)]
+    said += [(doc + 60, said[doc][1]) for doc in range(30)]  # equal scores
+    asked = [(qid, w, luck.choice((1.0, 0.5))) for qid in range(5) for w in [*luck.sample(words, 4), "unseen"]]
+    made = X.build(spark.createDataFrame(said, "doc_id long, text string").repartition(X.LEAST_PARTITIONS))
+    q = spark.createDataFrame(asked, "qid long, term string, weight double")
+    want = _scores(said, asked)
+    for rows in (X.scores(made, q), X.score(made, q)):
+        assert {(r["qid"], r["doc"]): pytest.approx(r["score"]) for r in rows.collect()} == want
+    for k in (1, 4):
+        order = {qid: sorted((-round(x / max(v for (p, _), v in want.items() if p == qid), 6), doc) for (p, doc), x in want.items() if p == qid)[:k] for qid in range(5)}
+        assert {(r["qid"], r["rank"], r["doc"]) for r in X.ranked(made, q, k).collect()} == {(qid, n + 1, doc) for qid, x in order.items() for n, (_, doc) in enumerate(x)}
+    if most_asked == X.MOST_ASKED == 1_000_000:
+        # Neither terms nor sums move: only the documents' rows are dealt out, by the test itself.
+        plan = X.scores(made, q)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert X.best(made, q, 1).count() < len(want)
+
+
+def test_credits_of_candidates_alone(spark):
+    concepts = spark.createDataFrame([(q, s, 1.0 + q) for q in (1, 2) for s in ("a", "b", "c")], "qid long, stem string, weight double")
+    alternatives = spark.createDataFrame([("a", 0, "x", 1), ("b", 1, "y", 2), ("b", 1, "z", 2)], "stem string, phrase int, other string, size int")
+    stems = spark.createDataFrame([(7, "a"), (7, "y"), (8, "x"), (8, "y"), (8, "z"), (9, "c")], "doc long, stem string")
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "qid long, doc long")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc", "concept", "weight", "credit").collect()))
+    want = rows(A.credits(concepts, alternatives, stems).join(pairs, ["qid", "doc"], "left_semi"))
+    assert rows(A.credits(concepts, alternatives, stems.join(pairs, "doc"))) == want and len(want) == 5
+
+
 def _index_rows(made):
     scores = [sorted(tuple(r) for r in x.collect()) for x in (made.postings, made.docs, made.doc_stems)]
     return [*scores, *(sorted((*r[:-1], round(r[-1], 9)) for r in x.collect()) for x in (made.terms.select("term", "stem", "df", "idf"), made.stems.select("stem", "df", "idf"))), made.n, round(made.mean_length, 9)]
