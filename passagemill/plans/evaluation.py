@@ -151,15 +151,15 @@ def _(t):
 def _(t):
     """The BM25 scores by the DataFrame API and by a SQL text over the same index; what either has alone is counted, and all rows."""
     made = R.index(t)
-    api = X.score(made, R.questions(t)).select("qid", "doc", F.round("score", 6).alias("score"))
+    api = X.scores(made, R.questions(t)).select("qid", "doc", F.round("score", 6).alias("score"))
+    asked = X.sent(R.questions(t).select("qid", "term").distinct())
+    # A posting carries its document's length, so that lengths need no join of their own.
     sql = t.sql(
-        """WITH q AS (SELECT DISTINCT qid, term FROM {asked})
-        SELECT qid, p.doc, round(sum(idf * tf * 2.5D / (tf + 1.5D * (0.25D + 0.75D * dl / {mean}))), 6) AS score
-        FROM q JOIN {terms} t ON q.term = t.term JOIN {postings} p ON p.term = q.term JOIN {lengths} l ON l.doc = p.doc GROUP BY qid, p.doc""".replace("{mean}", f"{made.mean_length!r}D"),
-        asked=R.questions(t),
-        terms=made.terms,
-        postings=made.postings,
-        lengths=made.docs,
+        """SELECT qid, p.doc, round(sum(idf * tf * 2.5D / (tf + 1.5D * (0.25D + 0.75D * dl / {mean}))), 6) AS score
+        FROM {postings} p JOIN {terms} t ON t.term = p.term JOIN {asked} q ON q.term = p.term GROUP BY qid, p.doc""".replace("{mean}", f"{made.mean_length!r}D"),
+        asked=asked,
+        terms=X.sent(made.terms.join(asked.select("term").distinct(), "term", "left_semi")),
+        postings=made.rows.selectExpr("doc", "dl", "inline(terms) AS (term, tf)"),
     )
     # Rows of both meet by question and document, as they lie after their sums.
     both = api.withColumnRenamed("score", "a").join(sql.withColumnRenamed("score", "b"), ["qid", "doc"], "full")
