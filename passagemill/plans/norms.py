@@ -158,25 +158,33 @@ def _part(kind_: str, title: str, inner, gone=None):
 
 
 def laws(t):
-    """A file for each order, written as XML: lines are articles in books, in preliminary titles, or nowhere, by their flags."""
+    """A file for each order, written as XML: lines are articles in books, in preliminary titles, or nowhere, by their flags.
+
+    What moves are a line's columns; the XML is written where an order's lines are.
+    """
+    named = {"l_linenumber": "line", "l_partkey": "part", "l_suppkey": "supp", "l_shipdate": "day", "l_returnflag": "flag", "l_linestatus": "status", "l_discount": "discount"}
+    rows = t("lineitem").select(F.col("l_orderkey").alias("law"), F.struct(*(F.col(c).alias(n) for c, n in named.items())).alias("x"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list("x")), _placed), "")
+    whole = F.concat(F.lit('<?xml version="1.0"?><Norma xmlns="http://law.example/x" fechaVersion="2020-01-01"><EstructurasFuncionales>'), parts, F.lit("</EstructurasFuncionales></Norma>"))
+    return rows.groupBy("law").agg(whole.alias("xml"))
+
+
+def _placed(x):
+    """The XML of a line, in its book or title."""
     article = F.concat(
-        F.lit('<EstructuraFuncional tipoParte="Artículo" idParte="'), F.col("l_partkey").cast("string"), F.lit('" derogado="'),
-        F.when(F.col("l_discount") > 0.05, "derogado").otherwise("no derogado"), F.lit('" fechaVersion="'), F.date_format("l_shipdate", "yyyy-MM-dd"),
-        F.lit('"><Metadatos><NombreParte>'), F.col("l_linenumber").cast("string"), F.lit("</NombreParte></Metadatos><Texto>Texto de la parte "), F.col("l_partkey").cast("string"), F.lit(" &amp; más.</Texto></EstructuraFuncional>"),
+        F.lit('<EstructuraFuncional tipoParte="Artículo" idParte="'), x["part"].cast("string"), F.lit('" derogado="'),
+        F.when(x["discount"] > 0.05, "derogado").otherwise("no derogado"), F.lit('" fechaVersion="'), F.date_format(x["day"], "yyyy-MM-dd"),
+        F.lit('"><Metadatos><NombreParte>'), x["line"].cast("string"), F.lit("</NombreParte></Metadatos><Texto>Texto de la parte "), x["part"].cast("string"), F.lit(" &amp; más.</Texto></EstructuraFuncional>"),
     )
-    open_ = F.col("l_linestatus") == "F"
+    open_ = x["status"] == "F"
     nested = _part("Título", "Título Preliminar", article)
-    placed = (
-        F.when((F.col("l_returnflag") == "A") & open_, _part("Libro", "LIBRO CUARTO De las cosas", nested))
-        .when(F.col("l_returnflag") == "A", _part("Libro", "Libro II", article, F.lit("derogado")))
-        .when(F.col("l_returnflag") == "N", _part("Título", "TÍTULO PRELIMINAR", _part("Párrafo", "", article)))
+    return (
+        F.when((x["flag"] == "A") & open_, _part("Libro", "LIBRO CUARTO De las cosas", nested))
+        .when(x["flag"] == "A", _part("Libro", "Libro II", article, F.lit("derogado")))
+        .when(x["flag"] == "N", _part("Título", "TÍTULO PRELIMINAR", _part("Párrafo", "", article)))
         .when(open_, article)
         .otherwise(_part("Título", "Título I", _part("Párrafo", "Párrafo 2", article)))
     )
-    rows = t("lineitem").select(F.col("l_orderkey").alias("law"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("day"), placed.alias("xml")).alias("x"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["xml"]), "")
-    whole = F.concat(F.lit('<?xml version="1.0"?><Norma xmlns="http://law.example/x" fechaVersion="2020-01-01"><EstructurasFuncionales>'), parts, F.lit("</EstructurasFuncionales></Norma>"))
-    return rows.groupBy("law").agg(whole.alias("xml"))
 
 
 @query(

@@ -60,3 +60,16 @@ def test_deep_files_and_broken_ones(spark, tmp_path):
     (tmp_path / "b" / "c.xml").write_text(WHOLE)
     (tmp_path / "d.txt").write_text(WHOLE)
     assert C.read_codes(spark, str(tmp_path)).groupBy("file").count().count() == 2
+
+
+def test_small_files_share_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    one = '<N><EstructurasFuncionales><EstructuraFuncional tipoParte="Artículo" idParte="p%d"><!-- x --><Texto>t</Texto></EstructuraFuncional></EstructurasFuncionales></N>'
+    files = [one % k * (k % 5 != 3) for k in range(40)]  # every fifth is empty
+    batch = pa.record_batch([pa.array(range(40)), pa.array(files)], names=["law", "xml"])
+    want = [(k, *row) for k, x in enumerate(files) for row in C.articles(x)]
+    for most, n in ((C.MOST_ARTICLES, 1), (8, 4)):
+        monkeypatch.setattr(C, "MOST_ARTICLES", most)
+        made = list(C.walker(["law"])(iter([batch])))
+        assert len(made) == n and [tuple(r.values()) for b in made for r in b.to_pylist()] == want and len(want) == 32
