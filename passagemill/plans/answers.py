@@ -58,7 +58,7 @@ class _Evidence:
     @cached_property
     def credits(self) -> DataFrame:
         """Credits in all documents."""
-        return A.credits(self.concepts, self.alternatives, self.stems)
+        return A.credits(self.concepts, self.alternatives, self.holding(self.concepts))
 
     @cached_property
     def near_credits(self) -> DataFrame:
@@ -78,7 +78,10 @@ class _Evidence:
     @cached_property
     def core_credits(self) -> DataFrame:
         """Credits of core concepts in all documents; other concepts' stems are not looked for."""
-        return A.credits(self.core, self.alternatives, self.stems)
+        return A.credits(self.core, self.alternatives, self.holding(self.core))
+
+    def holding(self, concepts: DataFrame) -> DataFrame:
+        return X.holding(self.index, A.asked_stems(concepts, self.alternatives))
 
     def core_hit(self, credits: DataFrame) -> DataFrame:
         """How many core concepts each document has, of how many."""

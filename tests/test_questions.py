@@ -114,3 +114,36 @@ def test_rules_of_the_vocabulary_against_a_loop(spark):
     fired = {(r["qid"], r["rule"], r["trigger"]) for r in QUERIES["qa4_rules_set_off"](spark, SMALL).collect()}
     assert fired == {(q, *x) for q, w in want.items() for x in w[0]} and any(" " in x for *_, x in fired)
     assert {(r["qid"], r["term"]) for r in QUERIES["qa4_words_added"](spark, SMALL).collect()} == {(q, x) for q, w in want.items() for x in w[2]}
+
+
+def test_asked_stems_are_found_where_documents_lie(spark, monkeypatch):
+    from passagemill.operators import index as X
+
+    said = [(1, "casas de campo"), (2, ""), (3, None), (4, "campos casa casa rueda"), (5, "x el la")]
+    made = X.build(spark.createDataFrame(said, "doc_id long, text string").repartition(X.LEAST_PARTITIONS))
+    asked = spark.createDataFrame([(1, "casa"), (2, "casa"), (2, "rued"), (1, "nada")], "qid long, stem string")
+    want = sorted(map(tuple, made.doc_stems.join(asked.select("stem").distinct(), "stem", "left_semi").select("doc", "stem").collect()))
+    assert sorted(map(tuple, X.holding(made, asked).collect())) == want and len(want) >= 2
+    assert "Generate" not in X.holding(made, asked)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "MOST_ASKED", 1)
+    assert sorted(map(tuple, X.holding(made, asked).collect())) == want
+
+
+def test_texts_meet_only_pairs_and_small_tables_lie_in_few_parts(spark):
+    from conftest import SMALL
+
+    from passagemill.plans import answers, evaluation
+    from passagemill.plans.base import Tables
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        e = answers._Evidence(Tables(spark, SMALL))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [doc" not in plan(evaluation.expected(e.t, e.index))
+        assert all("REPARTITION_BY_COL" in plan(x) for x in (e.concepts, e.candidates))
+    finally:
+        spark.conf.set(name, before)
+        for df in e.t._kept:
+            df.unpersist()
