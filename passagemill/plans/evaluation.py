@@ -64,8 +64,9 @@ def expected(t: Tables, made: X.Index) -> DataFrame:
     # A term that no document has says that none contains the text.
     rarest = known.groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     texts = t("documents").select(F.col("doc_id").alias("doc"), "text")
-    pairs = made.postings.join(X.sent(rarest), "term").select("qid", "doc")
-    found = pairs.join(items, "qid").join(texts, "doc").filter(F.contains("text", "item")).select("qid", "doc")
+    # Kept, as they are counted first: if they are few, texts of other documents are left where they lie.
+    pairs = t.keep(made.postings.join(X.sent(rarest), "term").select("qid", "doc"))
+    found = texts.join(X.sent(pairs), "doc").join(items, "qid").filter(F.contains("text", "item")).select("qid", "doc")
     short = items.join(rarest.select("qid"), "qid", "left_anti")
     return found.union(texts.join(short, F.contains("text", "item")).select("qid", "doc")) if not short.isEmpty() else found
 
