@@ -49,8 +49,9 @@ class _Evidence:
         self.t, self.index = t, R.index(t)
         asked = A.stem_of_terms(R.questions(t)).select("qid", "stem").distinct()
         known = self.index.stems.join(X.sent(asked.select("stem").distinct()), "stem", "left_semi")
-        # Kept: all evidence starts from them.
-        self.concepts = t.keep(asked.join(known, "stem", "left").select("qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen")))
+        concepts = asked.join(known, "stem", "left").select("qid", "stem", F.coalesce("idf", F.lit(self.index.idf_unseen)).alias("weight"), F.col("idf").isNull().alias("unseen"))
+        # Kept: all evidence starts from them.  Dealt out once more, so that they lie in as few parts as their size asks for.
+        self.concepts = t.keep(concepts.repartition("qid"))
         self.stems = self.index.doc_stems.select("doc", "stem")
         self.alternatives = t.spark.createDataFrame(ALT_ROWS, ALT_SCHEMA)
         self.core = A.core(self.concepts)
@@ -99,8 +100,8 @@ class _Evidence:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """The candidates of every question, some hundreds each at most, kept as they are asked for several times."""
-        return self.t.keep(R.candidates(self.t, self.index))
+        """The candidates of every question, some hundreds each at most, kept as they are asked for several times, in as few parts as their size asks for."""
+        return self.t.keep(R.candidates(self.t, self.index).repartition("qid"))
 
     @cached_property
     def finals(self) -> DataFrame:
