@@ -8,6 +8,7 @@ from conftest import SMALL
 from passagemill.operators import provisions as P
 from passagemill.plans import norms
 from passagemill.plans.base import Tables
+from passagemill.plans.registry import QUERIES
 
 TEXTS = [
     ("tied", "1.- MODIFÍCASE la Resolución Exenta N° 1.287, de 2009, en el sentido de reemplazar el actual número dos de su parte resolutiva.", [("modifica", "Resolución Exenta", "1287", "numero", "2")]),
@@ -97,3 +98,28 @@ def test_affected_passages_and_alerts_by_a_loop(spark):
 
     assert collections.Counter(tuple(r) for r in QUERIES["gr6_affected_by_provision"](spark, SMALL).select("norm", "line", "part", "n_hits", "source", "verb").collect()) == hits
     assert collections.Counter(tuple(r) for r in QUERIES["gr7_norm_alerts"](spark, SMALL).select("norm", "line", "part", "alert").collect()) == alerts
+
+
+def test_patterns_of_tasks_read_any_case_and_texts_without_end(spark):
+    texts = [
+        ("many", " ".join(f"Deroga la ley {k}, letra a) de su texto." for k in range(1, 41)), [("deroga", "Ley", str(k), "letra", "a") for k in range(1, 41)]),
+        ("turkish", "DEROGA LA CİRCULAR Nº 7, ARTıCULO 5° DE DICHA norma", [("deroga", "ci\u0307rcular", "7", "artıculo", "5")]),
+        ("wide", "deroga la ley 8, en el sentido de poner anexo 3º", [("deroga", "Ley", "8", "anexo", "3")]),
+        ("joined", "deroga la ley 9 en la subletra a) de su texto; ley 9 letra bis) de su texto", [("deroga", "Ley", "9", None, None)]),
+        ("sign", "deroga la ley 10, numeral 5°a de la misma", [("deroga", "Ley", "10", "numero", "5")]),
+        ("line", "deroga la ley 11 en su artículo 5 de su texto", [("deroga", "Ley", "11", None, None)]),
+    ]
+    rows = spark.createDataFrame([(k, None, None, t) for k, t, _ in texts], "id string, kind string, number string, said string")
+    found = collections.defaultdict(list)
+    for r in P.outgoing(rows).orderBy("id", "n").collect():
+        p = r["provision"]
+        found[r["id"]].append((r["verb"], r["target_kind"], r["target_number"], p and p["class"], p and p["value"]))
+    assert dict(found) == {k: want for k, _, want in texts}
+    row = P.with_provisions_of(spark.createDataFrame([("", "SEXTO.- uno\ndos")], "label string, said string")).first()
+    assert [tuple(p) for p in row["own"]] == [("numero", "6")]
+
+
+def test_norms_are_read_in_tasks_on_all_cores_and_meet_by_provision_alone(spark):
+    plan = QUERIES["gr6_affected_by_provision"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "MapInArrow" in plan and "regexp_extract_all" not in plan
+    assert norms._sql(Tables(spark, SMALL), norms.PASSAGES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
