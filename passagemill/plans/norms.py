@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import patterns as R
 from ..operators import provisions as P
 from ..sources import codes as C
 from .base import query
@@ -42,8 +43,9 @@ NOTES = f"SELECT o_orderkey AS norm, {kind('o_orderkey')} AS kind, CAST(o_orderk
 
 
 def _sql(t, text: str):
-    """A text for both engines, its tables read here."""
-    return t.sql(text.replace("FROM lineitem", "FROM {lineitem}").replace("FROM orders", "FROM {orders}"))
+    """A text for both engines, its tables read here, dealt out as reading what they are written to is the work."""
+    name, key = ("lineitem", "l_orderkey") if "FROM lineitem" in text else ("orders", "o_orderkey")
+    return t.sql(text.replace(f"FROM {name}", "FROM {rows}"), rows=R.dealt(t(name), key))
 
 
 def edges(t):
@@ -144,8 +146,9 @@ def _(t):
 )
 def _(t):
     dates = t("orders").select(F.col("o_orderkey").alias("norm"), F.when(F.col("o_orderpriority").startswith("1"), F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise("no").alias("official"))
-    made = edges(t)
-    found = P.hits(_sql(t, LABELLED).join(dates, "norm", "left"), made, ORDER)
+    # Kept: passages meet them by provision and by norm.
+    made = t.keep(edges(t))
+    found = P.hits(_sql(t, LABELLED), made, ORDER).join(dates, "norm", "left")
     return P.alerts(found, made, "official").select("norm", "line", "part", "alert")
 
 
