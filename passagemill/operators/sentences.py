@@ -1,15 +1,22 @@
 """Readable units of legal texts, what kind of datum each has, and the one that answers, with the context that it needs.
 
-All column expressions: a cut is one pattern with look-around, context a fold
-over the text's own units.
+A cut is one pattern with look-around, context a fold over the text's own
+units: column expressions.  What is asked of every unit is read in tasks, all
+units of a batch at a time.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from . import patterns as R
+from .index import ACCENTS, WORD_BYTES, _stems
 
 # Abbreviations after which a full stop ends nothing, what begins an item, how questions and data are worded.
 ABBREVIATIONS = "art arts n no nº núm num res ex dto d o sr sra dr inc pág pag ej lit min máx max aprox etc ss cfr vol i ii iii".split()
@@ -33,8 +40,10 @@ WORDS_OF_TYPE = {
     "temperatura": ["grados"],
     "definicion": "definicion significa concepto".split(),
 }
+#: What no time limit stands behind.
+NOT_AFTER = "(?<!menos de )(?<!más de )(?<!mas de )"
 CUES = {
-    "plazo": f"(?<!menos de )(?<!más de )(?<!mas de ){START}{NUMBER_WORD}\\s*(?:\\([0-9]+\\)\\s*)?(?:horas?|d[ií]as?|mes(?:es)?|años?|semanas?){END}|{START}(?:de|en) forma inmediata|{START}inmediatamente{END}|{START}al cabo de{END}|{START}mensual|{START}anual|{START}semestral|{START}trimestral",
+    "plazo": f"{NOT_AFTER}{START}{NUMBER_WORD}\\s*(?:\\([0-9]+\\)\\s*)?(?:horas?|d[ií]as?|mes(?:es)?|años?|semanas?){END}|{START}(?:de|en) forma inmediata|{START}inmediatamente{END}|{START}al cabo de{END}|{START}mensual|{START}anual|{START}semestral|{START}trimestral",
     "monto": f"unidad(?:es)? tributaria|{START}utm{END}|\\$\\s?[0-9]|{START}pesos{END}|ingresos? m[ií]nimos?|{START}multa de{END}",
     "temperatura": f"[0-9]+\\s*[º°]\\s*c{END}|[0-9]+\\)?\\s*(?:y|a|-)\\s*\\(?\\+?\\)?\\s*[0-9]+\\s*[º°]",
     "definicion": f":\\s|{START}es (?:todo|toda|el|la|aquel|aquella|un|una|cualquier){END}|se entender[aá] por|se denominar[aá]|{START}se considera{END}|{START}consiste en{END}|{START}es el instrumento{END}",
@@ -128,18 +137,128 @@ def in_context(all_units: Column, at: Column) -> Column:
     return T.shorten(without_notes(grown), PHRASE)
 
 
+def _for_tasks(pattern: str) -> str:
+    """A pattern without look-around: letters beside a match are part of it, and nothing says what it must not follow."""
+    return R.in_any_case(pattern.replace(NOT_AFTER, "").replace(START, f"(?:^|[^{LETTER}])").replace(END, f"(?:$|[^{LETTER}])"))
+
+
+def _have_datum(units_, kind: str):
+    """Whether each unit has a datum of the type, as has_datum says."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    pattern = CUES[kind]
+    found = pc.match_substring_regex(units_, _for_tasks(pattern))
+    if NOT_AFTER not in pattern:
+        return found
+    # What may follow such words is looked at once more, with them.
+    exact = re.compile(pattern.replace(r"\s", f"[{R.BLANK}]"), re.IGNORECASE)
+    doubtful = pc.and_(found, pc.match_substring_regex(units_, R.in_any_case("(?:menos|más|mas) de ")))
+    at = np.flatnonzero(doubtful.to_numpy(zero_copy_only=False))
+    out = found.to_numpy(zero_copy_only=False).copy()
+    out[at] = [exact.search(u) is not None for u in units_.take(pa.array(at)).to_pylist()]
+    return pa.array(out)
+
+
+def _covered(said, row, asked):
+    """The share of each row's asked stems that each of its units has; said: a row's units, a line each; row: each unit's."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # Lines of rows are one text for the letters' sake.
+    plain = "\n".join(said.to_pylist()).lower()
+    if not plain.isascii():
+        for accented, letter in ACCENTS:
+            plain = plain.replace(accented, letter)
+    words = pc.ascii_split_whitespace(pa.array(plain.encode().translate(WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]).split(b"\n"), pa.string()))
+    unit = np.repeat(np.arange(len(row)), words.value_lengths().to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    vocabulary, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    is_term = (pc.binary_length(vocabulary).to_numpy(zero_copy_only=False) > 1) & ~pc.is_in(vocabulary, value_set=pa.array(T.STOP_WORDS)).to_numpy(zero_copy_only=False)
+    stemmed = _stems(vocabulary).dictionary_encode()
+    m, stem = len(stemmed.dictionary) + 1, stemmed.indices.to_numpy(zero_copy_only=False).astype("int64")
+    unit, code = unit[is_term[code]], code[is_term[code]]
+    unit, stem = np.divmod(np.unique(unit * m + stem[code]), m)
+    size = asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    wanted = pc.fill_null(pc.index_in(asked.flatten(), value_set=stemmed.dictionary), m - 1).to_numpy(zero_copy_only=False)
+    wanted = np.repeat(np.arange(len(size)), size) * m + wanted
+    hit = np.isin(row[unit] * m + stem, wanted)
+    return np.bincount(unit[hit], minlength=len(row)) / np.maximum(size, 1)[row]
+
+
+def _units_of(batches: Iterator) -> Iterator:
+    """Batches without rows that have no unit, their units, and each unit's row; _units: a row's units, a line each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in R.chunks(batches, "_units"):
+        batch = batch.filter(pc.not_equal(batch.column("_units"), ""))
+        lists = pc.split_pattern(batch.column("_units"), "\n")
+        if batch.num_rows:
+            yield batch, lists, lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _lines(text: Column) -> Column:
+    """A text's units, a line each, as they have no white space but blanks."""
+    return F.array_join(units(text), "\n").alias("_units")
+
+
+def data_of_types(texts: DataFrame, key: str = "id") -> DataFrame:
+    """key, n, recitals and how many of a text's (said) units have a datum of each type; a text without units has no row."""
+    rows = texts.select(key, _lines(F.col("said")))
+    counts = ["n", "recitals", *CUES]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch, _, each, row in _units_of(batches):
+            found = [pc.match_substring_regex(each, _for_tasks(RECITAL)), *(_have_datum(each, k) for k in CUES)]
+            counted = [np.bincount(row[x.to_numpy(zero_copy_only=False)], minlength=batch.num_rows) for x in found]
+            columns = [pa.array(c, pa.int64()) for c in (np.bincount(row), *counted)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, *counts])
+
+    made = rows.mapInArrow(run, StructType([rows.schema[key], *(StructField(c, LongType()) for c in counts)]))
+    return made.groupBy(key).agg(*(F.sum(c).alias(c) for c in counts))
+
+
 def best_phrases(pairs: DataFrame, key: str = "id") -> DataFrame:
     """The unit of each text that answers its question best: key, at, coverage, datum, recital, phrase.
 
     pairs: key, said, kind (the question's type) and asked, the question's
     different stems.  A unit's score is the share of stems that it has, more
     with a datum of the type, less for a recital; the first of equal ones.  A
-    question without stems is covered by nothing; a text without units has no row.
+    question without stems is covered by nothing; a text without units has no
+    row.  A text stays one row all the way, so nothing moves.
     """
-    cut = pairs.select(key, "kind", "asked", units(F.col("said")).alias("units"))
-    each = cut.select(key, "kind", "asked", F.posexplode("units").alias("at", "unit"))
-    share = F.size(F.array_intersect("asked", T.stems(F.col("unit")))) / F.greatest(F.size("asked"), F.lit(1))
-    each = each.withColumns({"coverage": share, "datum": has_datum(F.col("unit"), F.col("kind")), "recital": is_recital(F.col("unit"))}).drop("unit", "asked", "kind")
-    score = (F.col("coverage") + F.when(F.col("datum"), DATUM).otherwise(0.0)) * F.when(F.col("recital"), OF_RECITAL).otherwise(1.0)
-    best = each.groupBy(key).agg(F.max_by(F.struct("at", "coverage", "datum", "recital"), F.struct(F.round(score, 9), -F.col("at"))).alias("b"))
-    return best.join(cut.select(key, "units"), key).select(key, "b.*", in_context(F.col("units"), F.col("b.at")).alias("phrase"))
+    rows = pairs.select(key, "kind", "asked", _lines(F.col("said")))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch, lists, each, row in _units_of(batches):
+            datum, kind = np.zeros(len(each), bool), batch.column("kind").dictionary_encode()
+            of_unit = pc.fill_null(kind.indices, -1).to_numpy(zero_copy_only=False)[row]
+            for k, name in enumerate(kind.dictionary.to_pylist()):
+                if name in CUES:
+                    datum[of_unit == k] = _have_datum(each.filter(pa.array(of_unit == k)), name).to_numpy(zero_copy_only=False)
+            covered = _covered(batch.column("_units"), row, batch.column("asked"))
+            marks = pa.StructArray.from_arrays([pa.array(covered), pa.array(datum), pc.match_substring_regex(each, _for_tasks(RECITAL))], ["coverage", "datum", "recital"])
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_units"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), marks)], [key, "_units", "marks"])
+
+    mark = StructType([StructField("coverage", DoubleType()), StructField("datum", BooleanType()), StructField("recital", BooleanType())])
+    made = rows.mapInArrow(run, StructType([rows.schema[key], StructField("_units", StringType()), StructField("marks", ArrayType(mark))]))
+
+    def scored(x: Column, at: Column) -> Column:
+        score = (x["coverage"] + F.when(x["datum"], DATUM).otherwise(0.0)) * F.when(x["recital"], OF_RECITAL).otherwise(1.0)
+        return F.struct(F.round(score, 9).alias("score"), (-at).alias("before"), x.alias("mark"))
+
+    best = made.select(key, F.split("_units", "\n").alias("units"), F.array_max(F.transform("marks", scored)).alias("b"))
+    best = best.select(key, "units", (-F.col("b.before")).alias("at"), "b.mark.*")
+    return best.select(key, "at", "coverage", "datum", "recital", in_context(F.col("units"), F.col("at")).alias("phrase"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import patterns as P
 from ..operators import questions as Q
 from ..operators import sentences as S
+from ..operators.index import sent
 from . import retrieval as R
 from .base import query
 
@@ -42,7 +44,7 @@ def texts(t):
         F.when(F.col("o_orderstatus") == "F", F.lit("El pedido dura menos de 5 años; se informará en forma inmediata.")),
     )
     question = F.get(F.array(*map(F.lit, ASKED)), (F.col("o_custkey") % len(ASKED)).cast("int"))
-    return t("orders").select(k.alias("id"), said.alias("said"), question.alias("question"))
+    return P.dealt(t("orders"), "o_orderkey").select(k.alias("id"), said.alias("said"), question.alias("question"))
 
 
 ITEM_WORD, CAPITAL_WORD = r"^([0-9]{1,3}[.)]|[a-z]\))", r'^[A-ZÁÉÍÓÚÑ¿"“(]'
@@ -72,10 +74,12 @@ def _(t):
 
 
 def pairs(t):
-    """texts with kind and asked: the question's stems, without the words that only name the datum."""
-    rows = texts(t).withColumn("kind", S.question_type(F.col("question")))
-    own = F.array_except(T.tokenize(F.col("question")), S.words_of_type(F.col("kind")))
-    return rows.withColumn("asked", T.stems(F.array_join(own, " ")))
+    """texts with kind and asked: the question's stems, without the words that only name the datum; equal questions are read once."""
+    rows = texts(t)
+    each = rows.select(F.col("question").alias("q")).distinct().withColumn("kind", S.question_type(F.col("q")))
+    own = F.array_except(T.tokenize(F.col("q")), S.words_of_type(F.col("kind")))
+    each = t.keep(each.withColumn("asked", T.stems(F.array_join(own, " "))))
+    return rows.join(sent(each), F.col("question").eqNullSafe(F.col("q"))).drop("q")
 
 
 @query("se2_phrases_in_context")
@@ -87,9 +91,7 @@ def _(t):
 @query("se3_data_of_types")
 def _(t):
     """Units with a datum of each of seven types, and recitals, in the texts of orders; no SQL twin, as above."""
-    each = texts(t).select("id", F.explode(S.units(F.col("said"))).alias("unit"))
-    found = [F.count_if(S.has_datum(F.col("unit"), F.lit(k))).alias(k) for k in S.CUES]
-    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_recital(F.col("unit"))).alias("recitals"), *found)
+    return S.data_of_types(texts(t))
 
 
 @query("qa2_seven_types", "SELECT o_orderkey AS id, CASE o_custkey % 7 WHEN 0 THEN 'plazo' WHEN 1 THEN 'monto' WHEN 2 THEN 'temperatura' WHEN 3 THEN 'definicion' WHEN 4 THEN 'quien' WHEN 5 THEN 'requisitos' ELSE 'permiso' END AS kind FROM orders")
