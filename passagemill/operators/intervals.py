@@ -51,7 +51,9 @@ def count_between(rows: DataFrame, points: DataFrame, group: str, width: float)
     """id and n: points (group, x) from low to high, both included, of each row (id, group, low, high); by ranks, not by pairs."""
     low = rows.select("id", group, F.col("low").alias("x"), F.lit(False).alias("inclusive"))
     high = rows.select("id", group, F.col("high").alias("x"), F.lit(True).alias("inclusive"))
-    below = count_below(points, low.unionByName(high), group, F.floor(F.col("x") / width))
+    # What is no number is above all numbers, as in any order.
+    bucket = F.when(F.isnan("x"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("x") / width))
+    below = count_below(points, low.unionByName(high), group, bucket)
     return below.groupBy("id").agg(F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("n"))
 
 

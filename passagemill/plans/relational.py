@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals as I
 from ..operators.tables import anti_append, latest_wins
 from .base import both, query
 
@@ -63,12 +64,14 @@ def _(t):
 
 
 def range_join(orders, events):
-    """A value range without an equal key: both sides go to buckets of the range's width, a row to the three that it may meet."""
-    orders = orders.select("o_orderkey", F.dayofmonth("o_orderdate").alias("day"), (F.col("o_totalprice") / 10000).alias("x"))
-    events = events.select(F.dayofmonth("ts").alias("day"), "value")
-    near = orders.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("x") - 1), F.floor(F.col("x") + 1))))
-    met = near.join(events.withColumn("bucket", F.floor("value")), ["day", "bucket"]).filter("value BETWEEN x - 1 AND x + 1")
-    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    """A value range without an equal key: points and both ends of each range go to buckets of the range's width, and are ranked within them.
+
+    Rows grow with the sum of both sides: a pair in range is counted and never made.
+    """
+    x = F.col("o_totalprice") / 10000
+    ranges = orders.filter("o_totalprice IS NOT NULL").select(F.col("o_orderkey").alias("id"), F.dayofmonth("o_orderdate").alias("day"), (x - 1).alias("low"), (x + 1).alias("high"))
+    points = events.filter("value IS NOT NULL").select(F.dayofmonth("ts").alias("day"), F.col("value").alias("x"))
+    return I.count_between(ranges.filter("day IS NOT NULL"), points.filter("day IS NOT NULL"), "day", 1.0).filter("n > 0").select(F.col("id").alias("o_orderkey"), "n")
 
 
 both(

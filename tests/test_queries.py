@@ -1,5 +1,7 @@
 """Every query with a SQL twin gives DuckDB's rows; those without run and have a test of their own elsewhere."""
 
+import datetime
+
 import pytest
 from conftest import SMALL
 
@@ -40,3 +42,17 @@ def test_slots_are_taken_by_all_users(spark):
     slots = {(r["day"], r["start"]) for r in QUERIES["tm5_slots"](spark, SMALL).collect()}
     want = {(day, s) for day, s in slots if not any(s < a + 35 and s + 30 > a - 15 for a in taken.get(day, []))}
     assert {(r["day"], r["start"]) for r in QUERIES["tm6_free_slots"](spark, SMALL).collect()} == want
+
+
+def test_range_join_by_buckets_makes_no_pairs(spark):
+    from passagemill.plans.relational import range_join
+
+    day = datetime.datetime(2024, 1, 5)
+    values = [0.5, 0.5, 1.5, 1.5000001, -3.0, float("nan"), float("inf"), None]
+    orders = spark.createDataFrame([(1, day, 5000.0), (2, day, 0.0), (3, day, float("nan")), (4, None, 5000.0), (5, day, None), (5, day, -30000.0), (5, day, 5000.0)], "o_orderkey long, o_orderdate timestamp, o_totalprice double")
+    events = spark.createDataFrame([(day, v) for v in values] + [(None, 0.5), (day + datetime.timedelta(1), 0.5)], "ts timestamp, value double")
+    found = range_join(orders, events)
+    assert {r["o_orderkey"]: r["n"] for r in found.collect()} == {1: 3, 2: 2, 3: 1, 5: 4}
+    many = range_join(spark.range(2000).selectExpr("id o_orderkey", "timestamp '2024-01-05' o_orderdate", "5000.0D o_totalprice"), spark.range(2000).selectExpr("timestamp '2024-01-05' ts", "0.5D value"))
+    assert {r["n"] for r in many.collect()} == {2000}
+    assert "(value" not in many._jdf.queryExecution().optimizedPlan().toString()
