@@ -57,9 +57,9 @@ class _Evidence:
         self.core = A.core(self.concepts)
 
     @cached_property
-    def credits(self) -> DataFrame:
-        """Credits in all documents."""
-        return A.credits(self.concepts, self.alternatives, self.holding(self.concepts))
+    def credit_sums(self) -> DataFrame:
+        """Credits in all documents, summed by question and document."""
+        return A.credit_sums(self.index, self.concepts, self.alternatives)
 
     @cached_property
     def near_credits(self) -> DataFrame:
@@ -70,7 +70,7 @@ class _Evidence:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return A.coverage(self.credits, self.concepts)
+        return A.covered(self.credit_sums, self.concepts)
 
     @cached_property
     def near_coverage(self) -> DataFrame:
@@ -172,7 +172,7 @@ def _(t):
 
 @query("ev1_credits", BASE + "SELECT qid, doc, count(*)::BIGINT AS n, round(sum(credit), 6)::DOUBLE AS credit FROM credits GROUP BY qid, doc")
 def _(t):
-    return _Evidence(t).credits.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("credit"), 6).alias("credit"))
+    return _Evidence(t).credit_sums.select("qid", "doc", "n", F.round("credit", 6).alias("credit"))
 
 
 @query("ev2_coverage", BASE + "SELECT qid, doc, round(coverage, 6) AS coverage FROM coverage")

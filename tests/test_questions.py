@@ -147,3 +147,25 @@ def test_texts_meet_only_pairs_and_small_tables_lie_in_few_parts(spark):
         spark.conf.set(name, before)
         for df in e.t._kept:
             df.unpersist()
+
+
+def test_credits_are_summed_where_documents_lie(spark, monkeypatch):
+    from passagemill.operators import answers as A
+    from passagemill.operators import index as X
+
+    said = [(1, "casas hogar campo"), (2, ""), (3, None), (4, "hogar de verdes prados"), (5, "prados"), (6, "casa verdes rueda rueda")]
+    made = X.build(spark.createDataFrame(said, "doc_id long, text string").repartition(X.LEAST_PARTITIONS))
+    concepts = spark.createDataFrame([(1, "casa", 2.0), (1, "camp", 0.5), (2, "casa", 2.0), (2, "rued", 1.0), (3, "nada", 9.0)], "qid long, stem string, weight double")
+    alternatives = spark.createDataFrame([("casa", 0, "hogar", 1), ("rued", 1, "verd", 2), ("rued", 1, "prad", 2), ("nada", 2, "prad", 1)], "stem string, phrase int, other string, size int")
+    found = A.credits(concepts, alternatives, made.doc_stems.select("doc", "stem"))
+    want = found.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("credit"), F.sum(F.col("weight") * F.col("credit")))
+    rows = lambda df: sorted((r[0], r[1], r[2], round(r[3], 9), round(r[4], 9)) for r in df.collect())
+    sums = A.credit_sums(made, concepts, alternatives)
+    assert rows(sums) == rows(want) and {round(r[3], 6) for r in rows(want)} >= {0.7, 1.0, 1.7}
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(X, "MOST_SUMMED", 1)
+    assert rows(A.credit_sums(made, concepts, alternatives)) == rows(want)
+    assert rows(A.credit_sums(made, concepts.limit(0), alternatives)) == []
+    monkeypatch.setattr(X, "MOST_ASKED", 1)
+    assert rows(A.credit_sums(made, concepts, alternatives)) == rows(want)
