@@ -19,8 +19,12 @@ ADDED_WEIGHT = 0.5
 INFINITIVE = "[a-z]{3,}(?:ar|er|ir)$"
 DEFINES = r"que\s+(?:es|son|se\s+considera|se\s+entiende\s+por)\s+(?:un|una|el|la|los|las|lo)?\s*(.+)"
 DEFINED_WORDS = 3
-#: Documents that credits are summed for at a time, about.
-BLOCK = 16_384
+#: Documents that credits are summed for at a time, about; and what a block has at most, about: words of documents, pairs of questions and documents.
+BLOCK, MOST_WORDS, MOST_PAIRS = 16_384, 2_000_000, 4_000_000
+#: Phrases of alternatives that a block meets at a time, about, and bytes of bits that it keeps of them.
+MOST_PHRASES, MOST_KEPT = 2_000_000, 64_000_000
+#: Phrases whose bits are put together at once.
+AT_ONCE = 1024
 
 
 def _grams(text: Column, longest: int) -> Column:
@@ -117,6 +121,8 @@ def credit_sums(weights: DataFrame, alternatives: DataFrame, texts: DataFrame, b
     of them all would grow with the square of the corpus.  A block of documents
     has instead a string of bits for each stem; phrases are ands of these,
     concepts ors of phrases, which questions with equal alternatives share.
+    A task holds the words of one block and one slice of the concepts, whose
+    sizes are bounded: more documents are more blocks, more rules more slices.
     """
     concepts = weights.select("qid", F.col("stem").alias("concept")).distinct()
     phrase = F.array_join(F.array_sort(F.array_distinct("stems")), " ")  # stems have no blanks
@@ -126,15 +132,21 @@ def credit_sums(weights: DataFrame, alternatives: DataFrame, texts: DataFrame, b
     sets = concepts.join(sets, ["qid", "concept"], "left").select("qid", "concept", F.coalesce("whole", none).alias("whole"), F.coalesce("some", none).alias("some"))
     shared = sets.groupBy("whole", "some").agg(F.collect_list("qid").alias("qids"), F.collect_list("concept").alias("concepts"))
     said = concepts.select(F.col("concept").alias("stem")).union(other.select(F.explode(F.split("phrase", " ")).alias("stem"))).distinct()
-    blocks = -(-texts.agg(F.approx_count_distinct("doc")).first()[0] // block) or 1
-    near = texts.join(sent(said), "stem", "left_semi").select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc", "stem")
-    spread = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    near = texts.join(sent(said), "stem", "left_semi")
+    n_words, n_docs = near.agg(F.count(F.lit(1)), F.approx_count_distinct("doc")).first()
+    n_questions, n_phrases = concepts.select("qid").distinct().count(), shared.agg(F.coalesce(F.sum(F.size("whole") + F.size("some")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_docs // block), -(-n_words // MOST_WORDS), -(-n_docs * n_questions // MOST_PAIRS))
+    slices = max(1, -(-n_phrases // MOST_PHRASES))
+    near = near.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).alias("slice"), "doc", "stem")
+    spread = shared.withColumn("slice", F.pmod(F.xxhash64("whole", "some"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     types = {f.name: f.dataType.simpleString() for f in [*weights.select("qid").schema, *texts.select("doc").schema]}
-    return near.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(_summed, f"qid {types['qid']}, doc {types['doc']}, n bigint, credit double")
+    found = near.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInArrow(_summed, f"qid {types['qid']}, doc {types['doc']}, n bigint, credit double")
+    # A concept is in one slice.
+    return found if slices == 1 else found.groupBy("qid", "doc").agg(F.sum("n").alias("n"), F.sum("credit").alias("credit"))
 
 
 def _summed(texts, shared):
-    """credit_sums of one block: texts (block, doc, stem), shared (whole, some, qids, concepts, block)."""
+    """credit_sums of one block and slice: texts (block, slice, doc, stem), shared (whole, some, qids, concepts, slice, block)."""
     import numpy as np
     import pyarrow as pa
 
@@ -148,13 +160,21 @@ def _summed(texts, shared):
 
     def bits(phrase: str):
         if (found := phrases.get(phrase)) is None:
+            if len(phrases) * has.shape[1] >= MOST_KEPT:
+                phrases.clear()
             found = phrases[phrase] = np.bitwise_and.reduce([has[at.get(x, -1)] for x in phrase.split(" ")])
         return found
 
+    def any_of(said: list):
+        out = has[-1].copy()
+        for lo in range(0, len(said), AT_ONCE):
+            np.bitwise_or.reduce([out, *map(bits, said[lo : lo + AT_ONCE])], out=out)
+        return out
+
     n, credit = {}, {}
     for r in shared.to_batches(max_chunksize=1):
         row = r.to_pylist()[0]
-        whole, some = (np.bitwise_or.reduce([has[-1], *map(bits, row[c])]) for c in ("whole", "some"))
+        whole, some = any_of(row["whole"]), any_of(row["some"])
         for q, concept in zip(row["qids"], row["concepts"], strict=True):
             if q not in n:
                 n[q], credit[q] = np.zeros(width, np.int64), np.zeros(width)

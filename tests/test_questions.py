@@ -169,3 +169,34 @@ def test_credits_are_summed_where_documents_lie(spark, monkeypatch):
     assert rows(A.credit_sums(made, concepts.limit(0), alternatives)) == []
     monkeypatch.setattr(X, "MOST_ASKED", 1)
     assert rows(A.credit_sums(made, concepts, alternatives)) == rows(want)
+
+
+def test_blocks_and_slices_of_credits_are_bounded(spark, monkeypatch):
+    words = [f"w{k}" for k in range(12)]
+    weights = spark.createDataFrame([(q, words[(q + k) % 12], 1.0) for q in range(6) for k in range(3)], "qid int, stem string, weight double")
+    alternatives = spark.createDataFrame([(q, words[(q + k) % 12], p) for q in range(6) for k in range(3) for p in ([words[(5 * q + k) % 12]], [words[q], words[11 - k]])], "qid int, concept string, stems array<string>")
+    texts = spark.createDataFrame([(d, words[(d * k) % 12]) for d in range(40) for k in (1, 2, 5)], "doc int, stem string").distinct()
+    rows = lambda: sorted((r["qid"], r["doc"], r["n"], round(r["credit"], 6)) for r in Q.credit_sums(weights, alternatives, texts).collect())
+    found = Q.credits(weights, alternatives, texts).groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("credit").alias("credit"))
+    want = sorted((r["qid"], r["doc"], r["n"], round(r["credit"], 6)) for r in found.collect())
+    assert rows() == want
+    for name, value in {"MOST_WORDS": 20, "MOST_PAIRS": 60, "MOST_PHRASES": 8, "MOST_KEPT": 1, "AT_ONCE": 1}.items():
+        monkeypatch.setattr(Q, name, value)
+    assert rows() == want
+    # A task's share, as it is dealt: many blocks and slices, each of them small.
+    plan = Q.credit_sums(weights, alternatives, texts)._jdf.queryExecution().optimizedPlan().toString()
+    blocks = [int(x) for x in re.findall(r"pmod\(xxhash64\(doc#\d+, 42\), (\d+)", plan)]
+    slices = [int(x) for x in re.findall(r"pmod\(xxhash64\(whole#\d+, some#\d+, 42\), (\d+)", plan)]
+    assert max(blocks) >= texts.count() // 20 and max(slices) > 1
+
+
+def test_bits_of_phrases_are_kept_within_bounds(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.table({"doc": [1, 1, 2, 2, 3, 4], "stem": ["a", "b", "a", "c", "b", "d"]})
+    shared = pa.table({"whole": [["a b", "a c", "b d"], []], "some": [["d"], ["c", "d", "x"]], "qids": [[7, 8], [7]], "concepts": [["b", "z"], ["a"]]})
+    want = {(7, 1, 2, 2.0), (7, 2, 2, 2.0), (7, 3, 1, 1.0), (7, 4, 2, 1.4), (8, 1, 1, 1.0), (8, 2, 1, 1.0), (8, 4, 1, 0.7)}
+    for kept, at_once in ((Q.MOST_KEPT, Q.AT_ONCE), (0, 1), (1, 2)):
+        monkeypatch.setattr(Q, "MOST_KEPT", kept)
+        monkeypatch.setattr(Q, "AT_ONCE", at_once)
+        assert {(r["qid"], r["doc"], r["n"], round(r["credit"], 6)) for r in Q._summed(texts, shared).to_pylist()} == want
